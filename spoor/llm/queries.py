@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import bpe, language, mixing, quality, repetition, sharding
+from spoor.llm import bpe, fingerprint, language, mixing, quality, repetition, secrets, sharding
 from spoor.llm.common import documents, tokenizer_path
 
 
@@ -12,6 +12,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir))
+
+
 def op3_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -20,6 +24,10 @@ def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(documents(spark, sf_dir)).drop("longest_repeat")
 
 
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(documents(spark, sf_dir))
+
+
 def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -32,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op3_language_ecoc, op6_suffix_repetition, op8_quality_ftrl, op9_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_linked_secrets, op3_language_ecoc, op6_suffix_repetition, op7_bottom_k, op8_quality_ftrl, op9_mixing, op10_bpe)}
 
 OP1_SQL = f"""
 WITH d AS (
