@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import bpe, fingerprint, language, mixing, quality, repetition, secrets, sharding
+from spoor.llm import bpe, fingerprint, language, mixing, quality, repetition, secrets, sharding, substring
 from spoor.llm.common import documents, tokenizer_path
 
 
@@ -20,6 +20,10 @@ def op3_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(documents(spark, sf_dir)).drop("longest_repeat")
 
@@ -40,7 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_linked_secrets, op3_language_ecoc, op6_suffix_repetition, op7_bottom_k, op8_quality_ftrl, op9_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_linked_secrets, op3_language_ecoc, op5_fingerprint_index, op6_suffix_repetition, op7_bottom_k, op8_quality_ftrl, op9_mixing, op10_bpe)}
 
 OP1_SQL = f"""
 WITH d AS (
@@ -57,6 +61,17 @@ SELECT v.doc_id, v.n_bytes,
 FROM v JOIN f ON v.doc_id = f.doc_id AND v.depth = f.depth JOIN b ON b.depth = v.depth AND b.prefix = v.prefix
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), g AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN sha256(array_to_string(w[i:i+34], ' ')) END AS h FROM p
+), c AS (SELECT doc_id, i, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS hit FROM g
+), s AS (SELECT doc_id, i, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS 34 PRECEDING) AS gone FROM c
+), k AS (SELECT doc_id, sum(gone::INT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -125,4 +140,4 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM p
 """
 
-ORACLE_SQL = {"op1_extendible_sharding": OP1_SQL, "op6_suffix_repetition": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op1_extendible_sharding": OP1_SQL, "op5_fingerprint_index": OP5_SQL, "op6_suffix_repetition": OP6_SQL, "op9_mixing": OP9_SQL}
