@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import bpe, fingerprint, language, mixing, quality, repetition, secrets, sharding, substring
+from spoor.llm import bpe, fingerprint, jaccard, language, mixing, quality, repetition, secrets, sharding, substring
 from spoor.llm.common import documents, tokenizer_path
 
 
@@ -20,6 +20,10 @@ def op3_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op4_adaptive_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_linked_secrets, op3_language_ecoc, op5_fingerprint_index, op6_suffix_repetition, op7_bottom_k, op8_quality_ftrl, op9_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_linked_secrets, op3_language_ecoc, op4_adaptive_prefixes, op5_fingerprint_index, op6_suffix_repetition, op7_bottom_k, op8_quality_ftrl, op9_mixing, op10_bpe)}
 
 OP1_SQL = f"""
 WITH d AS (
@@ -61,6 +65,21 @@ SELECT v.doc_id, v.n_bytes,
 FROM v JOIN f ON v.doc_id = f.doc_id AND v.depth = f.depth JOIN b ON b.depth = v.depth AND b.prefix = v.prefix
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)
+), n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.size + y.size - common)
+), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, v.b FROM r JOIN v ON v.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
@@ -140,4 +159,4 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM p
 """
 
-ORACLE_SQL = {"op1_extendible_sharding": OP1_SQL, "op5_fingerprint_index": OP5_SQL, "op6_suffix_repetition": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op1_extendible_sharding": OP1_SQL, "op4_adaptive_prefixes": OP4_SQL, "op5_fingerprint_index": OP5_SQL, "op6_suffix_repetition": OP6_SQL, "op9_mixing": OP9_SQL}
