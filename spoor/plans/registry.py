@@ -1,6 +1,6 @@
 """All queries of the library itself."""
 
-from spoor.plans import security
+from spoor.plans import corpus, security
 
-QUERIES = {**security.Q}
-ORACLE_SQL = {**security.SQL}
+QUERIES = {**security.Q, **corpus.Q}
+ORACLE_SQL = {**security.SQL, **corpus.SQL}
