@@ -1,6 +1,6 @@
 """All queries of the library itself."""
 
-from spoor.plans import corpus, security
+from spoor.plans import corpus, parity, security
 
-QUERIES = {**security.Q, **corpus.Q}
-ORACLE_SQL = {**security.SQL, **corpus.SQL}
+QUERIES = {**security.Q, **corpus.Q, **parity.Q}
+ORACLE_SQL = {**security.SQL, **corpus.SQL, **parity.SQL}
