@@ -1,6 +1,6 @@
 """All queries of the library itself."""
 
-from spoor.plans import corpus, parity, security
+from spoor.plans import corpus, parity, security, sources
 
-QUERIES = {**security.Q, **corpus.Q, **parity.Q}
-ORACLE_SQL = {**security.SQL, **corpus.SQL, **parity.SQL}
+QUERIES = {**security.Q, **corpus.Q, **parity.Q, **sources.Q}
+ORACLE_SQL = {**security.SQL, **corpus.SQL, **parity.SQL, **sources.SQL}
