@@ -39,8 +39,8 @@ def reorder_window(arrivals: DataFrame, window_us: int, pending: int = PENDING)
     """A stream ``recording_id, us, arrival`` released in order of time, ``window_us`` behind the newest record.
 
     What is older than the last one released is emitted all the same, marked late. At most ``pending`` records
-    wait per recording; the oldest of more are released early. What still waits comes out when the
-    recording is quiet for a minute of processing time.
+    wait per recording; the oldest of more are released early. A record whose time is null ends the recording:
+    what still waits comes out and the state goes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,23 +58,25 @@ def reorder_window(arrivals: DataFrame, window_us: int, pending: int = PENDING)
                 released = max(released, u)
             waiting = waiting[n:]
 
-        if state.hasTimedOut:
-            let_go(1 << 62)
+        rows = sorted((int(a), None if pd.isna(u) else int(u)) for b in batches for a, u in zip(b["arrival"], b["us"], strict=True))
+        ended = False
+        for a, u in rows:
+            if u is None:
+                let_go(1 << 62)
+                ended = True
+            elif u < released:
+                out.append((key[0], u, a, True))
+            else:
+                waiting.append((u, a))
+                newest = max(newest, u)
+                let_go(newest - window_us)
+        if ended and not waiting:
             state.remove()
         else:
-            rows = sorted((int(a), int(u)) for b in batches for a, u in zip(b["arrival"], b["us"], strict=True))
-            for a, u in rows:
-                if u < released:
-                    out.append((key[0], u, a, True))
-                else:
-                    waiting.append((u, a))
-                    newest = max(newest, u)
-                    let_go(newest - window_us)
             state.update(([w[0] for w in waiting], [w[1] for w in waiting], newest, released))
-            state.setTimeoutDuration(60_000)
         yield pd.DataFrame(out, columns=["recording_id", "us", "arrival", "late"])
 
-    return arrivals.groupBy("recording_id").applyInPandasWithState(step, RELEASED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return arrivals.groupBy("recording_id").applyInPandasWithState(step, RELEASED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, mode: str, path: str) -> DataFrame:
