@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import spoor
+from spoor.scratch import materialize, shared_dir
 
 # Functions that run inside tasks travel with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(spoor)
 
+__all__ = ["materialize", "shared_dir"]
+
 #: The word of all operators here: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,38 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset
-    (local tests) a fresh temporary one, which is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _own_dir(spark)
-    return base.rstrip("/")
-
-
-def _own_dir(spark: SparkSession) -> str:
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there,
-    so a lost executor costs one read, not the whole history."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spoor.llm.common import materialize, n_partitions, shared_dir
+from spoor.llm.common import n_partitions
 from spoor.llm.hashing import WordHashes, blocks, mix, runs
+from spoor.llm.sieve import Sieve, key_of
+from spoor.scratch import discard, materialize, shared_dir
 
 WINDOW = 35
 ANCHOR = 12
@@ -117,7 +119,8 @@ class FingerprintIndex:
         (_, newer), (level, older) = self.levels.pop(), self.levels.pop()
         self.levels.append((level + 1, self._write(_merged(self.spark.table(older), self.spark.table(newer)))))
         for name in (newer, older):
-            self.spark.sql(f"DROP TABLE {name}")  # the files stay until the shared folder is cleared: late retries may read them
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, f"{shared_dir(self.spark)}/{name}")
 
     def _write(self, run: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
@@ -150,6 +153,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 )
 
     w = wanted.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "spans")
+    docs = Sieve(wanted.select(key_of().alias("k")), "k").keep(docs.withColumn("k", key_of()), "k")
     rows = docs.join(w.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(w["w_doc_id"]) & (docs["tie"] == w["w_tie"]))
     return rows.select("doc_id", "tie", "text", "spans").mapInArrow(run, "doc_id long, tie long, start int, open boolean, one long, two long")
 
@@ -166,13 +170,17 @@ def repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor: int
     counts = index.compact()
 
     anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
-    repeated = counts.join(anchors.drop("total"), "anchor").select("anchor", "content", "n", "contents")
-    found = materialize(found.join(repeated, ["anchor", "content"]), "segments-repeated")
+    anchors = materialize(anchors.drop("total"), "anchors-repeated")
+    sieve = Sieve(anchors, "anchor")  # most anchors occur once; they need not be shuffled
+    repeated = sieve.keep(counts, "anchor").join(anchors, "anchor").select("anchor", "content", "n", "contents")
+    every, found = found, materialize(sieve.keep(found, "anchor").join(repeated, ["anchor", "content"]), "segments-repeated")
+    discard(spark, every.scratch_path)
 
     # One segment stands for each content of an anchor that has several; if it is the only one, it is open.
     one = F.min(F.struct("doc_id", "tie", "start", "size", (F.col("n") == 1).alias("open")))
     stand = found.where("contents > 1").groupBy("anchor", "content").agg(one.alias("s"))
     wanted = stand.groupBy(F.col("s.doc_id").alias("doc_id"), F.col("s.tie").alias("tie")).agg(F.collect_list(F.struct("s.start", "s.size", "s.open")).alias("spans"))
+    wanted = materialize(wanted, "windows-wanted")
     single = materialize(_windows(docs, wanted, window), "windows")
     place = F.struct("doc_id", "tie", "start")
     twice = single.groupBy("one", "two").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("one", "two")
@@ -191,7 +199,7 @@ def remove_repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anch
     that repeat repeat each other: all their windows go. An empty table gives an empty one.
     """
     docs = keyed(docs)
-    spans = repeats(docs, batches, window, anchor)
+    spans = materialize(repeats(docs, batches, window, anchor), "repeats")
     s = spans.select(F.col("doc_id").alias("s_doc_id"), F.col("tie").alias("s_tie"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +223,11 @@ def remove_repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anch
             arrays, names = [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(left, pa.string())] if keep_text else arrays, [*names, "kept"] if keep_text else names)
 
-    rows = docs.join(s.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(s["s_doc_id"]) & (docs["tie"] == s["s_tie"]), "left")
+    # Only texts that may have something to remove are shuffled.
+    touched = Sieve(spans.select(key_of().alias("k")), "k").may_hold("k")
+    marked = docs.withColumn("k", key_of()).withColumn("touched", touched)
+    hit, rest = marked.where("touched"), marked.where("not touched")
+    rows = hit.join(s.hint("shuffle_hash"), hit["doc_id"].eqNullSafe(s["s_doc_id"]) & (hit["tie"] == s["s_tie"]), "left").select("doc_id", "text", "spans")
+    rows = rows.unionByName(rest.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
     return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
