@@ -38,7 +38,7 @@ def codewords(k: int) -> np.ndarray:
     each. More: the best of several seeded random codes by least distance between two words."""
     if k <= 7:
         columns = [[1 if i == 0 or not (m >> (i - 1)) & 1 else -1 for i in range(k)] for m in range(1, 1 << (k - 1))] if k > 1 else []
-        return np.array(columns, np.int8).reshape(-1, k).T
+        return np.array(columns, np.int8).reshape(len(columns), k).T
     rng, best, far = np.random.default_rng(20), None, -1
     bits = 15 * int(np.ceil(np.log2(k)))
     for _ in range(50):
