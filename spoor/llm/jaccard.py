@@ -1,6 +1,6 @@
 """Joining documents on the Jaccard similarity of their word n-grams, with adaptive multi-match prefixes.
 
-All n-grams get one order: those that many documents share come last. Two sets over the threshold have
+All n-grams get one order: those of rare words first, so that few documents meet in what comes first. Two sets over the threshold have
 so many common n-grams that the first l of them lie in both prefixes of length
 size - least overlap + l, for any l. A document whose prefix would meet many others gets a larger l: a longer
 prefix, of which more has to be shared before a pair is verified.
@@ -19,35 +19,41 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spoor.llm.common import materialize
 from spoor.llm.components import components
 from spoor.llm.hashing import WordHashes, blocks, mix, runs
+from spoor.llm.sieve import Sieve, key_of
 from spoor.llm.substring import keyed
+from spoor.scratch import materialize
 
-#: Entries in the table of n-grams that come last in the order. Others are ordered by hash; the
-#: order never changes a result.
-LATE = 1 << 17
+#: Words whose counts are known. They set the order of n-grams, which never changes a result.
+FREQUENT = 1 << 18
 #: Documents that may share an n-gram for its pairs to be listed.
 RARE = 24
 #: Largest l for listed pairs; all prefixes are long enough for it.
 MATCHES = 4
 #: Documents of a block's side.
-SIDE = 128
-SIDE_BYTES = 8 << 20
+SIDE = 512
+SIDE_BYTES = 16 << 20
 
 
-def gram_sets(texts: list[str], n: int, hashes: WordHashes) -> list[np.ndarray]:
-    """The different n-gram hashes of each text, ascending. A-Z count as a-z; a text of fewer words
-    is one n-gram of all its words."""
+def gram_sets(texts: list[str], n: int, hashes: WordHashes, known: Known) -> list[np.ndarray]:
+    """The different n-gram hashes of each text, in the order of all: by the count of the n-gram's rarest
+    word, then by hash. A-Z count as a-z; a text of fewer words is one n-gram of all its words."""
     split = [t.encode().lower().split() for t in texts]
     ends = np.cumsum([len(w) for w in split])
     h = hashes.of([w for words in split for w in words])
+    word, of = np.unique(h, return_inverse=True)
+    count = known.counts(word)[of]
     every = runs(h, n) if len(h) >= n else h[:0]
+    rarest = count[: len(every)].copy()
+    for k in range(1, n):
+        np.minimum(rarest, count[k : k + len(every)], out=rarest)
     out = []
     for words, end in zip(split, ends, strict=True):
         start, k = end - len(words), len(words)
         if k >= n:
-            out.append(np.unique(every[start : end - n + 1]))
+            grams, first = np.unique(every[start : end - n + 1], return_index=True)
+            out.append(grams[np.argsort(rarest[start : end - n + 1][first], kind="stable")])
         else:
             out.append(runs(h[start:end], k) if k else h[:0])
     return out
@@ -58,36 +64,38 @@ def least_overlap(size: np.ndarray | int, percent: int):
     return (percent * size + 99) // 100
 
 
-def ordered(grams: np.ndarray, late: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """n-grams in the order of all: by hash, then the late ones by rank."""
-    if not len(late):
-        return grams
-    at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
-    place = np.where(late[at] == grams, rank[at], 0)
-    return grams[np.lexsort((grams, place))]
+class Known:
+    """Counts of the most frequent words, by hash; 0 for any other."""
 
+    def __init__(self, word: np.ndarray, count: np.ndarray):
+        by = np.argsort(word)
+        self.word, self.count = word[by], count[by]
 
-def late_grams(docs: DataFrame, n: int, size: int = LATE) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that most documents share, and their rank: of all texts, those met twice within some
-    block of texts are counted; the ``size`` highest counts are kept, a bounded table."""
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.zeros(len(word), np.int64)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return np.where(self.word[at] == word, self.count[at], 0)
+
+
+def frequent_words(docs: DataFrame, size: int = FREQUENT) -> Known:
+    """Counts over all texts of the ``size`` most frequent words, a bounded table. Within a task, texts
+    met before and words met once in a stretch of text are left out; this only shifts the order of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        waiting, room = [], 0
+        waiting, room, seen = [], 0, set()
 
         def count() -> pa.RecordBatch:
-            gram, times = np.unique(np.concatenate(waiting), return_counts=True)
+            word, times = np.unique(np.concatenate(waiting), return_counts=True)
             many = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(gram[many].view(np.int64)), pa.array(times[many])], ["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(word[many].view(np.int64)), pa.array(times[many])], ["word", "n"])
 
-        seen: set[int] = set()
         for _, texts in blocks(batches, 0):
-            for grams in gram_sets(texts, n, hashes):
-                whole = hash(grams.tobytes())
-                if whole not in seen:  # copies of one text say nothing about what different ones share
-                    seen.add(whole)
-                    waiting.append(grams)
-                    room += len(grams)
+            new = [t for t in texts if hash(t) not in seen]
+            seen.update(map(hash, new))
+            waiting.append(hashes.of([w for t in new for w in t.encode().lower().split()]))
+            room += len(waiting[-1])
             if room > 1_500_000:
                 yield count()
                 waiting, room = [], 0
@@ -95,30 +103,27 @@ def late_grams(docs: DataFrame, n: int, size: int = LATE) -> tuple[np.ndarray, n
         if waiting:
             yield count()
 
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "gram").limit(size).toPandas()
-    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(gram)
-    return gram[by], rows["n"].to_numpy(np.int64)[by]
+    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "word").limit(size).toPandas()
+    return Known(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
 
-def profiles(docs: DataFrame, n: int, percent: int, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def profiles(docs: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     """``doc_id, tie, size, node, twin, prefix``: the size of each set, two hashes of its content (null
     without words), and its prefix for MATCHES matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(late)  # at most LATE entries
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most FREQUENT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        gram, rank = shared.value
         for part, texts in blocks(batches, 2):
             sizes, nodes, twins, prefixes = [], [], [], []
-            for grams in gram_sets(texts, n, hashes):
+            for grams in gram_sets(texts, n, hashes, shared.value):
                 s = len(grams)
                 sizes.append(s)
                 if s:
                     nodes.append(mix(np.array([grams.sum()], np.uint64), s, 0).view(np.int64)[0])
                     twins.append(mix(np.array([mix(grams, s, 1).sum()], np.uint64), s, 1).view(np.int64)[0])
-                    prefixes.append(ordered(grams, gram, rank)[: s - least_overlap(s, percent) + MATCHES].view(np.int64))
+                    prefixes.append(grams[: s - least_overlap(s, percent) + MATCHES].view(np.int64))
                 else:
                     nodes.append(None)
                     twins.append(None)
@@ -184,7 +189,7 @@ def forest(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], matches
     return out
 
 
-def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     """Edges ``a, b`` between nodes: all of them are links, and every link's ends are connected."""
     reps = profile.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("twin").alias("t1"), F.max("twin").alias("t2")
@@ -192,11 +197,11 @@ def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, late: tuple
     reps = materialize(reps, "jaccard-nodes")
     if not reps.where("t1 != t2").isEmpty():
         raise RuntimeError("two different sets have one 64-bit hash; shift the seed in hashing.FAMILIES")
+    rows = reps.select("node", F.posexplode("prefix").alias("pos", "gram"))
+    shared = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
+    rows = Sieve(shared, "gram").keep(rows, "gram").join(shared, "gram")  # most n-grams occur once and stay behind
     base = F.col("size") - F.floor((F.col("size") * percent + 99) / 100).cast("long") + 1  # prefix for one match
-    rows = reps.select("node", "size", base.alias("base"), F.posexplode("prefix").alias("pos", "gram"))
-    shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = rows.join(shared, "gram")
-    rows = materialize(rows, "jaccard-prefixes")
+    rows = materialize(rows.join(reps.select("node", "size", base.alias("base")), "node"), "jaccard-prefixes")
     # The more documents a prefix would meet, the more n-grams a pair has to share.
     cost = F.sum(F.when(F.col("pos") < F.col("base"), F.col("df") - 1).otherwise(0))
     stats = rows.groupBy("node").agg(cost.alias("cost"), F.count(F.lit(1)).alias("met"), F.first("size").alias("size"))
@@ -222,15 +227,15 @@ def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, late: tuple
     by_gram = frequent.join(heads, "gram").select("head", "node", F.lit(1).alias("kind")).distinct()
     members = materialize(by_pairs.unionByName(by_gram), "jaccard-groups")
 
-    needed = members.select("node").distinct().join(reps, "node").select("node", "rep.doc_id", "rep.tie").join(stats.select("node", "deep"), "node", "left")
-    sets = materialize(_sets(docs, needed, n, late), "jaccard-sets")
-    placed = members.join(sets, "node")
-    totals = members.join(sets.select("node", F.col("size").alias("s")), "node").groupBy("head", "kind").agg(F.count(F.lit(1)).alias("m"), F.sum("s").alias("grams"))
+    # Groups of many or large sets are dealt to several sides; every two sides are one block.
+    sized = members.join(reps.select("node", "size", "rep"), "node")
+    totals = sized.groupBy("head", "kind").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams")).where("m > 1")
     sides = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(F.col("grams") * 8 / SIDE_BYTES)).cast("int")
-    placed = placed.join(totals.select("head", "kind", sides.alias("sides")), ["head", "kind"])
+    sized = sized.join(totals.select("head", "kind", sides.alias("sides")), ["head", "kind"])
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
-    placed = placed.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    placed = placed.select("head", "kind", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), F.when(F.col("side") > F.col("other"), 1).otherwise(0).alias("second"), "node", "size", "deep", "grams")
+    needed = sized.groupBy("node").agg(F.first("rep").alias("rep"), F.collect_list(F.struct("head", "kind", side.alias("side"), "sides")).alias("groups"))
+    needed = needed.join(stats.select("node", "deep"), "node", "left").select("node", "rep.doc_id", "rep.tie", F.coalesce("deep", F.lit(1)).cast("long").alias("deep"), "groups")
+    placed = _placed_sets(docs, materialize(needed, "jaccard-needed"), n, known)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
@@ -243,22 +248,38 @@ def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, late: tuple
     return placed.groupBy("head", "kind", "i", "j").applyInPandas(block, "a long, b long")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, n: int, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``node, size, deep, grams``: whole sets in the common order, of one document per node."""
-    shared = docs.sparkSession.sparkContext.broadcast(late)
+def _placed_sets(docs: DataFrame, needed: DataFrame, n: int, known: Known) -> DataFrame:
+    """Whole sets in the common order, of one document per node, a row for each block that it belongs to:
+    ``head, kind, i, j, second, node, size, deep, grams``."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        gram, rank = shared.value
-        for part, texts in blocks(batches, 2):
-            sets = gram_sets(texts, n, hashes)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), part.column(1), pa.array([ordered(s, gram, rank).tobytes() for s in sets], pa.binary())], ["node", "size", "deep", "grams"]
-            )
-
-    w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", F.coalesce("deep", F.lit(1)).cast("long").alias("deep"))
+        hashes, met = WordHashes(), set()
+        for part, texts in blocks(batches, 3):
+            rows = []
+            for node, deep, groups, grams in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), gram_sets(texts, n, hashes, shared.value), strict=True):
+                if node in met:  # a row that repeats
+                    continue
+                met.add(node)
+                whole = grams.tobytes()
+                for g in groups:
+                    for other in range(g["sides"]):
+                        rows.append((g["head"], g["kind"], min(g["side"], other), max(g["side"], other), int(g["side"] > other), node, len(grams), deep, whole))
+                        if len(rows) >= 512:
+                            yield _batch(rows)
+                            rows = []
+            if rows:
+                yield _batch(rows)
+
+    w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", "deep", "groups")
+    docs = Sieve(needed.select(key_of().alias("k")), "k").keep(docs.withColumn("k", key_of()), "k")
     rows = docs.join(w.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(w["w_doc_id"]) & (docs["tie"] == w["w_tie"]))
-    return rows.select("node", "deep", "text").mapInArrow(run, "node long, size long, deep long, grams binary").dropDuplicates(["node"])
+    return rows.select("node", "deep", "groups", "text").mapInArrow(run, "head long, kind int, i int, j int, second int, node long, size long, deep long, grams binary")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "kind", "i", "j", "second", "node", "size", "deep", "grams"])
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -270,9 +291,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     one set are one node, so copies are never compared. An empty table gives an empty one.
     """
     docs = keyed(docs)
-    late = late_grams(docs, n)
-    profile = materialize(profiles(docs, n, percent, late), "jaccard-profiles")
-    labels = components(links(docs, profile, n, percent, late))
+    known = frequent_words(docs)
+    profile = materialize(profiles(docs, n, percent, known), "jaccard-profiles")
+    labels = components(links(docs, profile, n, percent, known))
     nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     heads = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -288,12 +309,15 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     whole = found.where("label is not null")
     # A component is summed up, not gathered.
     first = whole.groupBy("label").agg(F.min(F.struct("doc_id", "tie")).alias("k"))
-    keep = first.select("k.doc_id", "k.tie").unionByName(found.where("label is null").select("doc_id", "tie").distinct())
-    keep = keep.select(F.col("doc_id").alias("_k_id"), F.col("tie").alias("_k_tie"))
-    repeated = not whole.groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_k_id")) & (F.xxhash64("text") == F.col("_k_tie"))
-    rows = docs.join(keep.hint("shuffle_hash"), same, "left_semi")
-    if not repeated:
-        return rows
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rows.where(empty).unionByName(rows.where(~empty).dropDuplicates(["doc_id", "text"]))
+    gone = whole.join(first, "label").where(~F.struct("doc_id", "tie").eqNullSafe(F.col("k"))).select("doc_id", "tie", key_of().alias("_k")).distinct()
+    gone = materialize(gone, "jaccard-gone")
+    # Only what may go is shuffled.
+    rows = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("_tie", F.xxhash64("text"))
+    rows = rows.withColumn("_maybe", Sieve(gone, "_k").may_hold("_k"))
+    g = gone.select(F.col("doc_id").alias("_g_id"), F.col("tie").alias("_g_tie"))
+    maybe = rows.where("_maybe").join(g.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_g_id")) & (F.col("_tie") == F.col("_g_tie")), "left_anti")
+    kept = rows.where("not _maybe").unionByName(maybe).select(*docs.columns)
+    if whole.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        return kept
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # rows that repeat, id and text
+    return kept.where(empty).unionByName(kept.where(~empty).dropDuplicates(["doc_id", "text"]))
