@@ -1 +1,8 @@
 """Install-behaviour analytics as Spark jobs over a corpus of recordings."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

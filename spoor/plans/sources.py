@@ -10,7 +10,7 @@ from spoor.operators import rules
 from spoor.plans import bridge
 from spoor.plans.security import BASE
 from spoor.scratch import shared_dir
-from spoor.sources import recordings
+from spoor.sources import lockfiles, recordings
 from spoor.streaming import live
 
 Q, SQL = {}, {}
@@ -63,3 +63,22 @@ Q["stream_ingest"] = stream_ingest
 SQL["stream_ingest"] = BASE + "SELECT recording_id, op, count(*) AS n FROM p GROUP BY ALL"
 Q["live_score"] = live_score
 SQL["live_score"] = BASE + "SELECT recording_id, rule_id, subject, occurrences, severity FROM f"
+
+
+def read_lockfiles(spark, d):
+    """The lock packages of each repository and side, written as a flat lockfile and read again."""
+    packages = bridge.lock_packages(spark, d).where("source_kind <> 'directory'")
+    url = F.when(F.col("source_kind") == "git", F.lit("git+https://h.example/x.git")).otherwise(F.lit("https://r.example/x.tgz"))
+    entry = F.struct("version", url.alias("resolved"), "integrity", "dev")
+    key = F.concat(F.lit("node_modules/"), "key", F.lit("/node_modules/"), "name")
+    packages = packages.dropDuplicates(["repo", "side", "key"])
+    # One lockfile is one value by its nature; a repository's packages are what bounds it.
+    files = packages.groupBy("repo", "side").agg(F.map_from_entries(F.collect_list(F.struct(key, entry))).alias("packages"))
+    lockfile = F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), "packages"))
+    rows = lockfiles.read_lockfiles(files.select(F.concat_ws(":", F.col("repo").cast("string"), "side").alias("lockfile_id"), lockfile.alias("content")))
+    return rows.select("lockfile_id", "key", "name", "version", "source_kind", "integrity", "dev")
+
+
+Q["read_lockfiles"] = read_lockfiles
+SQL["read_lockfiles"] = f"""SELECT DISTINCT repo || ':' || side AS lockfile_id, 'node_modules/' || key || '/node_modules/' || name AS key, name, version, source_kind, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
+FROM ({bridge.duckdb(bridge.LOCK)}) WHERE source_kind <> 'directory'"""
