@@ -4,15 +4,10 @@ from __future__ import annotations
 
 import os
 
-import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-import spoor
 from spoor.scratch import materialize, shared_dir
 
-# Functions that run inside tasks travel with the plan, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(spoor)
-
 __all__ = ["materialize", "shared_dir"]
 
 #: The word of all operators here: a run of anything but ASCII white space.
