@@ -26,7 +26,7 @@ from spoor.llm.substring import keyed
 from spoor.scratch import materialize
 
 #: Words whose counts are known. They set the order of n-grams, which never changes a result.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Documents that may share an n-gram for its pairs to be listed.
 RARE = 24
 #: Largest l for listed pairs; all prefixes are long enough for it.
@@ -104,8 +104,18 @@ def frequent_words(docs: DataFrame, size: int = FREQUENT) -> Known:
             yield count()
 
     counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(size).toPandas()
-    return Known(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+    counted = materialize(counted, "jaccard-words")
+    # How many words have each count tells the least count that fits; a sort for it would meet in the driver.
+    least, room = 0, size
+    for n, words in sorted(((r["n"], r["count"]) for r in counted.where("n > 9").groupBy("n").count().collect()), reverse=True):
+        if words > room:
+            least = n
+            break
+        room -= words
+    if not least and counted.where("n <= 9").count() > room:
+        least = 9
+    rows = counted.where(F.col("n") > least).toArrow()
+    return Known(rows["word"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64))
 
 
 def profiles(docs: DataFrame, n: int, percent: int, known: Known) -> DataFrame:

@@ -25,9 +25,9 @@ class Sieve:
         n = keys.count()
         self.bits = min(MOST_BITS, 1 << max(10, int(16 * n).bit_length()))
         place = F.explode(F.array(*_places(F.col(column), self.bits)))
-        words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
+        words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
         table = np.zeros(max(1, self.bits >> 6), np.uint64)
-        table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+        table[words["w"].to_numpy().astype(np.int64)] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
         self.shared = keys.sparkSession.sparkContext.broadcast(table)
 
     def may_hold(self, column: str) -> Column:
