@@ -184,10 +184,11 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
     string); null or repeated doc_ids stay as they are; other columns are left out.
     """
     spark = docs.sparkSession
-    codec = spark.sparkContext.broadcast(Codec(read_vocabulary(spark, vocabulary_path)))  # one vocabulary: a fixed size
+    shared = spark.sparkContext.broadcast(read_vocabulary(spark, vocabulary_path))  # one vocabulary: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec.value.build()
+        own = shared.value  # lives as long as the worker, and the codec with its memo in it
+        c = own.get("codec") or own.setdefault("codec", Codec({k: own[k] for k in ("vocab", "merges", "special")}).build())
         sha = hashlib.sha256
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -121,13 +121,12 @@ def frequent_words(docs: DataFrame, size: int = FREQUENT) -> Known:
 def profiles(docs: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     """``doc_id, tie, size, node, twin, prefix``: the size of each set, two hashes of its content (null
     without words), and its prefix for MATCHES matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most FREQUENT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part, texts in blocks(batches, 2):
             sizes, nodes, twins, prefixes = [], [], [], []
-            for grams in gram_sets(texts, n, hashes, shared.value):
+            for grams in gram_sets(texts, n, hashes, known):
                 s = len(grams)
                 sizes.append(s)
                 if s:
@@ -261,13 +260,12 @@ def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, known: Know
 def _placed_sets(docs: DataFrame, needed: DataFrame, n: int, known: Known) -> DataFrame:
     """Whole sets in the common order, of one document per node, a row for each block that it belongs to:
     ``head, kind, i, j, second, node, size, deep, grams``."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
         for part, texts in blocks(batches, 3):
             rows = []
-            for node, deep, groups, grams in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), gram_sets(texts, n, hashes, shared.value), strict=True):
+            for node, deep, groups, grams in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), gram_sets(texts, n, hashes, known), strict=True):
                 if node in met:  # a row that repeats
                     continue
                 met.add(node)

@@ -115,10 +115,9 @@ def predict(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.5)
     ambiguous; so does every text if there was nothing to learn from. One row in, one row out,
     repeated rows and null ids included; columns other than doc_id and text play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x features, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model  # languages x features, whatever the corpus
         for batch in batches:
             n = batch.num_rows
             margins, known = np.zeros((n, m.weights.shape[1])), np.zeros(n, bool)
@@ -160,10 +159,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language could be told: not ``und`` and not ambiguous. The decision is
     taken in the same task as the text, so nothing is shuffled and repeated ids do not matter."""
     model = fit(docs, fold(F.col("doc_id"), 3) != 1)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model  # languages x features, whatever the corpus
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, value in enumerate(batch.column(batch.schema.get_field_index("text"))):
