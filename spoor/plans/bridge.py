@@ -122,3 +122,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     argv = F.when(F.col("script").isNotNull(), F.array(F.lit("sh"), F.lit("-c"), F.col("script"))).when(F.col("bin").isNotNull(), F.array("bin")).otherwise(F.array().cast("array<string>"))
     return bridge_events(spark, sf_dir).withColumn("extra", F.array("zone_extra")).withColumn("argv", argv)
+
+
+def recorder_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bridge events of all recordings as two recorders' views: recordings 2k and 2k + 1 are sides 1 and 2 of pair k."""
+    from pyspark.sql import functions as F
+
+    rec = F.col("recording_id")
+    return events(spark, sf_dir).withColumns({"pair_id": F.floor(rec / 2), "side": (rec % 2 + 1).cast("int")})

@@ -13,13 +13,20 @@ Q, SQL = {}, {}
 
 
 def sides(spark, d) -> DataFrame:
-    """The first two versions of a package stand for two recorders of one workload."""
+    """The first two versions of a package stand for two recorders of one workload; the others are left out."""
     rows = bridge.events(spark, d).where(F.col("version").isin("1.0.0", "1.0.1"))
-    first = F.col("version") == "1.0.0"
-    path = F.when(first & (F.col("origin") == "unresolved"), F.concat(F.lit("/work/x/"), "path")).otherwise(F.col("path"))
-    rows = rows.withColumn("path", path)
-    pairs = rows.select("recording_id", F.col("package").alias("pair_id"), F.when(first, 1).otherwise(2).alias("side")).distinct()
-    return parity.facts(rows).join(pairs, "recording_id").drop("recording_id")
+    return _facts(rows.withColumns({"pair_id": F.col("package"), "side": F.when(F.col("version") == "1.0.0", 1).otherwise(2)}))
+
+
+def recorder_sides(spark, d) -> DataFrame:
+    """The same of every recording."""
+    return _facts(bridge.recorder_sides(spark, d))
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    path = F.when((F.col("side") == 1) & (F.col("origin") == "unresolved"), F.concat(F.lit("/work/x/"), "path")).otherwise(F.col("path"))
+    pairs = rows.select("recording_id", "pair_id", "side").distinct()
+    return parity.facts(rows.withColumn("path", path)).join(pairs, "recording_id").drop("recording_id")
 
 
 FACTS = (
@@ -60,16 +67,25 @@ def _add(name, f, sql):
     Q[name], SQL[name] = f, sql
 
 
-_add("facts", sides, FACTS + "SELECT * FROM fa")
-_add("set_difference", lambda s, d: parity.differences(sides(s, d)), FACTS + "SELECT * FROM df")
-_add("set_intersection", lambda s, d: parity.differences(sides(s, d)).where("seen_by = 'both'").drop("seen_by"), FACTS + "SELECT * EXCLUDE seen_by FROM df WHERE seen_by = 'both'")
-_add("relative_counterpart", lambda s, d: parity.relative_counterpart(sides(s, d)), FACTS + "SELECT * FROM cp")
-_add("mkdir_ancestor", lambda s, d: parity.mkdir_ancestor(sides(s, d)), FACTS + "SELECT * FROM md")
-_add("parity_compare", lambda s, d: parity.compare(sides(s, d)), FACTS + "SELECT *, reason IS NOT NULL AS expected FROM cmp")
-_add(
+#: The same over every recording: no version is left out.
+EVERY = FACTS.replace(" FROM p WHERE version IN ('1.0.0', '1.0.1')", " FROM p").replace("version = '1.0.0'", "recording_id % 2 = 0").replace("package AS pair_id", "recording_id // 2 AS pair_id")
+
+
+def _add_both(name, f, sql):
+    _add(name, lambda s, d: f(sides(s, d)), FACTS + sql)
+    _add(f"recorder_{name}", lambda s, d: f(recorder_sides(s, d)), EVERY + sql)
+
+
+_add_both("facts", lambda rows: rows, "SELECT * FROM fa")
+_add_both("set_difference", parity.differences, "SELECT * FROM df")
+_add_both("set_intersection", lambda rows: parity.differences(rows).where("seen_by = 'both'").drop("seen_by"), "SELECT * EXCLUDE seen_by FROM df WHERE seen_by = 'both'")
+_add_both("relative_counterpart", parity.relative_counterpart, "SELECT * FROM cp")
+_add_both("mkdir_ancestor", parity.mkdir_ancestor, "SELECT * FROM md")
+_add_both("parity_compare", parity.compare, "SELECT *, reason IS NOT NULL AS expected FROM cmp")
+_add_both(
     "parity_counts",
-    lambda s, d: parity.counts(sides(s, d)),
-    FACTS + "SELECT pair_id, class, count(*) FILTER (seen_by IN ('first', 'both')) AS first, count(*) FILTER (seen_by IN ('second', 'both')) AS second, count(*) FILTER (seen_by = 'both') AS shared FROM df GROUP BY ALL",
+    parity.counts,
+    "SELECT pair_id, class, count(*) FILTER (seen_by IN ('first', 'both')) AS first, count(*) FILTER (seen_by IN ('second', 'both')) AS second, count(*) FILTER (seen_by = 'both') AS shared FROM df GROUP BY ALL",
 )
 
 
