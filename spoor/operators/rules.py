@@ -219,6 +219,31 @@ def signal_log(events: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(worst, ["recording_id", "subject"], "left").select("recording_id", "n", "op", "subject", F.when(F.col("ok"), "ok").when(~F.col("ok"), "failed").otherwise("unknown").alias("outcome"), "origin", "delta_tenths", "rule_id")
 
 
+def signal_findings(events: DataFrame, found: DataFrame) -> DataFrame:
+    """``signal_log`` with the whole command line as a spawn's subject and the address alone where a connection has
+    no port. A subject without a finding of its own takes the first, in order of the text, of those that end in an
+    ellipsis and that it begins with, or that are the basename of its first word."""
+    c = F.col
+    order = Window.partitionBy("recording_id").orderBy("seq")
+    address = F.concat("ip", F.coalesce(F.concat(F.lit(":"), c("port").cast("string")), F.lit("")))
+    subject = F.when(c("op") == "proc_spawn", proc.command_line(c("argv"), c("bin"))).when(c("op") == "net_connect", address).when(c("op") == "dns_query", c("qname")).otherwise(c("path"))
+    rows = signal_log(events, found).drop("rule_id", "subject")
+    subjects = events.where(~c("op").isin(*FRAMING)).select("recording_id", F.row_number().over(order).cast("long").alias("n"), subject.alias("subject"))
+    rows = rows.join(subjects, ["recording_id", "n"])
+
+    worst = found.groupBy("recording_id", c("subject").alias("key")).agg(F.min(F.struct("sev_rank", (-c("occurrences")).alias("o"), "rule_id")).alias("w")).select("recording_id", "key", "w.rule_id")
+    # The lengths of a recording's cut subjects, as a rule one: every start of these lengths is looked up by an equi-join.
+    cut = worst.where(c("key").endswith("…")).groupBy("recording_id").agg(F.collect_set(F.char_length("key") - 1).alias("lengths"))
+    told = subjects.select("recording_id", "subject").where("subject is not null").distinct().join(cut, "recording_id", "left")
+    none = F.array().cast("array<string>")
+    starts = F.transform(F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.char_length("subject")), lambda n: F.concat(F.substring(c("subject"), F.lit(1), n), F.lit("…")))
+    word = F.regexp_extract("subject", r"(?U)^\s*(\S+)", 1)
+    keys = F.array_distinct(F.concat(F.array("subject"), starts, F.when(word != "", F.array(paths.basename(word))).otherwise(none)))
+    met = told.select("recording_id", "subject", F.explode(keys).alias("key")).join(worst, ["recording_id", "key"])
+    best = met.groupBy("recording_id", "subject").agg(F.min(F.struct((c("key") != c("subject")).alias("other"), "key", "rule_id")).alias("b")).select("recording_id", "subject", "b.rule_id")
+    return rows.join(best, ["recording_id", "subject"], "left").select("recording_id", "n", "op", "subject", "outcome", "origin", "delta_tenths", "rule_id")
+
+
 def sarif_rows(found: DataFrame) -> DataFrame:
     """Per recording one SARIF-shaped JSON text of results and rules."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")

@@ -188,6 +188,24 @@ def _(spark, d):
     return rules.signal_log(e, rules.findings(e))
 
 
+@query(
+    "signal_findings",
+    BASE
+    + """, w AS (SELECT recording_id, subject AS key, arg_min(rule_id, struct_pack(a := sev_rank, b := -occurrences, c := rule_id)) AS rule_id FROM f GROUP BY ALL
+), o AS (SELECT *, CASE op WHEN 'proc_spawn' THEN command WHEN 'net_connect' THEN ip || coalesce(':' || port, '') WHEN 'dns_query' THEN qname ELSE path END AS subj, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS n,
+    greatest(ts_ns - coalesce(lag(ts_ns) OVER (PARTITION BY recording_id ORDER BY seq), ts_ns), 0) AS gap FROM p
+), k AS (
+  SELECT o.recording_id, n, arg_min(rule_id, struct_pack(a := key <> subj, b := key)) AS rule_id
+  FROM o JOIN w ON w.recording_id = o.recording_id AND (key = subj OR ends_with(key, '…') AND starts_with(subj, key[:-2]) OR key = split_part(regexp_extract(subj, '^\\s*(\\S+)', 1), '/', -1)) GROUP BY ALL
+)
+SELECT o.recording_id, o.n, op, subj AS subject, CASE WHEN ok THEN 'ok' WHEN NOT ok THEN 'failed' ELSE 'unknown' END AS outcome, origin, CAST((gap // 1000) // 100 AS BIGINT) AS delta_tenths, k.rule_id
+FROM o LEFT JOIN k ON k.recording_id = o.recording_id AND k.n = o.n""",
+)
+def _(spark, d):
+    e = events(spark, d)
+    return rules.signal_findings(e, rules.findings(e))
+
+
 @query("sarif_rows")
 def _(spark, d):
     return rules.sarif_rows(rules.findings(events(spark, d)))
