@@ -244,13 +244,45 @@ def signal_findings(events: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(best, ["recording_id", "subject"], "left").select("recording_id", "n", "op", "subject", "outcome", "origin", "delta_tenths", "rule_id")
 
 
-def sarif_rows(found: DataFrame) -> DataFrame:
-    """Per recording one SARIF-shaped JSON text of results and rules."""
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    rank = F.when(F.col("severity") == "critical", 100).when(F.col("severity") == "high", 70).when(F.col("severity") == "medium", 40).otherwise(10)
-    rows = order_findings(found).select("recording_id", F.struct("place", F.col("rule_id").alias("ruleId"), level.alias("level"), rank.alias("rank"), F.col("title").alias("message"), "occurrences").alias("r"))
-    results = F.transform(F.array_sort(F.collect_list("r")), lambda r: r.dropFields("place"))
-    return rows.groupBy("recording_id").agg(F.to_json(F.struct(results.alias("results"))).alias("sarif_json"))
+def partial_reasons(events: DataFrame) -> DataFrame:
+    """``recording_id, reasons``: why a recording is incomplete, as far as its end says so."""
+    said = F.array_join(F.max("incomplete_reasons"), "; ") if "incomplete_reasons" in events.columns else F.lit("")
+    rows = events.groupBy("recording_id").agg(F.max("has_end").alias("has_end"), said.alias("said"))
+    none = F.lit("the recording has no session_end event; it may have been truncated")
+    return rows.select("recording_id", F.when(~F.col("has_end"), none).when(F.col("said") != "", F.col("said")).otherwise("no reason recorded").alias("reasons"))
+
+
+def sarif_rows(events: DataFrame, found: DataFrame, analysis: DataFrame, skipped: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """Per recording, with findings or not, one SARIF-shaped JSON text of results, of the rules that fired in the words
+    of their first finding, and of notifications: partial, blind spots, rules that did not run, unresolved paths."""
+    spark, c, text = found.sparkSession, F.col, F.lit
+    level = F.when(c("severity").isin("critical", "high"), "error").when(c("severity") == "medium", "warning").otherwise("note")
+    rank = F.when(c("severity") == "critical", 100).when(c("severity") == "high", 70).when(c("severity") == "medium", 40).otherwise(10)
+    ordered = order_findings(found)
+    row = F.struct("place", c("rule_id").alias("ruleId"), level.alias("level"), rank.alias("rank"), c("title").alias("message"), "occurrences")
+    results = ordered.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.dropFields("place")).alias("results"))
+
+    notes = spark.createDataFrame([(r.id, r.note or "See the InstallScope rule catalog.") for r in (catalog or Catalog()).rules], "rule_id string, help string")
+    first = ordered.groupBy("recording_id", "rule_id").agg(F.min_by(F.struct("title", "severity"), "place").alias("f")).join(F.broadcast(notes), "rule_id")
+    rule = F.struct(c("rule_id").alias("id"), c("f.title").alias("shortDescription"), "help", "f.severity")
+    rules = first.groupBy("recording_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+
+    def note(level: str, message: Column, name: str) -> Column:
+        return F.struct(text(level).alias("level"), message.alias("message"), text(name).alias("id"))
+
+    ran = F.concat(text("Rule `"), "rule_id", text("` did not run on this backend: "), "reason")
+    not_run = skipped.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", ran.alias("m")))), lambda s: note("note", s["m"], "rule_not_run")).alias("not_run"))
+    blind = coverage(spark).where("observability = 'unobserved'").groupBy("backend").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "class"))), lambda x: x["class"]), ", ").alias("blind"))
+    rows = analysis.select("recording_id", "backend", "is_partial", "unresolved").join(F.broadcast(blind), "backend", "left")
+    for part in (partial_reasons(events), results, rules, not_run):
+        rows = rows.join(part, "recording_id", "left")
+    partial = F.when(c("is_partial"), note("warning", F.concat(text("The recording is incomplete, so these results are not the whole picture: "), "reasons"), "partial_recording"))
+    caveat = F.when(c("blind").isNotNull(), note("warning", F.concat(text("Not checked by the "), "backend", text(" backend: "), "blind", text(". Absence of these findings is not evidence they did not happen.")), "backend_coverage"))
+    paths_left = F.concat(c("unresolved").cast("string"), text(" path(s) could not be resolved to an absolute location and were not checked against the expected directories"))
+    unresolved = F.when(c("unresolved") > 0, note("note", paths_left, "unresolved_paths"))
+    told = F.array_compact(F.concat(F.array(partial, caveat), F.coalesce("not_run", F.array().cast(not_run.schema["not_run"].dataType)), F.array(unresolved)))
+    empty = lambda name, df: F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+    return rows.select("recording_id", F.to_json(F.struct(empty("results", results), empty("rules", rules), told.alias("notifications"))).alias("sarif_json"))
 
 
 def report_markdown(analysis: DataFrame, found: DataFrame) -> DataFrame:

@@ -208,7 +208,8 @@ def _(spark, d):
 
 @query("sarif_rows")
 def _(spark, d):
-    return rules.sarif_rows(rules.findings(events(spark, d)))
+    e = events(spark, d)
+    return rules.sarif_rows(e, rules.findings(e), rules.evaluate(e), rules.skipped_rules(e))
 
 
 @query(

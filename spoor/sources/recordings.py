@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SCHEMA_VERSION = 1
 #: The kinds of lines.
@@ -89,6 +89,21 @@ def lines_of(bridge: DataFrame) -> DataFrame:
     return body.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
 
 
+def incomplete_reason(reason: Column) -> Column:
+    """An externally tagged reason in the words of the reference; other text stays."""
+    get = lambda path: F.get_json_object(reason, "$." + path)
+    return (
+        F.when(reason == "interrupted", "recording interrupted")
+        .when(get("backend_failed_to_start").isNotNull(), F.concat(F.lit("recorder backend failed to start: "), get("backend_failed_to_start.detail")))
+        .when(get("backend_died").isNotNull(), F.concat(F.lit("recorder backend died: "), get("backend_died.detail")))
+        .when(get("timeout").isNotNull(), F.concat(F.lit("exceeded "), get("timeout.limit_secs"), F.lit("s time limit")))
+        .when(get("event_cap_reached").isNotNull(), F.concat(F.lit("event cap of "), get("event_cap_reached.cap"), F.lit(" reached; stream is truncated")))
+        .when(get("parse_errors").isNotNull(), F.concat(get("parse_errors.count"), F.lit(" unparseable trace lines")))
+        .when(get("trace_truncated").isNotNull(), F.concat(F.lit("trace output truncated: "), get("trace_truncated.detail")))
+        .otherwise(F.coalesce(get("other.detail"), reason))
+    )
+
+
 def attach_session(events: DataFrame) -> DataFrame:
     """Events of recordings with what frames them: zones of the first start, backend of the first event,
     completeness of the last end. Only framing rows are aggregated."""
@@ -98,13 +113,14 @@ def attach_session(events: DataFrame) -> DataFrame:
         start.alias("z"),
         F.min_by("backend", "seq").alias("first_backend"),
         F.max_by("complete", F.when(c("op") == "session_end", c("seq"))).alias("end_complete"),
+        F.transform(F.max_by("incomplete_reasons", F.when(c("op") == "session_end", c("seq"))), incomplete_reason).alias("incomplete_reasons"),
         F.max((c("op") == "session_end").cast("int")).cast("boolean").alias("has_end"),
     )
-    rows = events.drop("zones", "complete", "backend").join(about, "recording_id")
+    rows = events.drop("zones", "complete", "backend", "incomplete_reasons").join(about, "recording_id")
     return rows.select(
         "recording_id", "seq", "ts_ns", "pid", "op", "ok", c("target.path").alias("path"), c("target.origin").alias("origin"), "kind", "bytes", "mode", "ip", "port", "qname", "bin", "argv",
         F.coalesce("argv_truncated", F.lit(False)).alias("argv_truncated"), c("z.project").alias("zone_project"), c("z.cache").alias("zone_cache"), c("z.home").alias("zone_home"), c("z.tmp").alias("zone_tmp"),
-        F.coalesce(c("z.extra"), F.array().cast("array<string>")).alias("extra"), c("first_backend").alias("backend"), F.coalesce("end_complete", F.lit(False)).alias("complete"), "has_end",
+        F.coalesce(c("z.extra"), F.array().cast("array<string>")).alias("extra"), c("first_backend").alias("backend"), F.coalesce("end_complete", F.lit(False)).alias("complete"), "has_end", "incomplete_reasons",
     )
 
 
