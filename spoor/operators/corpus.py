@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from spoor.sources.recordings import incomplete_reason, parse_lines
+
 KEY = ["package", "version"]
 
 
@@ -111,3 +113,25 @@ def version_order(index: DataFrame) -> DataFrame:
 def stored_once(index: DataFrame) -> DataFrame:
     """Contents of the store: a digest is kept once, with how often it was pushed."""
     return index.groupBy("digest").agg(F.count(F.lit(1)).alias("pushes"), F.min("append_pos").alias("first_push"))
+
+
+def snapshot_push(contents: DataFrame, known: DataFrame) -> DataFrame:
+    """``contents``: recording_id, package, version and content, the text of a recording; ``known``: digests of the
+    store. A row per recording: refused with its reasons (a line that cannot be read, or an incomplete recording),
+    or accepted with its digest, and ``stored`` where it brings a content that the store does not have."""
+    c = F.col
+    lines = contents.select("recording_id", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
+    parsed = parse_lines(lines.select("recording_id", (c("pos") + 1).cast("long").alias("seq"), "line"))
+    end = F.when(c("op") == "session_end", c("seq"))
+    about = parsed.groupBy("recording_id").agg(
+        F.min_by(F.concat(F.lit("line "), c("seq").cast("string"), F.lit(": "), "reject"), F.when(c("reject").isNotNull(), c("seq"))).alias("bad"),
+        F.coalesce(F.max_by("complete", end), F.lit(False)).alias("complete"),
+        F.array_join(F.transform(F.max_by("incomplete_reasons", end), incomplete_reason), "; ").alias("said"),
+        F.count(F.when(~c("op").isin("session_start", "session_end", "heartbeat"), 1)).alias("events"),
+    )
+    why = F.when(c("bad").isNotNull(), c("bad")).when(~F.coalesce("complete", F.lit(False)), F.when(c("said") != "", c("said")).otherwise("the recording has no session_end event"))
+    sized = contents.select("recording_id", *KEY, F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+    rows = sized.join(about, "recording_id", "left").withColumn("reasons", why).withColumn("accepted", c("reasons").isNull())
+    taken = rows.where("accepted")
+    new = taken.join(known.select("digest").distinct(), "digest", "left_anti").groupBy("digest").agg(F.min("recording_id").alias("recording_id")).select("recording_id", F.lit(True).alias("new"))
+    return rows.join(new, "recording_id", "left").select("recording_id", *KEY, "accepted", F.coalesce("new", F.lit(False)).alias("stored"), F.when(c("accepted"), c("digest")).alias("digest"), F.coalesce("events", F.lit(0)).alias("events"), "bytes", "reasons")

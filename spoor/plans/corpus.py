@@ -216,3 +216,12 @@ def _(spark, d):
 @query("event_cap", ARRIVALS + " SELECT recording_id, count(*) FILTER (n <= 50) AS kept, max(n) > 50 AS capped FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY us, arrival) AS n FROM a) GROUP BY recording_id")
 def _(spark, d):
     return descriptors.event_cap(arrivals(spark, d), 50)
+
+
+#: Fixed value: the reference's cap.
+CAP = 500_000
+
+
+@query("event_cap_reference", ARRIVALS + f" SELECT recording_id, least(count(*), {CAP}) AS kept, count(*) > {CAP} AS capped FROM a GROUP BY recording_id")
+def _(spark, d):
+    return descriptors.event_cap(arrivals(spark, d), CAP)

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spoor.operators import rules
+from spoor.operators import corpus, rules
 from spoor.plans import bridge
 from spoor.plans.security import BASE
-from spoor.scratch import shared_dir
+from spoor.scratch import materialize, shared_dir
 from spoor.sources import lockfiles, recordings
 from spoor.streaming import live
 
@@ -53,6 +53,27 @@ def live_score(spark, d):
     return live.run_once(live.live_findings(stream), "complete", folder)
 
 
+def live_scores(spark, d):
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = bridge.events(spark, d)
+    last = events.where("has_end").groupBy("recording_id").agg(F.max("seq").alias("last"), F.max("complete").alias("complete"))
+    ends = last.select("recording_id", (F.col("last") + 1).alias("seq"), F.lit("session_end").alias("op"), "complete")
+    events.drop("complete", "has_end").unionByName(ends, allowMissingColumns=True).write.parquet(f"{folder}/in")
+    written = spark.read.parquet(f"{folder}/in").schema
+    stream = spark.readStream.schema(written).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return live.live_scores(live.run_once(live.live_state(stream), "complete", folder))
+
+
+def snapshot_push_recordings(spark, d):
+    """The written recordings pushed to a store that has those of the versions 1.0.0."""
+    about = bridge.events(spark, d).groupBy("recording_id").agg(F.max("package").alias("package"), F.max("version").alias("version"))
+    files = recordings.read_files(spark, _dropped(spark, d)).withColumn("recording_id", F.col("recording_id").cast("long"))
+    contents = materialize(files.join(about, "recording_id").select("recording_id", "package", "version", "content"), "contents")
+    nothing = spark.createDataFrame([], "digest string")
+    known = corpus.snapshot_push(contents.where("version = '1.0.0'"), nothing).where("stored").select("digest")
+    return corpus.snapshot_push(contents, known)
+
+
 Q["read_recordings"] = read_recordings
 SQL["read_recordings"] = BASE + "SELECT recording_id, seq, ts_ns, op, ok, path, bytes, port, qname, bin FROM p"
 Q["stream_summary"] = stream_summary
@@ -63,6 +84,9 @@ Q["stream_ingest"] = stream_ingest
 SQL["stream_ingest"] = BASE + "SELECT recording_id, op, count(*) AS n FROM p GROUP BY ALL"
 Q["live_score"] = live_score
 SQL["live_score"] = BASE + "SELECT recording_id, rule_id, subject, occurrences, severity FROM f"
+Q["live_scores"] = live_scores
+SQL["live_scores"] = BASE + "SELECT recording_id, critical, high, medium, low, raw, value, was_capped, raw = 0 AS is_clean, is_partial FROM a"
+Q["snapshot_push_recordings"] = snapshot_push_recordings
 
 
 def read_lockfiles(spark, d):

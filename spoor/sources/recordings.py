@@ -31,12 +31,17 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("reject", reject).drop("_malformed").withColumn("argv", F.coalesce("argv", F.array().cast("array<string>")))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``recording_id, seq, line``: the lines of all files with their number in the file, blank ones left out.
-    A file below a folder ``recording_id=x`` belongs to x, any other to its own path."""
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``recording_id, content``: the whole text of each file. A file below a folder ``recording_id=x`` belongs to x,
+    any other to its own path."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     named = F.regexp_extract("file", "recording_id=([^/]+)/", 1)
-    rows = files.select(F.when(named != "", named).otherwise(F.col("file")).alias("recording_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return files.select(F.when(named != "", named).otherwise(F.col("file")).alias("recording_id"), F.col("value").alias("content"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``recording_id, seq, line``: the lines of all files with their number in the file, blank ones left out."""
+    rows = read_files(spark, path).select("recording_id", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line"))
     return rows.where(F.trim("line") != "").select("recording_id", (F.col("pos") + 1).cast("long").alias("seq"), "line")
 
 

@@ -31,6 +31,24 @@ def live_findings(events: DataFrame, catalog: Catalog | None = None) -> DataFram
     return found.groupBy("recording_id", "rule_id", "subject").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("sev_rank", "severity")).alias("w")).select("recording_id", "rule_id", "subject", "occurrences", "w.severity")
 
 
+def live_state(events: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """The running findings, and per recording one row without a rule: the events so far, and of its last session_end
+    whether it said complete (null until it arrives)."""
+    catalog = catalog or Catalog()
+    c = F.col
+    found = rules.match_rules(rules.hits(events, catalog), catalog).select("recording_id", "rule_id", "subject", F.struct("sev_rank", "severity").alias("w"), F.lit(None).cast("boolean").alias("ended"), F.lit(None).cast("long").alias("at"))
+    none = F.lit(None).cast("string")
+    end = c("op") == "session_end"
+    seen = events.select("recording_id", none.alias("rule_id"), none.alias("subject"), F.lit(None).cast("struct<sev_rank: int, severity: string>").alias("w"), F.when(end, c("complete")).alias("ended"), F.when(end, c("seq")).alias("at"))
+    return found.unionByName(seen).groupBy("recording_id", "rule_id", "subject").agg(F.count(F.lit(1)).alias("occurrences"), F.min("w").alias("w"), F.max_by("ended", "at").alias("ended")).select("recording_id", "rule_id", "subject", "occurrences", "w.severity", "ended")
+
+
+def live_scores(state: DataFrame) -> DataFrame:
+    """Per recording of a ``live_state`` its score so far; it is partial until an end has said that it is complete."""
+    recordings = state.where("rule_id is null").select("recording_id", (~F.coalesce("ended", F.lit(False))).alias("is_partial"))
+    return rules.scores(recordings.select("recording_id"), state.where("rule_id is not null")).join(recordings, "recording_id")
+
+
 RELEASED = "recording_id long, us long, arrival long, late boolean"
 STATE = "us array<long>, arrival array<long>, newest long, released long"
 
