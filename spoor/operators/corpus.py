@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from spoor.scratch import materialize
 from spoor.sources.recordings import incomplete_reason, parse_lines
 
 KEY = ["package", "version"]
@@ -84,19 +83,38 @@ def shard_spec(plan: DataFrame) -> DataFrame:
     return plan.groupBy("package").agg(F.concat("package", F.lit(":"), F.array_join(F.array_sort(F.collect_list("version")), ",")).alias("spec"))
 
 
-def shard_plan(plan: DataFrame, shards: int) -> DataFrame:
-    """``package, versions, shard``: packages from the longest on, each to the emptiest shard (the lowest of
-    equals). Versions are counted on Spark; the greedy pass sees one row per package, by its nature in one task."""
+def deal(count: int, weight: int, load: list[int]) -> tuple[list[int], list[int]]:
+    """The shards that ``count`` packages of one weight go to, each to the emptiest (the lowest of equals): the first ones
+    singly, then, once the loads are less than a weight apart, a round that repeats. ``load`` is brought up to date."""
+    first: list[int] = []
+    while len(first) < count and max(load) - min(load) >= weight:
+        first.append(load.index(min(load)))
+        load[first[-1]] += weight
+    turn = sorted(range(len(load)), key=lambda s: (load[s], s))
+    rounds, rest = divmod(count - len(first), len(load))
+    for k, s in enumerate(turn):
+        load[s] += weight * (rounds + (k < rest))
+    return first, turn
 
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["versions", "package"], ascending=[False, True])
-        load, out = np.zeros(shards, np.int64), []
-        for n in rows["versions"]:
-            out.append(int(load.argmin()))
-            load[out[-1]] += n
-        return rows.assign(shard=out)[["package", "versions", "shard"]]
 
-    return plan.groupBy("package").agg(F.count(F.lit(1)).alias("versions")).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(deal, "package string, versions long, shard int")
+def shard_plan(plan: DataFrame, shards: int) -> DataFrame:
+    """``package, versions, shard``: packages from the longest on, each to the emptiest shard (the lowest of
+    equals). The driver deals from one row per number of versions; a package's rank among those of its number comes from
+    ranges of the sorted packages and the sums of the ranges before."""
+    spark, c = plan.sparkSession, F.col
+    sized = plan.groupBy("package").agg(F.count(F.lit(1)).alias("versions"))
+    rows = materialize(sized.repartitionByRange("versions", "package").withColumn("part", F.spark_partition_id()), "shard-packages")
+    before = Window.partitionBy("versions").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("versions", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    load, dealt = [0] * shards, []
+    for r in sorted(parts.groupBy("versions").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r.versions):
+        dealt.append((r.versions, *deal(r.n, r.versions, load)))
+    rules = spark.createDataFrame(dealt, "versions long, first array<int>, turn array<int>")
+    order = Window.partitionBy("versions", "part").orderBy("package")
+    ranked = rows.withColumn("n", F.row_number().over(order) - 1).join(F.broadcast(parts.select("versions", "part", "offset")), ["versions", "part"]).join(F.broadcast(rules), "versions")
+    rank = c("offset") + c("n")
+    shard = F.when(rank < F.size("first"), F.get("first", rank.cast("int"))).otherwise(F.get("turn", ((rank - F.size("first")) % shards).cast("int")))
+    return ranked.select("package", "versions", shard.alias("shard"))
 
 
 def latest_snapshot(index: DataFrame) -> DataFrame:
