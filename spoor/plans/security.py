@@ -209,7 +209,8 @@ def _(spark, d):
 @query("sarif_rows")
 def _(spark, d):
     e = events(spark, d)
-    return rules.sarif_rows(e, rules.findings(e), rules.evaluate(e), rules.skipped_rules(e))
+    recordings = rules.recording_counts(e).withColumn("is_partial", rules.is_partial())  # as evaluate has them, without finding everything twice
+    return rules.sarif_rows(e, rules.findings(e), recordings, rules.skipped_rules(e))
 
 
 @query(
