@@ -2,12 +2,14 @@
 
 All n-grams get one order: those of rare words first, so that few documents meet in what comes first. Two sets over the threshold have
 so many common n-grams that the first l of them lie in both prefixes of length
-size - least overlap + l, for any l. A document whose prefix would meet many others gets a larger l: a longer
-prefix, of which more has to be shared before a pair is verified.
-
-Pairs are only listed for n-grams that few documents share. Documents that share a frequent one
-form groups, which are compared in square blocks of bounded size; a block hands on a spanning forest of
-its links, never all of them.
+size - least overlap + l, for any l. A document whose prefix would meet many others, by the counts of its
+words, gets a larger l: a longer prefix, of which more has to be shared. What is left of a document's
+prefix when n-grams that nobody shares are taken away decides whether it can have a partner at all.
+
+The others are verified in families. A family is grown from stars: a document joins the one that
+heads an n-gram if they share as many prefix n-grams as the multi-match rule asks for; so a family of m
+documents costs m edges and not m x m pairs. Its whole sets are then compared in square blocks of bounded size.
+The few pairs that share enough prefix n-grams but are in different families are listed and verified one by one.
 """
 
 from __future__ import annotations
@@ -17,28 +19,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spoor.llm.components import components
 from spoor.llm.hashing import WordHashes, blocks, mix, runs
 from spoor.llm.sieve import Sieve, key_of
 from spoor.llm.substring import keyed
-from spoor.scratch import materialize
+from spoor.scratch import discard, materialize
 
 #: Words whose counts are known. They set the order of n-grams, which never changes a result.
 FREQUENT = 1 << 17
-#: Documents that may share an n-gram for its pairs to be listed.
-RARE = 24
-#: Largest l for listed pairs; all prefixes are long enough for it.
-MATCHES = 4
+#: Part of its size that every document asks to be shared within the prefixes.
+SURE = 24
+#: Rounds of stars. What they leave apart is listed in pairs, so they never change a result either.
+ROUNDS = 2
 #: Documents of a block's side.
 SIDE = 512
 SIDE_BYTES = 16 << 20
 
 
-def gram_sets(texts: list[str], n: int, hashes: WordHashes, known: Known) -> list[np.ndarray]:
+class Known:
+    """Counts of the most frequent words, by hash; 0 for any other."""
+
+    def __init__(self, word: np.ndarray, count: np.ndarray):
+        by = np.argsort(word)
+        self.word, self.count = word[by], count[by]
+
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.zeros(len(word), np.int64)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return np.where(self.word[at] == word, self.count[at], 0)
+
+
+def gram_sets(texts: list[str], n: int, hashes: WordHashes, known: Known) -> list[tuple[np.ndarray, np.ndarray]]:
     """The different n-gram hashes of each text, in the order of all: by the count of the n-gram's rarest
-    word, then by hash. A-Z count as a-z; a text of fewer words is one n-gram of all its words."""
+    word, then by hash; and those counts. A-Z count as a-z; a text of fewer words is one n-gram of all its words."""
     split = [t.encode().lower().split() for t in texts]
     ends = np.cumsum([len(w) for w in split])
     h = hashes.of([w for words in split for w in words])
@@ -53,9 +69,11 @@ def gram_sets(texts: list[str], n: int, hashes: WordHashes, known: Known) -> lis
         start, k = end - len(words), len(words)
         if k >= n:
             grams, first = np.unique(every[start : end - n + 1], return_index=True)
-            out.append(grams[np.argsort(rarest[start : end - n + 1][first], kind="stable")])
+            met = rarest[start : end - n + 1][first]
+            order = np.argsort(met, kind="stable")
+            out.append((grams[order], met[order]))
         else:
-            out.append(runs(h[start:end], k) if k else h[:0])
+            out.append((runs(h[start:end], k) if k else h[:0], np.zeros(min(k, 1), np.int64)))
     return out
 
 
@@ -64,27 +82,23 @@ def least_overlap(size: np.ndarray | int, percent: int):
     return (percent * size + 99) // 100
 
 
-class Known:
-    """Counts of the most frequent words, by hash; 0 for any other."""
-
-    def __init__(self, word: np.ndarray, count: np.ndarray):
-        by = np.argsort(word)
-        self.word, self.count = word[by], count[by]
-
-    def counts(self, word: np.ndarray) -> np.ndarray:
-        if not len(self.word):
-            return np.zeros(len(word), np.int64)
-        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
-        return np.where(self.word[at] == word, self.count[at], 0)
+def wanted_matches(met: np.ndarray, percent: int) -> int:
+    """l of a document, from the counts of its n-grams in order. Every document asks for 1 / SURE of its size, so that it
+    is known of its partners without seeing them; the rest grows with the logarithm of the estimated cost, which is how
+    often the words of its shortest prefix occur."""
+    size = len(met)
+    least = least_overlap(size, percent)
+    cost = met[: size - least + 1].mean()
+    return min(least, 1 + size // SURE + int(size * np.log2(1 + cost) / 128))
 
 
 def frequent_words(docs: DataFrame, size: int = FREQUENT) -> Known:
-    """Counts over all texts of the ``size`` most frequent words, a bounded table. Within a task, texts
-    met before and words met once in a stretch of text are left out; this only shifts the order of n-grams."""
+    """Counts over all texts of at most ``size`` most frequent words, a bounded table. Counting is lossy: a count is too
+    low by up to one for each stretch of 1.5 million words; this only shifts the order of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        waiting, room, seen = [], 0, set()
+        waiting, room = [], 0
 
         def count() -> pa.RecordBatch:
             word, times = np.unique(np.concatenate(waiting), return_counts=True)
@@ -92,96 +106,76 @@ def frequent_words(docs: DataFrame, size: int = FREQUENT) -> Known:
             return pa.RecordBatch.from_arrays([pa.array(word[many].view(np.int64)), pa.array(times[many])], ["word", "n"])
 
         for _, texts in blocks(batches, 0):
-            new = [t for t in texts if hash(t) not in seen]
-            seen.update(map(hash, new))
-            waiting.append(hashes.of([w for t in new for w in t.encode().lower().split()]))
+            waiting.append(hashes.of([w for t in texts for w in t.encode().lower().split()]))
             room += len(waiting[-1])
             if room > 1_500_000:
                 yield count()
                 waiting, room = [], 0
-                seen.clear()
         if waiting:
             yield count()
 
     counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "jaccard-words")
-    # How many words have each count tells the least count that fits; a sort for it would meet in the driver.
+    # Steps of a fifth: a fixed number of them tells the least count whose words fit.
+    step = F.floor(F.log2("n") * 4).cast("int")
     least, room = 0, size
-    for n, words in sorted(((r["n"], r["count"]) for r in counted.where("n > 9").groupBy("n").count().collect()), reverse=True):
+    for s, words in sorted(((r["s"], r["count"]) for r in counted.groupBy(step.alias("s")).count().collect()), reverse=True):
         if words > room:
-            least = n
+            least = s + 1
             break
         room -= words
-    if not least and counted.where("n <= 9").count() > room:
-        least = 9
-    rows = counted.where(F.col("n") > least).toArrow()
+    rows = counted.where(step >= least).toArrow()
+    discard(docs.sparkSession, counted.scratch_path)
     return Known(rows["word"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64))
 
 
 def profiles(docs: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
-    """``doc_id, tie, size, node, twin, prefix``: the size of each set, two hashes of its content (null
-    without words), and its prefix for MATCHES matches."""
+    """``doc_id, tie, size, node, twin, matches, prefix``: the size of each set, two hashes of its
+    content (null without words), the matches it asks for, and its prefix for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part, texts in blocks(batches, 2):
-            sizes, nodes, twins, prefixes = [], [], [], []
-            for grams in gram_sets(texts, n, hashes, known):
+            sizes, nodes, twins, matches, prefixes = [], [], [], [], []
+            for grams, met in gram_sets(texts, n, hashes, known):
                 s = len(grams)
                 sizes.append(s)
                 if s:
                     nodes.append(mix(np.array([grams.sum()], np.uint64), s, 0).view(np.int64)[0])
                     twins.append(mix(np.array([mix(grams, s, 1).sum()], np.uint64), s, 1).view(np.int64)[0])
-                    prefixes.append(grams[: s - least_overlap(s, percent) + MATCHES].view(np.int64))
+                    matches.append(wanted_matches(met, percent))
+                    prefixes.append(grams[: s - least_overlap(s, percent) + matches[-1]].view(np.int64))
                 else:
                     nodes.append(None)
                     twins.append(None)
+                    matches.append(0)
                     prefixes.append([])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "tie", "size", "node", "twin", "prefix"],
+                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "tie", "size", "node", "twin", "matches", "prefix"],
             )
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, size long, node long, twin long, prefix array<long>")
+    return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, size long, node long, twin long, matches int, prefix array<long>")
 
 
-def forest(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], matches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links in a block: between side 0 and side 1, or, if all are of side 0,
-    among all. sets are in the common order."""
+    among all."""
     k = len(sets)
-    _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(k), sizes)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-    def overlaps(take: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Common n-grams of every two nodes, of those taken."""
-        gram, of = local[take], np.searchsorted(nodes, row[take])
-        _, dense, times = np.unique(gram, return_inverse=True, return_counts=True)
-        several = times[dense] > 1
-        dense, of = np.unique(dense[several], return_inverse=True)[1], of[several]
-        out = np.zeros((len(nodes), len(nodes)), np.float32)
-        for at in range(0, int(dense.max(initial=-1)) + 1, 4096):
-            here = (dense >= at) & (dense < at + 4096)
-            m = np.zeros((len(nodes), 4096), np.float32)
-            m[of[here], dense[here] - at] = 1
-            out += m @ m.T
-        return out
-
-    need = np.maximum(matches[:, None], matches[None, :])
-    fits = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
-    ask = np.triu(fits, 1) & ((sides[:, None] != sides[None, :]) if sides.any() else True)
-    candidates = np.zeros((k, k), bool)
-    everyone = np.arange(k)
-    for level in np.unique(need[ask]):
-        prefix = place < np.repeat(sizes - least_overlap(sizes, percent) + level, sizes)
-        candidates |= ask & (need == level) & (overlaps(prefix, everyone) >= level)
-    who = np.flatnonzero(candidates.any(0) | candidates.any(1))
-    if not len(who):
-        return []
-    common = overlaps(np.isin(row, who), who)
-    union = sizes[who][:, None] + sizes[who][None, :] - common
-    linked = candidates[np.ix_(who, who)] & (100 * common >= percent * union)
-    parent = list(range(len(who)))
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[gram] > 1
+    gram, row = np.unique(gram[several], return_inverse=True)[1], np.repeat(np.arange(k), sizes)[several]
+    common = np.zeros((k, k), np.float32)
+    for at in range(0, int(gram.max(initial=-1)) + 1, 4096):
+        here = (gram >= at) & (gram < at + 4096)
+        m = np.zeros((k, 4096), np.float32)
+        m[row[here], gram[here] - at] = 1
+        common += m @ m.T
+    common = common.astype(np.int64)
+    linked = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
+    if sides.any():
+        linked &= sides[:, None] != sides[None, :]
+    parent = list(range(k))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -191,103 +185,166 @@ def forest(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], matches
 
     out = []
     for a, b in zip(*np.nonzero(linked), strict=True):
-        ra, rb = root(a), root(b)
+        ra, rb = root(int(a)), root(int(b))
         if ra != rb:
             parent[rb] = ra
-            out.append((int(who[a]), int(who[b])))
+            out.append((int(a), int(b)))
     return out
 
 
-def links(docs: DataFrame, profile: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
-    """Edges ``a, b`` between nodes: all of them are links, and every link's ends are connected."""
-    reps = profile.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("twin").alias("t1"), F.max("twin").alias("t2")
-    )
-    reps = materialize(reps, "jaccard-nodes")
-    if not reps.where("t1 != t2").isEmpty():
-        raise RuntimeError("two different sets have one 64-bit hash; shift the seed in hashing.FAMILIES")
-    rows = reps.select("node", F.posexplode("prefix").alias("pos", "gram"))
+def different_sets(profile: DataFrame) -> DataFrame:
+    """``node, twin, id, doc_id, tie, size, first``: one row per different set, with the document that stands for it.
+    A set is known by both hashes; id is the first, or a hash of both for a set that shares its first hash."""
+    sets = profile.where("node is not null").groupBy("node", "twin").agg(F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("size").alias("size"), F.min("doc_id").alias("first"))
+    least = sets.groupBy("node").agg(F.min("twin").alias("least"))
+    number = F.when(F.col("twin") == F.col("least"), F.col("node")).otherwise(F.xxhash64("node", "twin"))
+    return sets.join(least, "node").select("node", "twin", number.alias("id"), "rep.doc_id", "rep.tie", "size", "first")
+
+
+def without(rows: DataFrame, gone: DataFrame, doc_id: Column, tie: Column) -> DataFrame:
+    """``rows`` without those that ``gone`` (doc_id, tie, key) names. Only rows that may be among them are shuffled."""
+    named = rows.columns
+    rows = rows.withColumn("_gone_id", doc_id).withColumn("_gone_tie", tie)
+    rows = rows.withColumn("_gone_key", F.xxhash64("_gone_id", "_gone_tie")).withColumn("_gone_maybe", Sieve(gone, "key").may_hold("_gone_key"))
+    g = gone.select(F.col("doc_id").alias("_gone_by_id"), F.col("tie").alias("_gone_by_tie"))
+    maybe = rows.where("_gone_maybe").join(g.hint("shuffle_hash"), F.col("_gone_id").eqNullSafe(F.col("_gone_by_id")) & (F.col("_gone_tie") == F.col("_gone_by_tie")), "left_anti")
+    return rows.where("not _gone_maybe").unionByName(maybe).select(*named)
+
+
+def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, size, matches, center, grams`` of the sets that can have a partner: ``grams`` is what others share of the
+    prefix, center how many share it, on average.
+
+    Of any l n-grams that two linked sets share first, the last lies in the first size - least overlap + l;
+    so the l-th shared n-gram of a prefix must lie there, for every l that even the smallest partner asks for.
+    """
+    spark = profile.sparkSession
+    copies = profile.where("node is not null").select("doc_id", "tie", "node", "twin").join(sets.select("node", "twin", F.struct("doc_id", "tie").alias("rep")), ["node", "twin"])
+    copies = materialize(copies.where(~F.struct("doc_id", "tie").eqNullSafe(F.col("rep"))).select("doc_id", "tie", F.xxhash64("doc_id", "tie").alias("key")).distinct(), "jaccard-copies")
+    # Rows alike in id and text are one set's, so they stay together and count once below.
+    own = F.when(F.col("twin") == F.col("least"), F.col("node")).otherwise(F.xxhash64("node", "twin"))
+    clash = materialize(sets.where("id != node").select("node").distinct(), "jaccard-clashes")
+    reps = without(profile.where("node is not null"), copies, F.col("doc_id"), F.col("tie"))
+    if not clash.isEmpty():
+        least = sets.join(clash, "node", "left_semi").groupBy("node").agg(F.min("twin").alias("least"))
+        reps = reps.join(least, "node", "left").withColumn("node", F.when(F.col("least").isNull(), F.col("node")).otherwise(own))
+    repeated = profile.where("node is not null").groupBy("doc_id", "tie").count().where("count > 1")
+    if not repeated.isEmpty():
+        reps = reps.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    reps = reps.select("node", "size", "matches", "prefix")
+
+    rows = reps.select("node", F.col("size").cast("int").alias("size"), "matches", F.posexplode("prefix").alias("pos", "gram"))
     shared = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
     rows = Sieve(shared, "gram").keep(rows, "gram").join(shared, "gram")  # most n-grams occur once and stay behind
-    base = F.col("size") - F.floor((F.col("size") * percent + 99) / 100).cast("long") + 1  # prefix for one match
-    rows = materialize(rows.join(reps.select("node", "size", base.alias("base")), "node"), "jaccard-prefixes")
-    # The more documents a prefix would meet, the more n-grams a pair has to share.
-    cost = F.sum(F.when(F.col("pos") < F.col("base"), F.col("df") - 1).otherwise(0))
-    stats = rows.groupBy("node").agg(cost.alias("cost"), F.count(F.lit(1)).alias("met"), F.first("size").alias("size"))
-    wanted = F.least(F.floor(F.log2(F.col("cost") + 1)).cast("long") + 1, F.floor((F.col("size") * percent + 99) / 100).cast("long"))
-    stats = stats.select("node", "met", wanted.alias("deep"), F.least(wanted, F.lit(MATCHES)).alias("matches")).where("met >= matches")
-    rows = materialize(rows.join(stats.drop("met"), "node"), "jaccard-candidates")
-
-    rare = rows.where(F.col("df") <= RARE)
-    x = rare.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "pos", "base", "matches")])
-    y = rare.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "pos", "base", "matches")])
-    need = F.greatest("x_matches", "y_matches")
-    pairs = x.join(y, "gram").where(
-        (F.col("x_node") < F.col("y_node"))
-        & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
-        & (F.col("x_pos") < F.col("x_base") + need - 1)
-        & (F.col("y_pos") < F.col("y_base") + need - 1)
-    )
-    pairs = pairs.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(need).alias("need")).where("n >= need")
-    by_pairs = components(pairs.select("a", "b")).select(F.col("label").alias("head"), "node", F.lit(0).alias("kind"))
-
-    frequent = rows.where(F.col("df") > RARE)
-    heads = frequent.groupBy("gram").agg(F.min("node").alias("head"))
-    by_gram = frequent.join(heads, "gram").select("head", "node", F.lit(1).alias("kind")).distinct()
-    members = materialize(by_pairs.unionByName(by_gram), "jaccard-groups")
+    met = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.sort_array(F.collect_list(F.struct("pos", "gram", "df"))).alias("met"))
+    least = F.floor((F.col("size") * percent + 99) / 100).cast("int")
+    sure = F.least(least, 1 + F.floor(least / SURE).cast("int"))
+    in_place = F.forall(F.transform(F.slice("met", F.lit(1), sure), lambda m, i: m["pos"] <= F.col("size") - least + i), lambda ok: ok)
+    met = met.where((F.size("met") >= sure) & in_place)
+    center = F.aggregate("met", F.lit(0.0), lambda a, m: a + m["df"], lambda a: a / F.size("met"))
+    out = materialize(met.select("node", "size", "matches", center.alias("center"), F.col("met.gram").alias("grams")), "jaccard-met")
+    for table in (copies, clash, shared):
+        discard(spark, table.scratch_path)
+    return out
+
+
+def families(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``node, family`` for the sets that a star reached, and the pairs ``a, b`` of other families that are still to
+    be verified."""
+    spark = met.sparkSession
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    rows = materialize(met.select("node", "size", "matches", "center", F.explode("grams").alias("gram"), F.col("node").alias("family")), "jaccard-rows")
+    found, edges = None, None
+    for k in range(ROUNDS):
+        # The set that shares most heads an n-gram first; later rounds draw another.
+        rank = F.struct(-F.col("center"), "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
+        heads = rows.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "matches", "family").alias("h"))).alias("m")).select("gram", "m.h")
+        stars = rows.join(heads, "gram").where((F.col("family") != F.col("h.family")) & fits(F.col("size"), F.col("h.size")))
+        stars = stars.groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("matches", "h.matches")).alias("need"))
+        new = materialize(stars.where("n >= need").select("a", "b"), "jaccard-stars")
+        edges = new if edges is None else materialize(edges.unionByName(new), "jaccard-stars")
+        found = components(edges).select("node", F.col("label").alias("family"))
+        named = rows.drop("family").join(found, "node", "left").withColumn("family", F.coalesce("family", "node"))
+        named = materialize(named, "jaccard-rows")
+        discard(spark, rows.scratch_path)
+        # Only n-grams that several families share are left.
+        open_grams = named.groupBy("gram").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x != y").select("gram")
+        rows = materialize(named.join(open_grams, "gram", "left_semi"), "jaccard-rows")
+        discard(spark, named.scratch_path)
+    x, y = (rows.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "matches", "family")]) for s in ("x", "y"))
+    apart = x.join(y, "gram").where((F.col("x_node") < F.col("y_node")) & (F.col("x_family") != F.col("y_family")) & fits(F.col("x_size"), F.col("y_size")))
+    apart = apart.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("x_matches", "y_matches")).alias("need"))
+    pairs = materialize(apart.where("n >= need").select("a", "b"), "jaccard-apart")
+    discard(spark, rows.scratch_path)
+    return found, pairs
+
+
+def links(docs: DataFrame, profile: DataFrame, sets: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
+    """Edges ``a, b`` between ids of sets: all of them are links, and every link's ends are connected."""
+    spark = docs.sparkSession
+    met = met_prefixes(profile, sets, percent)
+    family, pairs = families(met, percent)
+    # A set with many pairs is compared with SIDE of them at a time.
+    share = F.floor(F.col("n") / SIDE).cast("int") + 1
+    crowd = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", share.alias("parts"))
+    dealt = pairs.join(crowd, "a").withColumn("head", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))))
+    apart = dealt.select("head", F.explode(F.array("a", "b")).alias("node")).distinct().select("head", "node", F.lit(1).alias("kind"))
+    members = materialize(family.select(F.col("family").alias("head"), "node", F.lit(0).alias("kind")).unionByName(apart), "jaccard-groups")
 
     # Groups of many or large sets are dealt to several sides; every two sides are one block.
-    sized = members.join(reps.select("node", "size", "rep"), "node")
+    sized = members.join(sets.select(F.col("id").alias("node"), "size", "doc_id", "tie"), "node")
     totals = sized.groupBy("head", "kind").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams")).where("m > 1")
     sides = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(F.col("grams") * 8 / SIDE_BYTES)).cast("int")
     sized = sized.join(totals.select("head", "kind", sides.alias("sides")), ["head", "kind"])
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
-    needed = sized.groupBy("node").agg(F.first("rep").alias("rep"), F.collect_list(F.struct("head", "kind", side.alias("side"), "sides")).alias("groups"))
-    needed = needed.join(stats.select("node", "deep"), "node", "left").select("node", "rep.doc_id", "rep.tie", F.coalesce("deep", F.lit(1)).cast("long").alias("deep"), "groups")
+    needed = sized.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"), F.collect_list(F.struct("head", "kind", side.alias("side"), "sides")).alias("groups"))
     placed = _placed_sets(docs, materialize(needed, "jaccard-needed"), n, known)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
-        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+        grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
         second = rows["second"].to_numpy() if rows["i"].iloc[0] != rows["j"].iloc[0] else np.zeros(len(rows), np.int64)
-        edges = forest(rows["size"].to_numpy(np.int64), second, sets, rows["deep"].to_numpy(np.int64), percent)
+        edges = forest(rows["size"].to_numpy(np.int64), second, grams, percent)
         return pd.DataFrame([(node[a], node[b]) for a, b in edges], columns=["a", "b"], dtype=np.int64)
 
     # Two sides of a block meet only if both have members; a lone document has nothing to meet.
-    return placed.groupBy("head", "kind", "i", "j").applyInPandas(block, "a long, b long")
+    out = materialize(placed.groupBy("head", "kind", "i", "j").applyInPandas(block, "a long, b long"), "jaccard-links")
+    for table in (met, pairs, members):
+        discard(spark, table.scratch_path)
+    return out
 
 
 def _placed_sets(docs: DataFrame, needed: DataFrame, n: int, known: Known) -> DataFrame:
-    """Whole sets in the common order, of one document per node, a row for each block that it belongs to:
-    ``head, kind, i, j, second, node, size, deep, grams``."""
+    """Whole sets of one document per node, a row for each block that it belongs to:
+    ``head, kind, i, j, second, node, size, grams``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
-        for part, texts in blocks(batches, 3):
+        for part, texts in blocks(batches, 2):
             rows = []
-            for node, deep, groups, grams in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), gram_sets(texts, n, hashes, known), strict=True):
+            for node, groups, (grams, _) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), gram_sets(texts, n, hashes, known), strict=True):
                 if node in met:  # a row that repeats
                     continue
                 met.add(node)
                 whole = grams.tobytes()
                 for g in groups:
                     for other in range(g["sides"]):
-                        rows.append((g["head"], g["kind"], min(g["side"], other), max(g["side"], other), int(g["side"] > other), node, len(grams), deep, whole))
+                        rows.append((g["head"], g["kind"], min(g["side"], other), max(g["side"], other), int(g["side"] > other), node, len(grams), whole))
                         if len(rows) >= 512:
                             yield _batch(rows)
                             rows = []
             if rows:
                 yield _batch(rows)
 
-    w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", "deep", "groups")
+    w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", "groups")
     docs = Sieve(needed.select(key_of().alias("k")), "k").keep(docs.withColumn("k", key_of()), "k")
     rows = docs.join(w.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(w["w_doc_id"]) & (docs["tie"] == w["w_tie"]))
-    return rows.select("node", "deep", "groups", "text").mapInArrow(run, "head long, kind int, i int, j int, second int, node long, size long, deep long, grams binary")
+    return rows.select("node", "groups", "text").mapInArrow(run, "head long, kind int, i int, j int, second int, node long, size long, grams binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "kind", "i", "j", "second", "node", "size", "deep", "grams"])
+    kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 2, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "kind", "i", "j", "second", "node", "size", "grams"])
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -301,12 +358,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = keyed(docs)
     known = frequent_words(docs)
     profile = materialize(profiles(docs, n, percent, known), "jaccard-profiles")
-    labels = components(links(docs, profile, n, percent, known))
-    nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    sets = materialize(different_sets(profile), "jaccard-sets")
+    found = links(docs, profile, sets, n, percent, known)
+    labels = components(found)
+    nodes = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "first", F.coalesce("label", "id").alias("label"))
     heads = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(heads, "label").select("node", "label", "component_id")
-    rows = profile.select("doc_id", "tie", F.col("size").alias("n_shingles"), "node").join(nodes, "node", "left")
+    nodes = nodes.join(heads, "label").select("node", "twin", "label", "component_id")
+    rows = profile.select("doc_id", "tie", F.col("size").alias("n_shingles"), "node", "twin").join(nodes, ["node", "twin"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tie", "label")
 
 
@@ -317,14 +375,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     whole = found.where("label is not null")
     # A component is summed up, not gathered.
     first = whole.groupBy("label").agg(F.min(F.struct("doc_id", "tie")).alias("k"))
-    gone = whole.join(first, "label").where(~F.struct("doc_id", "tie").eqNullSafe(F.col("k"))).select("doc_id", "tie", key_of().alias("_k")).distinct()
-    gone = materialize(gone, "jaccard-gone")
-    # Only what may go is shuffled.
-    rows = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("_tie", F.xxhash64("text"))
-    rows = rows.withColumn("_maybe", Sieve(gone, "_k").may_hold("_k"))
-    g = gone.select(F.col("doc_id").alias("_g_id"), F.col("tie").alias("_g_tie"))
-    maybe = rows.where("_maybe").join(g.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_g_id")) & (F.col("_tie") == F.col("_g_tie")), "left_anti")
-    kept = rows.where("not _maybe").unionByName(maybe).select(*docs.columns)
+    gone = whole.join(first, "label").where(~F.struct("doc_id", "tie").eqNullSafe(F.col("k"))).select("doc_id", "tie", F.xxhash64("doc_id", "tie").alias("key")).distinct()
+    kept = without(docs, materialize(gone, "jaccard-gone"), F.col("doc_id").cast("long"), F.xxhash64("text"))
     if whole.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
         return kept
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # rows that repeat, id and text

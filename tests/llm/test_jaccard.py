@@ -68,11 +68,26 @@ def test_against_brute_force(spark):
 
 def test_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SIDE", 16)
-    monkeypatch.setattr(jaccard, "RARE", 3)
     rows = corpus()
     assert got(jaccard.join(make(spark, rows), 3, 90)) == brute(rows, 3, 90)
 
 
+def test_pairs_across_families(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    rows = corpus()
+    for n, percent in ((3, 90), (2, 60)):
+        assert got(jaccard.join(make(spark, rows), n, percent)) == brute(rows, n, percent)
+
+
+def test_sets_with_one_hash(spark):
+    """Two sets that share their first hash stay two."""
+    profile = spark.createDataFrame([(1, 1, 5, 77, 8), (2, 2, 5, 77, 9), (3, 3, 5, 77, 9), (4, 4, 0, None, None)], "doc_id long, tie long, size long, node long, twin long")
+    sets = jaccard.different_sets(profile).collect()
+    assert sorted((s.twin, s.doc_id) for s in sets) == [(8, 1), (9, 2)]
+    assert len({s.id for s in sets}) == 2 and 77 in {s.id for s in sets}
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
