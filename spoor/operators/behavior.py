@@ -71,13 +71,17 @@ def observations(events: DataFrame) -> DataFrame:
     wrote = one(variant=variant, zone=F.when(inside, c("placement")), path=F.coalesce("relative", "path"), kind=c("kind"))
     read = one(variant=F.lit("read_credential"), path=F.when(inside, F.concat("placement", F.lit("/"), "relative")).otherwise(c("path")))
     asked = one(variant=F.lit("resolved"), qname=F.lower("qname"))
-    met = one(variant=F.lit("connected"), port=c("port"), loopback=net.is_loopback(c("ip")), private=net.is_private(c("ip")))
+    # The recorder says what is near; a recording that does not say so is judged by its address.
+    near = {"loopback": F.coalesce("loopback", net.is_loopback(c("ip"))), "private": F.coalesce("private", net.is_private(c("ip")))}
+    met = one(variant=F.lit("connected"), port=c("port"), **near)
+    socket = one(variant=F.lit("connected_unix"), path=c("unix_path"))
     ran = one(variant=F.lit("spawned"), program=name)
     piped = one(variant=F.lit("spawned_shell_pipeline"), tool=proc.shell_pipeline_tool(c("argv")))
     found = (
         F.when((c("op") == "fs_write") & ~failed, F.array(wrote))
         .when(c("op") == "fs_read", F.array(read))
         .when(c("op") == "dns_query", F.array(asked))
+        .when((c("op") == "net_connect") & c("unix_path").isNotNull(), F.array(socket))
         .when((c("op") == "net_connect") & (c("port") != 0), F.array(met))
         .when(c("op") == "proc_spawn", F.filter(F.array(ran, piped), lambda b: ((b["variant"] == "spawned") & (b["program"] != "")) | b["tool"].isNotNull()))
     )
@@ -107,11 +111,17 @@ def corpus_summary(events: DataFrame) -> DataFrame:
     return totals.crossJoin(seen)  # one row by one row
 
 
+def recordings_of(events: DataFrame) -> DataFrame:
+    """``package, version, recording_id, append_pos``: a row per recording with its place in the index."""
+    return events.groupBy("package", "version", "recording_id").agg(F.min("append_pos").alias("append_pos"))
+
+
 def version_pairs(recordings: DataFrame) -> DataFrame:
-    """``package, before_version, after_version, before_id, after_id`` of neighbouring versions;
-    recordings has a row per recording with package, version and recording_id."""
-    order = Window.partitionBy("package").orderBy("version")
-    rows = recordings.withColumn("after_version", F.lead("version").over(order)).withColumn("after_id", F.lead("recording_id").over(order))
+    """``package, before_version, after_version, before_id, after_id`` of neighbouring versions: in the order in which the
+    index saw them first, not in that of their text. recordings has a row per recording; a version's last one stands for it."""
+    versions = recordings.groupBy("package", "version").agg(F.min("append_pos").alias("first_seen"), F.max_by("recording_id", "append_pos").alias("recording_id"))
+    order = Window.partitionBy("package").orderBy("first_seen", "version")
+    rows = versions.withColumn("after_version", F.lead("version").over(order)).withColumn("after_id", F.lead("recording_id").over(order))
     return rows.where(F.col("after_id").isNotNull()).select("package", F.col("version").alias("before_version"), "after_version", F.col("recording_id").alias("before_id"), "after_id")
 
 
@@ -120,8 +130,7 @@ def version_diff(events: DataFrame) -> DataFrame:
 
     Every behaviour is tagged with the pairs it takes part in (two at most) and grouped once: one
     shuffle instead of two anti joins."""
-    recordings = events.select("package", "version", "recording_id").distinct()
-    pairs = version_pairs(recordings)
+    pairs = version_pairs(recordings_of(events))
     sides = pairs.select(F.explode(F.array(F.struct(F.col("before_id").alias("recording_id"), F.lit(True).alias("old")), F.struct(F.col("after_id").alias("recording_id"), F.lit(False).alias("old")))).alias("s"), "before_version", "after_version").select("s.*", "before_version", "after_version")
     rows = profile(events).join(sides, "recording_id")
     key = ["package", "before_version", "after_version", *IDENTITY]
@@ -130,22 +139,28 @@ def version_diff(events: DataFrame) -> DataFrame:
     return both.select(*key, change.alias("change"), behavior_class().alias("class"), behavior_summary().alias("summary"))
 
 
-def comparison_summary(events: DataFrame) -> DataFrame:
-    """Per pair of versions: counts, blockers, caveats, whether comparable and identical."""
-    diff = version_diff(events)
+def comparison_summary(events: DataFrame, diff: DataFrame | None = None) -> DataFrame:
+    """Per pair of versions: counts, blockers, caveats, whether comparable and identical, and the headline. A pair in which
+    neither side did anything is there too. ``diff``: that of ``version_diff``, where it is there already."""
+    diff = version_diff(events) if diff is None else diff
+    pair = ["package", "before_version", "after_version"]
+    diff = version_pairs(recordings_of(events)).select(*pair).join(diff, pair, "left")
     count = lambda c: F.count(F.when(F.col("change") == c, 1)).alias(c)
     counts = diff.groupBy("package", "before_version", "after_version").agg(count("added"), count("removed"), count("unchanged"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("change") != "unchanged", F.col("class")))), ", ").alias("changed_classes"))
-    about = events.groupBy("package", "version").agg(F.min_by("backend", "seq").alias("backend"), F.max(F.col("complete") & F.col("has_end")).alias("whole"), F.max("recording_id").alias("recording_id"))
+    about = events.groupBy("package", "version").agg(F.min_by("backend", "seq").alias("backend"), F.max(F.col("complete") & F.col("has_end")).alias("whole"), F.max_by("agent_version", "append_pos").alias("agent_version"), F.max_by("recording_id", "append_pos").alias("recording_id"))
     about = about.join(unresolved_paths(events), "recording_id").drop("recording_id")
-    side = lambda p: about.select("package", *[F.col(c).alias(f"{p}_{c}") for c in ("version", "backend", "whole", "unresolved_paths")])
+    side = lambda p: about.select("package", *[F.col(c).alias(f"{p}_{c}") for c in ("version", "backend", "whole", "agent_version", "unresolved_paths")])
     rows = counts.join(side("before"), ["package", "before_version"]).join(side("after"), ["package", "after_version"])
     same = F.col("before_backend") == F.col("after_backend")
     blockers = F.array_join(F.array_compact(F.array(F.when(~same, "backend_mismatch"), F.when(~F.col("before_whole"), "partial_before"), F.when(~F.col("after_whole"), "partial_after"))), ",")
     unresolved = lambda p: F.when(F.col(f"{p}_unresolved_paths") > 0, F.concat(F.lit(f"unresolved_{p}:"), F.col(f"{p}_unresolved_paths").cast("string")))
-    caveats = F.array_join(F.array_compact(F.array(unresolved("before"), unresolved("after"), F.when(same & (F.col("before_backend") == "aya"), F.lit("blind_spots:" + BLIND)))), ";")
+    agent = F.when(F.col("before_agent_version") != F.col("after_agent_version"), F.concat(F.lit("agent_version:"), "before_agent_version", F.lit(">"), "after_agent_version"))
+    caveats = F.array_join(F.array_compact(F.array(agent, unresolved("before"), unresolved("after"), F.when(same & (F.col("before_backend") == "aya"), F.lit("blind_spots:" + BLIND)))), ";")
     rows = rows.withColumn("blockers", blockers).withColumn("caveats", caveats)
     comparable = F.col("blockers") == ""
-    return rows.select("package", "before_version", "after_version", "added", "removed", "unchanged", "changed_classes", "blockers", "caveats", comparable.alias("comparable"), (comparable & (F.col("added") == 0) & (F.col("removed") == 0)).alias("identical"))
+    identical = (F.col("added") == 0) & (F.col("removed") == 0)
+    headline = F.when(~comparable, "cannot be compared").when(identical, "behaved identically").otherwise("behavior changed")
+    return rows.select(*pair, "added", "removed", "unchanged", "changed_classes", "blockers", "caveats", comparable.alias("comparable"), identical.alias("identical"), headline.alias("headline"))
 
 
 def diff_highlights(diff: DataFrame, k: int = 5) -> DataFrame:

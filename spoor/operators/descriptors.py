@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BY_FD = ["recording_id", "fd"]
+#: A descriptor is a process's own.
+BY_FD = ["recording_id", "pid", "fd"]
 
 
 def fd_epochs(activity: DataFrame) -> DataFrame:
@@ -33,11 +34,24 @@ def write_volume(activity: DataFrame) -> DataFrame:
 
 
 def late_events(arrivals: DataFrame, window_us: int) -> DataFrame:
-    """Arrivals in order of ``arrival`` per recording with ``late``: more than the window behind the newest so far.
-    Late ones stay; they are marked."""
-    before = Window.partitionBy("recording_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max("us").over(before)
-    return arrivals.withColumn("late", F.coalesce(F.col("us") < newest - window_us, F.lit(False)))
+    """Arrivals in order of ``arrival`` per recording with ``late``: older than one that was released before. An event is
+    released when the newest so far is ``window_us`` ahead of it. Late ones stay; they are marked.
+
+    When an event is released is looked up among the steps of the newest time, in order of time; then what
+    is released is carried along in order of arrival.
+    """
+    c, here = F.col, ["recording_id"]
+    newest = F.max("us").over(Window.partitionBy(*here).orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = arrivals.withColumn("newest", newest)
+    steps = rows.select(*here, c("newest").alias("at"), F.lit(0).alias("asks"), c("arrival").alias("step"), F.lit(None).cast("long").alias("arrival"), F.lit(None).cast("long").alias("us"))
+    asks = rows.select(*here, (c("us") + window_us).alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("step"), "arrival", "us")
+    reached = F.min("step").over(Window.partitionBy(*here).orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    released = steps.unionByName(asks).withColumn("reached", reached).where("asks = 1 and reached is not null").select(*here, F.greatest("reached", "arrival").alias("at"), c("us").alias("released"))
+    marks = released.select(*here, "at", F.lit(1).alias("order"), "released", F.lit(None).cast("long").alias("arrival"), F.lit(None).cast("long").alias("us"))
+    events = arrivals.select(*here, c("arrival").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("long").alias("released"), "arrival", "us")
+    last = F.max("released").over(Window.partitionBy(*here).orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = marks.unionByName(events).withColumn("last", last).where("arrival is not null")
+    return told.select(*here, "arrival", "us", F.coalesce(c("us") < c("last"), F.lit(False)).alias("late"))
 
 
 def liveness(beats: DataFrame, limit_us: int) -> DataFrame:

@@ -63,17 +63,22 @@ def relative_counterpart(sides: DataFrame) -> DataFrame:
 
 
 def mkdir_ancestor(sides: DataFrame) -> DataFrame:
-    """``pair_id, path`` of directories made on the second side below which some other write of the pair lies: an
-    equi-join on the prefixes of the written paths, and on runs of their components for relative directories."""
+    """``pair_id, path`` of directories made on the second side that some other write of the pair extends: one whose
+    path begins with an absolute directory's text, or has a relative one's between slashes or at its end.
+
+    Only pairs with such directories are looked at, and of their written paths only the beginnings as long as one of
+    the directories, or the runs of as many components; so both are equi-joins."""
     writes = sides.where("class = 'write'").select("pair_id", "path").distinct()
     made = sides.where("class = 'write' and kind = 'mkdir' and side = 2").select("pair_id", F.col("path").alias("dir")).distinct()
-    parts = F.filter(F.split(F.col("path"), "/"), lambda p: p != "")
-    rows = writes.withColumn("parts", parts)
-    n = F.size("parts")
-    lead = F.when(F.col("path").startswith("/"), "/").otherwise("")
-    prefix = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.concat(lead, F.array_join(F.slice("parts", F.lit(1), k), "/")))
-    inner = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(i, F.greatest(n, F.lit(1))), lambda j: F.array_join(F.slice("parts", i, j - i + 1), "/"))))
-    below = rows.select("pair_id", "path", F.explode(F.array_union(prefix, inner)).alias("dir"))
+    c = F.col
+    absolute = c("dir").startswith("/")
+    sizes = made.groupBy("pair_id").agg(F.collect_set(F.when(absolute, F.char_length("dir"))).alias("lengths"), F.collect_set(F.when(~absolute, F.size(F.split("dir", "/")))).alias("counts"))
+    rows = writes.join(sizes, "pair_id").withColumn("parts", F.split("path", "/"))
+    starts = F.transform(F.filter("lengths", lambda n: n < F.char_length("path")), lambda n: F.substring(c("path"), F.lit(1), n))
+    # The first component has no slash before it (an absolute path's is empty), so runs begin at the second.
+    places = F.sequence(F.lit(2), F.greatest(F.size("parts"), F.lit(2)))
+    inner = F.flatten(F.transform("counts", lambda n: F.transform(F.filter(places, lambda i: i + n - 1 <= F.size("parts")), lambda i: F.array_join(F.slice("parts", i, n), "/"))))
+    below = rows.select("pair_id", "path", F.explode(F.array_union(starts, inner)).alias("dir"))
     return below.join(made, ["pair_id", "dir"]).where("path <> dir").select("pair_id", F.col("dir").alias("path")).distinct()
 
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spoor.catalog import SEVERITIES, WEIGHTS, Catalog, coverage
+from spoor.catalog import SEVERITIES, UNOBSERVED, WEIGHTS, Catalog, coverage
 from spoor.functions import network as net, paths, process as proc
 from spoor.scratch import materialize
 
 FRAMING = ("session_start", "session_end", "heartbeat")
+#: What not every source of events has.
+OPTIONAL = {"error": "string", "unix_path": "string", "loopback": "boolean", "private": "boolean"}
 EVIDENCE = 5
 BULLETS = 3
 
 
 def placed(events: DataFrame) -> DataFrame:
-    """Events with ``placement``, the zone of their path."""
+    """Events with ``placement``, the zone of their path. Columns of OPTIONAL that they lack are null."""
     c = F.col
+    events = events.withColumns({k: F.lit(None).cast(t) for k, t in OPTIONAL.items() if k not in events.columns})
     return events.withColumn("placement", F.when(c("path").isNotNull(), paths.placement(c("path"), c("origin"), c("zone_project"), c("zone_cache"), c("zone_home"), c("zone_tmp"), c("extra"))))
 
 
@@ -32,8 +35,9 @@ def read_kind(failed: Column, catalog: Catalog) -> Column:
 
 
 def connect_kind(failed: Column) -> Column:
-    ip = F.col("ip")
-    counts = ip.isNotNull() & ~net.is_loopback(ip) & ~net.is_private(ip) & ~failed
+    # The recorder says what is near; a recording that does not say so is judged by its address.
+    near = F.coalesce("loopback", net.is_loopback(F.col("ip"))) | F.coalesce("private", net.is_private(F.col("ip")))
+    counts = F.col("ip").isNotNull() & ~near & ~failed
     return F.when(counts & net.is_unusual_port(F.col("port")), "connect_unusual_port").when(counts, "connect_external")
 
 
@@ -78,8 +82,8 @@ def hits(events: DataFrame, catalog: Catalog) -> DataFrame:
         F.when(F.col("hit") == "chmod_executable_outside_zones", F.concat(F.lit("chmod "), F.coalesce("mode", F.lit("?")), F.lit(" "), "path"))
         .when(op == "fs_write", volume)
         .when(F.col("hit") == "npmrc_read", "read package manager config")
-        .when(F.col("hit") == "credential_read_failed", "failed: unknown error")
-        .when(op == "fs_read", "read")
+        .when(F.col("hit") == "credential_read_failed", F.concat(F.lit("failed: "), F.coalesce("error", F.lit("unknown error"))))
+        .when(op == "fs_read", "read succeeded")
         .when(op == "net_connect", F.concat(F.lit("connected to "), address))
         .when(op == "dns_query", F.concat(F.lit("resolved "), "qname"))
         .when(F.col("hit") == "download_piped_to_shell", command)
@@ -157,9 +161,11 @@ def is_partial() -> Column:
 
 
 def verdict() -> Column:
-    """partial before findings before clean; clean with a caveat where the recorder has blind spots or paths stayed unresolved."""
-    blind = F.col("backend") == "aya"
-    return F.when(is_partial(), "partial").when(~F.col("is_clean"), "findings").when(blind | (F.col("unresolved") > 0), "clean_with_caveat").otherwise("clean")
+    """partial before findings before clean; clean with a caveat where the recorder has blind spots, paths stayed
+    unresolved or nothing was observed at all."""
+    blind = F.col("backend").isin(sorted({b for b, _ in UNOBSERVED}))
+    caveat = blind | (F.col("unresolved") > 0) | (F.col("observations") == 0)
+    return F.when(is_partial(), "partial").when(~F.col("is_clean"), "findings").when(caveat, "clean_with_caveat").otherwise("clean")
 
 
 def format_score() -> Column:
@@ -178,10 +184,10 @@ def findings(events: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     return dedupe_findings(match_rules(materialize(hits(events, catalog), "hits"), catalog))
 
 
-def evaluate(events: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """The whole analysis, a row per recording: score, verdict, counts."""
+def evaluate(events: DataFrame, catalog: Catalog | None = None, found: DataFrame | None = None) -> DataFrame:
+    """The whole analysis, a row per recording: score, verdict, counts. ``found``: the findings, where they are there already."""
     recordings = recording_counts(events)
-    scored = scores(recordings.select("recording_id"), findings(events, catalog))
+    scored = scores(recordings.select("recording_id"), findings(events, catalog) if found is None else found)
     rows = recordings.join(scored, "recording_id")
     return rows.select(
         "recording_id", "package", "version", "backend", "observations", "unresolved", *SEVERITIES, "raw", "value", "was_capped", is_partial().alias("is_partial"), verdict().alias("verdict"), format_score().alias("score_text")
@@ -211,7 +217,8 @@ def signal_log(events: DataFrame, found: DataFrame) -> DataFrame:
     """Observations in stream order with the time since the one before, in tenths of a millisecond,
     and the worst finding about their subject."""
     order = Window.partitionBy("recording_id").orderBy("seq")
-    subject = F.coalesce("path", F.when(F.col("op") == "net_connect", F.concat("ip", F.lit(":"), F.col("port").cast("string"))), "qname", paths.basename(F.col("bin")))
+    address = F.concat("ip", F.coalesce(F.concat(F.lit(":"), F.col("port").cast("string")), F.lit("")))
+    subject = F.coalesce("path", F.when(F.col("op") == "net_connect", address), "qname", paths.basename(F.col("bin")))
     gap = F.greatest(F.col("ts_ns") - F.coalesce(F.lag("ts_ns").over(order), F.col("ts_ns")), F.lit(0))
     tenths = F.floor(F.floor(gap / 1000) / 100).cast("long")
     rows = events.where(~F.col("op").isin(*FRAMING)).select("recording_id", "seq", "op", subject.alias("subject"), "ok", "origin", F.row_number().over(order).cast("long").alias("n"), tenths.alias("delta_tenths"))

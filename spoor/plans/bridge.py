@@ -19,16 +19,19 @@ WITH e AS (
   FROM e
 )
 SELECT rec AS recording_id, CAST(seq AS BIGINT) AS seq, ts_ns, 4000 + k % 7 AS pid, op,
-  'pkg-' || CAST(pkg_no AS STRING) AS package, '1.0.' || CAST(ver_no AS STRING) AS version,
+  'pkg-' || CAST(pkg_no AS STRING) AS package, '1.' || CAST(ver_no * 4 + 2 AS STRING) || '.0' AS version, rec AS append_pos,
+  '0.4.' || CASE WHEN ver_no = 4 THEN '1' ELSE '0' END AS agent_version,
   CASE WHEN pkg_no % 7 = 6 OR rec % 29 = 28 THEN 'aya' ELSE 'strace' END AS backend,
   '/work/' || CAST(rec AS STRING) || '/project' AS zone_project, '/home/u' || CAST(rec AS STRING) || '/.npm' AS zone_cache,
   '/home/u' || CAST(rec AS STRING) AS zone_home, '/tmp' AS zone_tmp, '/opt/out' AS zone_extra,
   CASE WHEN event_type = 'error' AND k % 2 = 0 THEN false WHEN op = 'fs_read' AND k % 5 = 0 THEN false WHEN k % 17 = 16 THEN NULL ELSE true END AS ok,
+  CASE WHEN event_type = 'error' AND k % 2 = 0 OR op = 'fs_read' AND k % 5 = 0 THEN CASE k % 4 WHEN 0 THEN 'EACCES' WHEN 1 THEN 'ENOENT' END END AS error,
   CASE WHEN op = 'fs_write' THEN
          CASE k % 10 WHEN 0 THEN '/etc/cron.d/job' || CAST(k AS STRING) WHEN 1 THEN '/usr/local/bin/tool' || CAST(k AS STRING)
            WHEN 2 THEN '/proc/self/attr' || CAST(k AS STRING) WHEN 3 THEN 'project/file' || CAST(k AS STRING)
            WHEN 4 THEN '/home/u' || CAST(rec AS STRING) || '/.npm/f' || CAST(k AS STRING) WHEN 5 THEN '/tmp/t' || CAST(k AS STRING)
-           WHEN 6 THEN '/opt/out/o' || CAST(k AS STRING)
+           WHEN 6 THEN CASE WHEN k % 4 <> 2 THEN '/opt/out/o' || CAST(k AS STRING) WHEN k = 86 THEN '/opt/ou' ELSE '/opt/out' END
+           WHEN 8 THEN CASE WHEN k % 4 = 2 THEN 'node_modules' ELSE '/opt/out/node_modules/m' || CAST(k AS STRING) || '/index.js' END
            ELSE '/work/' || CAST(rec AS STRING) || '/project/node_modules/m' || CAST(k AS STRING) || '/index.js' END
        WHEN op = 'fs_read' THEN
          CASE k % 4 WHEN 0 THEN '/home/u' || CAST(rec AS STRING) || '/.ssh/id_rsa' WHEN 1 THEN '/home/u' || CAST(rec AS STRING) || '/.npmrc'
@@ -37,8 +40,10 @@ SELECT rec AS recording_id, CAST(seq AS BIGINT) AS seq, ts_ns, 4000 + k % 7 AS p
   CASE WHEN op = 'fs_write' THEN CASE WHEN k % 10 = 1 THEN 'chmod' WHEN k % 4 = 0 THEN 'open' WHEN k % 4 = 1 THEN 'write' WHEN k % 4 = 2 THEN 'mkdir' ELSE 'delete' END END AS kind,
   CASE WHEN op = 'fs_write' AND k % 10 = 1 THEN CASE WHEN k % 20 = 1 THEN '0755' ELSE '0644' END END AS mode,
   CASE WHEN op = 'fs_write' AND k % 10 <> 1 AND k % 4 = 1 THEN CAST(floor(value * 100) AS BIGINT) END AS bytes,
-  CASE WHEN op = 'net_connect' THEN CASE k % 10 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN '10.0.0.7' ELSE '203.0.113.' || CAST(k AS STRING) END END AS ip,
-  CASE WHEN op = 'net_connect' THEN CASE k % 5 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 0 WHEN 3 THEN 8443 ELSE 4444 END END AS port,
+  CASE WHEN op = 'net_connect' THEN CASE k % 10 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN '10.0.0.7' WHEN 9 THEN NULL ELSE '203.0.113.' || CAST(k AS STRING) END END AS ip,
+  CASE WHEN op = 'net_connect' AND k % 10 = 9 THEN '/run/s' || CAST(k AS STRING) || '.sock' END AS unix_path,
+  op = 'net_connect' AND k % 10 = 0 AS loopback, op = 'net_connect' AND (k % 10 = 1 OR k = 42) AS private,
+  CASE WHEN op = 'net_connect' AND k % 10 <> 9 THEN CASE k % 5 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 0 WHEN 3 THEN 8443 ELSE 4444 END END AS port,
   CASE WHEN op = 'dns_query' THEN CASE k % 6 WHEN 0 THEN 'registry.npmjs.org' WHEN 1 THEN 'Metrics.Vendor' || CAST(k AS STRING) || '.example' WHEN 2 THEN 'github.com'
        WHEN 3 THEN 'localhost' WHEN 4 THEN 'objects.githubusercontent.com' ELSE 'a.npmjs.org.' END END AS qname,
   CASE WHEN op = 'proc_spawn' THEN CASE k % 5 WHEN 0 THEN '/usr/bin/node' WHEN 1 THEN '/usr/bin/curl' WHEN 2 THEN '/bin/sh' WHEN 3 THEN '/opt/weird/tool' || CAST(k AS STRING) ELSE '/usr/bin/make' END END AS bin,
@@ -79,7 +84,7 @@ FROM (SELECT *, {sha256} AS sha256_of FROM {orders}) AS o
 """
 
 FD = """
-SELECT user_id AS recording_id, CAST(k % 3 AS BIGINT) AS fd, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS BIGINT) AS seq, us,
+SELECT user_id AS recording_id, CAST(4000 + k % 4 AS BIGINT) AS pid, CAST(k % 3 AS BIGINT) AS fd, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS BIGINT) AS seq, us,
   CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'write' WHEN 'error' THEN 'close' ELSE 'other' END AS act,
   CASE WHEN event_type = 'signup' THEN 'f' || CAST(k % 5 AS STRING) END AS path, CAST(floor(value * 100) AS BIGINT) AS bytes, event_id
 FROM (SELECT *, {epoch_us} AS us, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) AS e

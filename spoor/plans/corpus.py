@@ -172,24 +172,24 @@ def _(spark, d):
 
 FD = f"""
 WITH a AS (SELECT * FROM ({bridge.duckdb(bridge.FD)}) WHERE act <> 'other'
-), s AS (SELECT *, lag(act) OVER w AS last_act, last_value(path IGNORE NULLS) OVER (PARTITION BY recording_id, fd ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_path FROM a WINDOW w AS (PARTITION BY recording_id, fd ORDER BY seq)
-), e AS (SELECT *, CAST(sum(CASE WHEN last_act IS NULL OR last_act = 'close' OR act = 'open' AND path IS DISTINCT FROM last_path THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, fd ORDER BY seq) AS BIGINT) AS epoch FROM s
-), w AS (SELECT *, last_value(path IGNORE NULLS) OVER (PARTITION BY recording_id, fd, epoch ORDER BY seq) AS target FROM e)
+), s AS (SELECT *, lag(act) OVER w AS last_act, last_value(path IGNORE NULLS) OVER (PARTITION BY recording_id, pid, fd ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_path FROM a WINDOW w AS (PARTITION BY recording_id, pid, fd ORDER BY seq)
+), e AS (SELECT *, CAST(sum(CASE WHEN last_act IS NULL OR last_act = 'close' OR act = 'open' AND path IS DISTINCT FROM last_path THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, pid, fd ORDER BY seq) AS BIGINT) AS epoch FROM s
+), w AS (SELECT *, last_value(path IGNORE NULLS) OVER (PARTITION BY recording_id, pid, fd, epoch ORDER BY seq) AS target FROM e)
 """
 fd = bridge.fd_activity
 
 
-@query("fd_epochs", FD + "SELECT recording_id, fd, seq, act, epoch FROM e")
+@query("fd_epochs", FD + "SELECT recording_id, pid, fd, seq, act, epoch FROM e")
 def _(spark, d):
-    return descriptors.fd_epochs(fd(spark, d)).select("recording_id", "fd", "seq", "act", "epoch")
+    return descriptors.fd_epochs(fd(spark, d)).select("recording_id", "pid", "fd", "seq", "act", "epoch")
 
 
-@query("fd_as_of", FD + "SELECT recording_id, fd, seq, target, bytes FROM w WHERE act = 'write'")
+@query("fd_as_of", FD + "SELECT recording_id, pid, fd, seq, target, bytes FROM w WHERE act = 'write'")
 def _(spark, d):
-    return descriptors.fd_as_of(fd(spark, d)).select("recording_id", "fd", "seq", "target", "bytes")
+    return descriptors.fd_as_of(fd(spark, d)).select("recording_id", "pid", "fd", "seq", "target", "bytes")
 
 
-@query("write_volume", FD + "SELECT recording_id, fd, epoch, target AS path, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS writes, max(us) AS last_us FROM w WHERE act = 'write' GROUP BY recording_id, fd, epoch, target")
+@query("write_volume", FD + "SELECT recording_id, pid, fd, epoch, target AS path, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS writes, max(us) AS last_us FROM w WHERE act = 'write' GROUP BY recording_id, pid, fd, epoch, target")
 def _(spark, d):
     return descriptors.write_volume(fd(spark, d))
 
@@ -203,7 +203,14 @@ def arrivals(spark, d):
     return e.select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("arrival"), F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us"))
 
 
-@query("late_events", ARRIVALS + f" SELECT recording_id, arrival, us, coalesce(us < max(us) OVER (PARTITION BY recording_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {HOUR}, false) AS late FROM a")
+@query(
+    "late_events",
+    ARRIVALS
+    + f""", n AS (SELECT *, max(us) OVER (PARTITION BY recording_id ORDER BY arrival) AS newest FROM a
+), r AS (SELECT x.recording_id, x.arrival, x.us, min(greatest(n.arrival, x.arrival)) AS released_at FROM a x JOIN n ON n.recording_id = x.recording_id AND n.newest >= x.us + {HOUR} GROUP BY ALL
+), l AS (SELECT a.recording_id, a.arrival, max(r.us) AS last_released FROM a JOIN r ON r.recording_id = a.recording_id AND r.released_at < a.arrival GROUP BY ALL)
+SELECT a.recording_id, a.arrival, a.us, coalesce(a.us < last_released, false) AS late FROM a LEFT JOIN l ON l.recording_id = a.recording_id AND l.arrival = a.arrival""",
+)
 def _(spark, d):
     return descriptors.late_events(arrivals(spark, d), HOUR)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spoor.functions import network as net, process as proc
-from spoor.operators import parity
+from spoor.operators import behavior, parity
 from spoor.plans import bridge
 from spoor.plans.security import BASE
 
@@ -13,9 +13,13 @@ Q, SQL = {}, {}
 
 
 def sides(spark, d) -> DataFrame:
-    """The first two versions of a package stand for two recorders of one workload; the others are left out."""
-    rows = bridge.events(spark, d).where(F.col("version").isin("1.0.0", "1.0.1"))
-    return _facts(rows.withColumns({"pair_id": F.col("package"), "side": F.when(F.col("version") == "1.0.0", 1).otherwise(2)}))
+    """Every two neighbouring versions of a package stand for two recorders of one workload."""
+    events = bridge.events(spark, d)
+    pairs = behavior.version_pairs(behavior.recordings_of(events)).withColumn("pair_id", F.concat("package", F.lit(":"), "before_version"))
+    side = lambda of, n: F.struct(F.col(of).alias("recording_id"), F.lit(n).alias("side"))
+    sides = pairs.select("pair_id", F.explode(F.array(side("before_id", 1), side("after_id", 2))).alias("s")).select("pair_id", "s.*")
+    # A recording is the second side of one pair and the first of the next.
+    return _facts(events.join(sides, "recording_id").withColumn("recording_id", F.concat("pair_id", F.lit("/"), F.col("side").cast("string"))))
 
 
 def recorder_sides(spark, d) -> DataFrame:
@@ -31,9 +35,11 @@ def _facts(rows: DataFrame) -> DataFrame:
 
 FACTS = (
     BASE
-    + """, q AS (SELECT *, CASE WHEN version = '1.0.0' THEN 1 ELSE 2 END AS side, CASE WHEN version = '1.0.0' AND origin = 'unresolved' THEN '/work/x/' || path ELSE path END AS npath FROM p WHERE version IN ('1.0.0', '1.0.1')
+    + """, nv AS (SELECT package, version AS v1, lead(version) OVER (PARTITION BY package ORDER BY first_seen) AS v2 FROM (SELECT package, version, min(append_pos) AS first_seen FROM b GROUP BY ALL)
+), sd AS (SELECT package, v1 AS version, package || ':' || v1 AS pair_id, 1 AS side FROM nv WHERE v2 IS NOT NULL UNION ALL SELECT package, v2, package || ':' || v1, 2 FROM nv WHERE v2 IS NOT NULL
+), q AS (SELECT p.*, pair_id, side, CASE WHEN side = 1 AND origin = 'unresolved' THEN '/work/x/' || path ELSE path END AS npath FROM p JOIN sd USING (package, version)
 ), fa AS (
-  SELECT DISTINCT package AS pair_id, side, CASE op WHEN 'fs_write' THEN 'write' WHEN 'fs_read' THEN 'read' WHEN 'net_connect' THEN 'connected' WHEN 'dns_query' THEN 'resolved' ELSE 'spawned' END AS class,
+  SELECT DISTINCT pair_id, side, CASE op WHEN 'fs_write' THEN 'write' WHEN 'fs_read' THEN 'read' WHEN 'net_connect' THEN 'connected' WHEN 'dns_query' THEN 'resolved' ELSE 'spawned' END AS class,
     CASE WHEN op IN ('fs_write', 'fs_read') THEN npath END AS path, CASE WHEN op = 'fs_write' THEN kind END AS kind, CASE WHEN op = 'net_connect' THEN ip END AS ip, CASE WHEN op = 'net_connect' THEN port END AS port,
     CASE WHEN op = 'dns_query' THEN lower(qname) END AS qname, CASE WHEN op = 'proc_spawn' THEN prog END AS program
   FROM q WHERE NOT (failed AND op IN ('fs_write', 'fs_read', 'net_connect'))
@@ -45,7 +51,7 @@ FACTS = (
 ), cp AS (SELECT pair_id, side, path, kind_group FROM rc2 UNION SELECT pair_id, o_side, o_path, kind_group FROM rc2
 ), md AS (
   SELECT DISTINCT m.pair_id, m.path FROM fa m JOIN fa w ON w.pair_id = m.pair_id AND w.class = 'write' AND w.path <> m.path WHERE m.class = 'write' AND m.kind = 'mkdir' AND m.side = 2
-    AND CASE WHEN m.path LIKE '/%' THEN starts_with(w.path, m.path || '/') ELSE contains('/' || w.path || '/', '/' || m.path || '/') END
+    AND CASE WHEN m.path LIKE '/%' THEN starts_with(w.path, m.path) ELSE contains(w.path, '/' || m.path || '/') OR ends_with(w.path, '/' || m.path) END
 ), cmp AS (
   SELECT df.*, CASE
       WHEN seen_by = 'first' AND class = 'write' AND df.path = '/dev/null' THEN 'null_device'
@@ -68,7 +74,7 @@ def _add(name, f, sql):
 
 
 #: The same over every recording: no version is left out.
-EVERY = FACTS.replace(" FROM p WHERE version IN ('1.0.0', '1.0.1')", " FROM p").replace("version = '1.0.0'", "recording_id % 2 = 0").replace("package AS pair_id", "recording_id // 2 AS pair_id")
+EVERY = FACTS.replace("SELECT p.*, pair_id, side,", "SELECT *, recording_id // 2 AS pair_id, recording_id % 2 + 1 AS side,").replace("WHEN side = 1 AND origin", "WHEN recording_id % 2 = 0 AND origin").replace(" FROM p JOIN sd USING (package, version)", " FROM p")
 
 
 def _add_both(name, f, sql):
@@ -108,7 +114,8 @@ _add(
     "scalar_predicates",
     predicates,
     BASE
-    + """SELECT recording_id, seq, coalesce(port NOT IN (0, 80, 443), false) AS unusual_port, coalesce(loopback, false) AS loopback, coalesce(private, false) AS private,
+    + """SELECT recording_id, seq, coalesce(port NOT IN (0, 80, 443), false) AS unusual_port, coalesce(starts_with(ip, '127.') OR ip = '::1', false) AS loopback,
+  coalesce(starts_with(ip, '10.') OR starts_with(ip, '192.168.') OR starts_with(ip, '169.254.'), false) AS private,
   script IS NOT NULL AND NOT argv_truncated AS pipes, CASE WHEN script IS NOT NULL THEN 'curl' END AS tool, command FROM p""",
 )
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spoor.catalog import Catalog
+from spoor.catalog import CLASS_OF_KIND, Catalog
 from spoor.operators import behavior, rules
 from spoor.plans import bridge
+from spoor.scratch import materialize
 
 Q, SQL = {}, {}
 
@@ -39,9 +40,7 @@ WITH b AS ({bridge.duckdb(bridge.EVENTS)}
       WHEN {within('zone_project')} THEN 'project' WHEN {within('zone_cache')} THEN 'cache' WHEN {within('zone_home')} THEN 'home'
       WHEN {within('zone_tmp')} THEN 'tmp' WHEN {within('zone_extra')} THEN 'declared' ELSE 'outside' END AS placement,
     coalesce(NOT ok, false) AS failed, lower(rtrim(qname, '.')) AS host, split_part(bin, '/', -1) AS prog,
-    CASE WHEN script IS NOT NULL THEN 'sh -c ' || script ELSE coalesce(bin, '') END AS command,
-    starts_with(ip, '127.') OR ip = '::1' AS loopback,
-    starts_with(ip, '10.') OR starts_with(ip, '192.168.') OR starts_with(ip, '169.254.') AS private
+    CASE WHEN script IS NOT NULL THEN 'sh -c ' || script ELSE coalesce(bin, '') END AS command, ip || coalesce(':' || port, '') AS address
   FROM b
 ), h0 AS (
   SELECT *, CASE op
@@ -49,7 +48,7 @@ WITH b AS ({bridge.duckdb(bridge.EVENTS)}
     WHEN 'fs_read' THEN CASE WHEN path LIKE '%/.npmrc' OR path LIKE '%/.yarnrc' THEN 'npmrc_read'
         WHEN split_part(path, '/', -1) IN ({words(CATALOG.credential_filenames)}) OR starts_with(split_part(path, '/', -1), '.env') OR {' OR '.join(f"contains(path, '{x}')" for x in CATALOG.credential_paths)}
         THEN CASE WHEN failed THEN 'credential_read_failed' ELSE 'credential_read' END END
-    WHEN 'net_connect' THEN CASE WHEN NOT loopback AND NOT private AND NOT failed THEN CASE WHEN port NOT IN (0, 80, 443) THEN 'connect_unusual_port' ELSE 'connect_external' END END
+    WHEN 'net_connect' THEN CASE WHEN ip IS NOT NULL AND NOT loopback AND NOT private AND NOT failed THEN CASE WHEN port NOT IN (0, 80, 443) THEN 'connect_unusual_port' ELSE 'connect_external' END END
     WHEN 'dns_query' THEN CASE WHEN host IN ({words(CATALOG.registry_hosts)}) OR {SUFFIX('host', CATALOG.registry_suffixes)} OR NOT contains(qname, '.') THEN NULL
         WHEN {SUFFIX('host', CATALOG.binary_distribution_suffixes)} THEN 'dns_binary_distribution' ELSE 'dns_outside_registry' END
     WHEN 'proc_spawn' THEN CASE WHEN script LIKE '%curl%|%sh%' AND NOT argv_truncated THEN 'download_piped_to_shell'
@@ -58,13 +57,13 @@ WITH b AS ({bridge.duckdb(bridge.EVENTS)}
   FROM p
 ), h AS (
   SELECT recording_id, seq, ts_ns, pid, op, backend, hit,
-    CASE WHEN op IN ('fs_write', 'fs_read') THEN path WHEN op = 'net_connect' THEN ip || ':' || port WHEN op = 'dns_query' THEN qname WHEN hit = 'download_piped_to_shell' THEN command ELSE prog END AS subject,
+    CASE WHEN op IN ('fs_write', 'fs_read') THEN path WHEN op = 'net_connect' THEN address WHEN op = 'dns_query' THEN qname WHEN hit = 'download_piped_to_shell' THEN command ELSE prog END AS subject,
     CASE WHEN hit = 'chmod_executable_outside_zones' THEN 'chmod ' || mode || ' ' || path
       WHEN op = 'fs_write' THEN upper(kind[1]) || kind[2:] || coalesce(' ' || bytes || ' bytes', '')
-      WHEN hit = 'npmrc_read' THEN 'read package manager config' WHEN hit = 'credential_read_failed' THEN 'failed: unknown error' WHEN op = 'fs_read' THEN 'read'
-      WHEN op = 'net_connect' THEN 'connected to ' || ip || ':' || port WHEN op = 'dns_query' THEN 'resolved ' || qname ELSE command END AS detail
+      WHEN hit = 'npmrc_read' THEN 'read package manager config' WHEN hit = 'credential_read_failed' THEN 'failed: ' || coalesce(error, 'unknown error') WHEN op = 'fs_read' THEN 'read succeeded'
+      WHEN op = 'net_connect' THEN 'connected to ' || address WHEN op = 'dns_query' THEN 'resolved ' || qname ELSE command END AS detail
   FROM h0 WHERE hit IS NOT NULL
-), rule(kind, rule_id, severity, sev_rank, class, title) AS (VALUES {', '.join(f"('{r.kind}', '{r.id}', '{r.severity}', {['critical', 'high', 'medium', 'low'].index(r.severity)}, '{c}', '{r.title}')" for r, c in ((r, __import__('spoor.catalog', fromlist=['x']).CLASS_OF_KIND[r.kind]) for r in CATALOG.rules))}
+), rule(kind, rule_id, severity, sev_rank, class, title) AS (VALUES {', '.join(f"('{r.kind}', '{r.id}', '{r.severity}', {['critical', 'high', 'medium', 'low'].index(r.severity)}, '{c}', '{r.title}')" for r, c in ((r, CLASS_OF_KIND[r.kind]) for r in CATALOG.rules))}
 ), m AS (
   SELECT h.*, rule.* FROM h JOIN rule ON h.hit = rule.kind WHERE NOT (backend = 'aya' AND class IN ('credential reads', 'DNS queries'))
 ), f AS (
@@ -84,7 +83,7 @@ WITH b AS ({bridge.duckdb(bridge.EVENTS)}
   FROM rc LEFT JOIN f USING (recording_id) GROUP BY rc.recording_id
 ), a AS (
   SELECT rc.*, critical, high, medium, low, raw, least(raw, 100) AS value, raw > 100 AS was_capped,
-    CASE WHEN is_partial THEN 'partial' WHEN raw > 0 THEN 'findings' WHEN backend = 'aya' OR unresolved > 0 THEN 'clean_with_caveat' ELSE 'clean' END AS verdict,
+    CASE WHEN is_partial THEN 'partial' WHEN raw > 0 THEN 'findings' WHEN backend = 'aya' OR unresolved > 0 OR observations = 0 THEN 'clean_with_caveat' ELSE 'clean' END AS verdict,
     least(raw, 100) || ' / 100' || CASE WHEN raw > 100 THEN ' (raw ' || raw || ')' ELSE '' END AS score_text
   FROM rc JOIN s USING (recording_id)
 )
@@ -178,7 +177,7 @@ def _(spark, d):
     "signal_log",
     BASE
     + """, w AS (SELECT recording_id, subject, arg_min(rule_id, struct_pack(a := sev_rank, b := rule_id)) AS rule_id FROM f GROUP BY ALL
-), o AS (SELECT *, coalesce(path, ip || ':' || port, qname, prog) AS subj, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS n,
+), o AS (SELECT *, coalesce(path, address, qname, prog) AS subj, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS n,
     greatest(ts_ns - coalesce(lag(ts_ns) OVER (PARTITION BY recording_id ORDER BY seq), ts_ns), 0) AS gap FROM p)
 SELECT o.recording_id, n, op, subj AS subject, CASE WHEN ok THEN 'ok' WHEN NOT ok THEN 'failed' ELSE 'unknown' END AS outcome, origin, CAST((gap // 1000) // 100 AS BIGINT) AS delta_tenths, rule_id
 FROM o LEFT JOIN w ON w.recording_id = o.recording_id AND w.subject = o.subj""",
@@ -192,7 +191,7 @@ def _(spark, d):
     "signal_findings",
     BASE
     + """, w AS (SELECT recording_id, subject AS key, arg_min(rule_id, struct_pack(a := sev_rank, b := -occurrences, c := rule_id)) AS rule_id FROM f GROUP BY ALL
-), o AS (SELECT *, CASE op WHEN 'proc_spawn' THEN command WHEN 'net_connect' THEN ip || coalesce(':' || port, '') WHEN 'dns_query' THEN qname ELSE path END AS subj, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS n,
+), o AS (SELECT *, CASE op WHEN 'proc_spawn' THEN command WHEN 'net_connect' THEN address WHEN 'dns_query' THEN qname ELSE path END AS subj, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS n,
     greatest(ts_ns - coalesce(lag(ts_ns) OVER (PARTITION BY recording_id ORDER BY seq), ts_ns), 0) AS gap FROM p
 ), k AS (
   SELECT o.recording_id, n, arg_min(rule_id, struct_pack(a := key <> subj, b := key)) AS rule_id
@@ -226,7 +225,8 @@ FROM a LEFT JOIN v USING (recording_id) LEFT JOIN w USING (recording_id)""",
 )
 def _(spark, d):
     e = events(spark, d)
-    return rules.report_markdown(rules.evaluate(e), rules.findings(e))
+    found = materialize(rules.findings(e), "findings")
+    return rules.report_markdown(rules.evaluate(e, found=found), found)
 
 
 #: Behaviours, distinct per recording.
@@ -242,18 +242,19 @@ BEHAVIOR = (
   FROM rel2 WHERE op = 'fs_write' AND NOT failed
   UNION SELECT recording_id, package, version, 'read_credential', NULL, CASE WHEN relative IS NOT NULL THEN placement || '/' || relative ELSE path END, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM rel2 WHERE op = 'fs_read'
   UNION SELECT recording_id, package, version, 'resolved', NULL, NULL, NULL, lower(qname), NULL, NULL, NULL, NULL, NULL FROM p WHERE op = 'dns_query'
-  UNION SELECT recording_id, package, version, 'connected', NULL, NULL, NULL, NULL, port, loopback, private, NULL, NULL FROM p WHERE op = 'net_connect' AND port <> 0
+  UNION SELECT recording_id, package, version, 'connected', NULL, NULL, NULL, NULL, port, loopback, private, NULL, NULL FROM p WHERE op = 'net_connect' AND unix_path IS NULL AND port <> 0
+  UNION SELECT recording_id, package, version, 'connected_unix', NULL, unix_path, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE op = 'net_connect' AND unix_path IS NOT NULL
   UNION SELECT recording_id, package, version, 'spawned', NULL, NULL, NULL, NULL, NULL, NULL, NULL, prog, NULL FROM p WHERE op = 'proc_spawn'
   UNION SELECT recording_id, package, version, 'spawned_shell_pipeline', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'curl' FROM p WHERE script IS NOT NULL
 ), bs AS (
-  SELECT *, CASE WHEN variant = 'wrote_outside' THEN 'writes outside expected directories' WHEN variant = 'read_credential' THEN 'credential reads' WHEN variant IN ('resolved', 'connected') THEN 'network' WHEN starts_with(variant, 'spawned') THEN 'processes' ELSE 'filesystem' END AS class,
+  SELECT *, CASE WHEN variant = 'wrote_outside' THEN 'writes outside expected directories' WHEN variant = 'read_credential' THEN 'credential reads' WHEN variant IN ('resolved', 'connected', 'connected_unix') THEN 'network' WHEN starts_with(variant, 'spawned') THEN 'processes' ELSE 'filesystem' END AS class,
     CASE variant WHEN 'wrote' THEN {VERB} || ' ' || zone || '/' || path WHEN 'wrote_outside' THEN {VERB} || ' ' || path || ' (outside expected directories)' WHEN 'wrote_runtime' THEN {VERB} || ' ' || path
       WHEN 'wrote_unresolved' THEN {VERB} || ' ' || path || ' (path unresolved by the recorder)' WHEN 'read_credential' THEN 'read ' || path WHEN 'resolved' THEN 'resolved ' || qname
       WHEN 'connected' THEN 'connected to port ' || port || CASE WHEN loopback THEN ' (loopback)' WHEN private THEN ' (private network)' ELSE '' END
-      WHEN 'spawned' THEN 'ran ' || program ELSE 'piped ' || tool || ' output into a shell' END AS summary
+      WHEN 'connected_unix' THEN 'connected to unix socket ' || path WHEN 'spawned' THEN 'ran ' || program ELSE 'piped ' || tool || ' output into a shell' END AS summary
   FROM beh
 ), pr AS (
-  SELECT DISTINCT package, version AS before_version, lead(version) OVER (PARTITION BY package ORDER BY version) AS after_version FROM (SELECT DISTINCT package, version FROM b)
+  SELECT package, version AS before_version, lead(version) OVER (PARTITION BY package ORDER BY first_seen) AS after_version FROM (SELECT package, version, min(append_pos) AS first_seen FROM b GROUP BY ALL)
 ), tagged AS (
   SELECT pr.package, before_version, after_version, true AS old, bs.* EXCLUDE (package, version, recording_id) FROM pr JOIN bs ON bs.package = pr.package AND bs.version = before_version WHERE after_version IS NOT NULL
   UNION ALL SELECT pr.package, before_version, after_version, false, bs.* EXCLUDE (package, version, recording_id) FROM pr JOIN bs ON bs.package = pr.package AND bs.version = after_version
@@ -261,14 +262,16 @@ BEHAVIOR = (
   SELECT package, before_version, after_version, variant, zone, path, kind, qname, port, loopback, private, program, tool, class, summary,
     CASE WHEN bool_or(old) AND bool_or(NOT old) THEN 'unchanged' WHEN bool_or(old) THEN 'removed' ELSE 'added' END AS change
   FROM tagged GROUP BY ALL
-), un AS (SELECT package, version, count(*) FILTER (placement = 'unresolvable' AND (op = 'fs_read' OR op = 'fs_write' AND NOT failed)) AS unresolved_paths, arg_min(backend, seq) AS backend, bool_or(complete AND has_end) AS whole FROM p GROUP BY ALL
+), un AS (SELECT package, version, count(*) FILTER (placement = 'unresolvable' AND (op = 'fs_read' OR op = 'fs_write' AND NOT failed)) AS unresolved_paths, arg_min(backend, seq) AS backend, bool_or(complete AND has_end) AS whole, any_value(agent_version) AS agent_version FROM p GROUP BY ALL
 ), cs0 AS (
   SELECT package, before_version, after_version, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'unchanged') AS unchanged,
-    coalesce(string_agg(DISTINCT class, ', ' ORDER BY class) FILTER (change <> 'unchanged'), '') AS changed_classes FROM vd GROUP BY ALL
+    coalesce(string_agg(DISTINCT class, ', ' ORDER BY class) FILTER (change <> 'unchanged'), '') AS changed_classes
+  FROM pr LEFT JOIN vd USING (package, before_version, after_version) WHERE after_version IS NOT NULL GROUP BY ALL
 ), cs AS (
   SELECT cs0.*, concat_ws(',', CASE WHEN x.backend <> y.backend THEN 'backend_mismatch' END, CASE WHEN NOT x.whole THEN 'partial_before' END, CASE WHEN NOT y.whole THEN 'partial_after' END) AS blockers,
-    concat_ws(';', CASE WHEN x.unresolved_paths > 0 THEN 'unresolved_before:' || x.unresolved_paths END, CASE WHEN y.unresolved_paths > 0 THEN 'unresolved_after:' || y.unresolved_paths END,
-      CASE WHEN x.backend = 'aya' AND y.backend = 'aya' THEN 'blind_spots:credential reads, DNS queries' END) AS caveats
+    concat_ws(';', CASE WHEN x.agent_version <> y.agent_version THEN 'agent_version:' || x.agent_version || '>' || y.agent_version END, CASE WHEN x.unresolved_paths > 0 THEN 'unresolved_before:' || x.unresolved_paths END, CASE WHEN y.unresolved_paths > 0 THEN 'unresolved_after:' || y.unresolved_paths END,
+      CASE WHEN x.backend = 'aya' AND y.backend = 'aya' THEN 'blind_spots:credential reads, DNS queries' END) AS caveats,
+    CASE WHEN blockers <> '' THEN 'cannot be compared' WHEN added = 0 AND removed = 0 THEN 'behaved identically' ELSE 'behavior changed' END AS headline
   FROM cs0 JOIN un x ON x.package = cs0.package AND x.version = before_version JOIN un y ON y.package = cs0.package AND y.version = after_version
 ), sw AS (
   SELECT package, before_version, after_version, CAST(100 + sum(CASE class WHEN 'writes outside expected directories' THEN 500 WHEN 'credential reads' THEN 400 WHEN 'network' THEN 300 WHEN 'processes' THEN 200 ELSE 1 END + round(log2(n + 1))) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS additions
@@ -308,7 +311,7 @@ def _(spark, d):
 
 @query("consecutive_versions", BEHAVIOR + "SELECT package, before_version, after_version FROM pr WHERE after_version IS NOT NULL")
 def _(spark, d):
-    return behavior.version_pairs(events(spark, d).select("package", "version", "recording_id").distinct()).drop("before_id", "after_id")
+    return behavior.version_pairs(behavior.recordings_of(events(spark, d))).drop("before_id", "after_id")
 
 
 @query("version_diff", BEHAVIOR + "SELECT package, before_version, after_version, class, summary, kind, change FROM vd")
@@ -316,7 +319,7 @@ def _(spark, d):
     return behavior.version_diff(events(spark, d)).select("package", "before_version", "after_version", "class", "summary", "kind", "change")
 
 
-@query("comparison_summary", BEHAVIOR + "SELECT *, blockers = '' AS comparable, blockers = '' AND added = 0 AND removed = 0 AS identical FROM cs")
+@query("comparison_summary", BEHAVIOR + "SELECT *, blockers = '' AS comparable, added = 0 AND removed = 0 AS identical FROM cs")
 def _(spark, d):
     return behavior.comparison_summary(events(spark, d))
 
@@ -353,4 +356,5 @@ def _(spark, d):
 @query("review_queue", BEHAVIOR + "SELECT sw.* FROM sw JOIN cs USING (package, before_version, after_version) WHERE blockers = '' ORDER BY weight DESC, package, after_version LIMIT 20")
 def _(spark, d):
     e = events(spark, d)
-    return behavior.review_queue(behavior.comparison_summary(e), behavior.surprise_weight(behavior.version_diff(e)))
+    diff = materialize(behavior.version_diff(e), "diff")
+    return behavior.review_queue(behavior.comparison_summary(e, diff), behavior.surprise_weight(diff))

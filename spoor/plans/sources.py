@@ -65,12 +65,12 @@ def live_scores(spark, d):
 
 
 def snapshot_push_recordings(spark, d):
-    """The written recordings pushed to a store that has those of the versions 1.0.0."""
+    """The written recordings pushed to a store that has those of the versions 1.2.0."""
     about = bridge.events(spark, d).groupBy("recording_id").agg(F.max("package").alias("package"), F.max("version").alias("version"))
     files = recordings.read_files(spark, _dropped(spark, d)).withColumn("recording_id", F.col("recording_id").cast("long"))
     contents = materialize(files.join(about, "recording_id").select("recording_id", "package", "version", "content"), "contents")
     nothing = spark.createDataFrame([], "digest string")
-    known = corpus.snapshot_push(contents.where("version = '1.0.0'"), nothing).where("stored").select("digest")
+    known = corpus.snapshot_push(contents.where("version = '1.2.0'"), nothing).where("stored").select("digest")
     return corpus.snapshot_push(contents, known)
 
 

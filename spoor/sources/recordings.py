@@ -76,12 +76,16 @@ def lines_of(bridge: DataFrame) -> DataFrame:
         "backend",
         "op",
         "ok",
+        "error",
         F.when(c("path").isNotNull(), F.struct("path", "origin")).alias("target"),
         "kind",
         "bytes",
         "mode",
         "ip",
         c("port").cast("int").alias("port"),
+        "unix_path",
+        F.when(c("op") == "net_connect", c("loopback")).alias("loopback"),
+        F.when(c("op") == "net_connect", c("private")).alias("private"),
         "qname",
         "bin",
         F.when(F.size("argv") > 0, c("argv")).alias("argv"),
@@ -123,7 +127,7 @@ def attach_session(events: DataFrame) -> DataFrame:
     )
     rows = events.drop("zones", "complete", "backend", "incomplete_reasons").join(about, "recording_id")
     return rows.select(
-        "recording_id", "seq", "ts_ns", "pid", "op", "ok", c("target.path").alias("path"), c("target.origin").alias("origin"), "kind", "bytes", "mode", "ip", "port", "qname", "bin", "argv",
+        "recording_id", "seq", "ts_ns", "pid", "op", "ok", "error", c("target.path").alias("path"), c("target.origin").alias("origin"), "kind", "bytes", "mode", "ip", "port", "unix_path", "loopback", "private", "qname", "bin", "argv",
         F.coalesce("argv_truncated", F.lit(False)).alias("argv_truncated"), c("z.project").alias("zone_project"), c("z.cache").alias("zone_cache"), c("z.home").alias("zone_home"), c("z.tmp").alias("zone_tmp"),
         F.coalesce(c("z.extra"), F.array().cast("array<string>")).alias("extra"), c("first_backend").alias("backend"), F.coalesce("end_complete", F.lit(False)).alias("complete"), "has_end", "incomplete_reasons",
     )
