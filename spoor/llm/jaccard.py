@@ -9,7 +9,9 @@ prefix when n-grams that nobody shares are taken away decides whether it can hav
 The others are verified in families. A family is grown from stars: a document joins the one that
 heads an n-gram if they share as many prefix n-grams as the multi-match rule asks for; so a family of m
 documents costs m edges and not m x m pairs. Its whole sets are then compared in square blocks of bounded size.
-The few pairs that share enough prefix n-grams but are in different families are listed and verified one by one.
+Documents of different families that may still be linked share several n-grams that are open, held by more
+than one family. The rule of prefixes applies to these once more, the least shared ones first, and what holds one of
+the few that are left is compared in such blocks too. No pairs are listed anywhere.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from spoor.scratch import discard, materialize
 FREQUENT = 1 << 17
 #: Part of its size that every document asks to be shared within the prefixes.
 SURE = 24
-#: Rounds of stars. What they leave apart is listed in pairs, so they never change a result either.
+#: Rounds of stars. What they leave apart is compared all the same, so they never change a result either.
 ROUNDS = 2
 #: Documents of a block's side.
 SIDE = 512
@@ -82,6 +84,12 @@ def least_overlap(size: np.ndarray | int, percent: int):
     return (percent * size + 99) // 100
 
 
+def sure_matches(size: Column, percent: int) -> Column:
+    """What even the smallest partner of a set of this size asks for."""
+    least = F.floor((size * percent + 99) / 100).cast("int")
+    return F.least(least, 1 + F.floor(least / SURE).cast("int"))
+
+
 def wanted_matches(met: np.ndarray, percent: int) -> int:
     """l of a document, from the counts of its n-grams in order. Every document asks for 1 / SURE of its size, so that it
     is known of its partners without seeing them; the rest grows with the logarithm of the estimated cost, which is how
@@ -237,8 +245,7 @@ def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     shared = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
     rows = Sieve(shared, "gram").keep(rows, "gram").join(shared, "gram")  # most n-grams occur once and stay behind
     met = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.sort_array(F.collect_list(F.struct("pos", "gram", "df"))).alias("met"))
-    least = F.floor((F.col("size") * percent + 99) / 100).cast("int")
-    sure = F.least(least, 1 + F.floor(least / SURE).cast("int"))
+    least, sure = F.floor((F.col("size") * percent + 99) / 100).cast("int"), sure_matches(F.col("size"), percent)
     in_place = F.forall(F.transform(F.slice("met", F.lit(1), sure), lambda m, i: m["pos"] <= F.col("size") - least + i), lambda ok: ok)
     met = met.where((F.size("met") >= sure) & in_place)
     center = F.aggregate("met", F.lit(0.0), lambda a, m: a + m["df"], lambda a: a / F.size("met"))
@@ -249,8 +256,12 @@ def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def families(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``node, family`` for the sets that a star reached, and the pairs ``a, b`` of other families that are still to
-    be verified."""
+    """``node, family`` for the sets that a star reached, and ``head, node`` of the groups across families that are still to
+    be compared.
+
+    Two linked sets of different families share at least ``sure_matches`` open n-grams, so of each set's, the least
+    shared first, all but the last sure - 1 are enough to bring them together.
+    """
     spark = met.sparkSession
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     rows = materialize(met.select("node", "size", "matches", "center", F.explode("grams").alias("gram"), F.col("node").alias("family")), "jaccard-rows")
@@ -271,25 +282,26 @@ def families(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         open_grams = named.groupBy("gram").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x != y").select("gram")
         rows = materialize(named.join(open_grams, "gram", "left_semi"), "jaccard-rows")
         discard(spark, named.scratch_path)
-    x, y = (rows.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "matches", "family")]) for s in ("x", "y"))
-    apart = x.join(y, "gram").where((F.col("x_node") < F.col("y_node")) & (F.col("x_family") != F.col("y_family")) & fits(F.col("x_size"), F.col("y_size")))
-    apart = apart.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("x_matches", "y_matches")).alias("need"))
-    pairs = materialize(apart.where("n >= need").select("a", "b"), "jaccard-apart")
-    discard(spark, rows.scratch_path)
-    return found, pairs
+    held = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
+    sure = sure_matches(F.col("size"), percent)
+    held = held.groupBy("node", "family").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held")).where(F.size("held") >= sure)
+    few = materialize(held.select("node", "family", F.explode(F.slice("held", F.lit(1), F.size("held") - sure + 1)).alias("g")).select("node", "family", "g.gram"), "jaccard-open")
+    # N-grams with the same holders are one group.
+    groups = few.groupBy("gram").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x != y")
+    heads = groups.groupBy("n", "who").agg(F.min("gram").alias("gram")).select("gram")
+    apart = materialize(few.join(heads, "gram").select(F.col("gram").alias("head"), "node"), "jaccard-apart")
+    for table in (rows, few):
+        discard(spark, table.scratch_path)
+    return found, apart
 
 
 def links(docs: DataFrame, profile: DataFrame, sets: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     """Edges ``a, b`` between ids of sets: all of them are links, and every link's ends are connected."""
     spark = docs.sparkSession
     met = met_prefixes(profile, sets, percent)
-    family, pairs = families(met, percent)
-    # A set with many pairs is compared with SIDE of them at a time.
-    share = F.floor(F.col("n") / SIDE).cast("int") + 1
-    crowd = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", share.alias("parts"))
-    dealt = pairs.join(crowd, "a").withColumn("head", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))))
-    apart = dealt.select("head", F.explode(F.array("a", "b")).alias("node")).distinct().select("head", "node", F.lit(1).alias("kind"))
-    members = materialize(family.select(F.col("family").alias("head"), "node", F.lit(0).alias("kind")).unionByName(apart), "jaccard-groups")
+    family, apart = families(met, percent)
+    members = family.select(F.col("family").alias("head"), "node", F.lit(0).alias("kind")).unionByName(apart.select("head", "node", F.lit(1).alias("kind")))
+    members = materialize(members, "jaccard-groups")
 
     # Groups of many or large sets are dealt to several sides; every two sides are one block.
     sized = members.join(sets.select(F.col("id").alias("node"), "size", "doc_id", "tie"), "node")
@@ -309,7 +321,7 @@ def links(docs: DataFrame, profile: DataFrame, sets: DataFrame, n: int, percent:
 
     # Two sides of a block meet only if both have members; a lone document has nothing to meet.
     out = materialize(placed.groupBy("head", "kind", "i", "j").applyInPandas(block, "a long, b long"), "jaccard-links")
-    for table in (met, pairs, members):
+    for table in (met, apart, members):
         discard(spark, table.scratch_path)
     return out
 

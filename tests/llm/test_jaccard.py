@@ -72,7 +72,7 @@ def test_groups_in_blocks(spark, monkeypatch):
     assert got(jaccard.join(make(spark, rows), 3, 90)) == brute(rows, 3, 90)
 
 
-def test_pairs_across_families(spark, monkeypatch):
+def test_groups_across_families(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "ROUNDS", 1)
     monkeypatch.setattr(jaccard, "SIDE", 16)
     rows = corpus()
