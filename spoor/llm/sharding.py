@@ -47,13 +47,14 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         nodes = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         fits = nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1))
         # The first level at which a cell's bucket fits is where splitting stopped.
-        of_cell = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes", "shard_docs"), "depth").alias("leaf"))
+        # The directory grows with the data, so nothing of it is broadcast.
+        of_cell = levels.join(fits.hint("merge"), ["depth", "prefix"]).groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes", "shard_docs"), "depth").alias("leaf"))
         of_cell = materialize(of_cell, "shard-directory")
-        done.append(open_rows.withColumn("cell", cell).join(of_cell, "cell").select("doc_id", "n_bytes", "leaf.*", F.lit(None).cast("long").alias("page")))
-        left = cells.join(of_cell, "cell", "left_anti")
+        done.append(open_rows.withColumn("cell", cell).join(of_cell.hint("merge"), "cell").select("doc_id", "n_bytes", "leaf.*", F.lit(None).cast("long").alias("page")))
+        left = cells.join(of_cell.hint("merge"), "cell", "left_anti")
         if left.isEmpty():
             break
-        open_rows = open_rows.withColumn("cell", cell).join(left.select("cell"), "cell", "left_semi").drop("cell")
+        open_rows = open_rows.withColumn("cell", cell).join(left.select("cell").hint("merge"), "cell", "left_semi").drop("cell")
         if deepest == HASH_BITS:
             done.append(_overflow(open_rows, limit))
             break
@@ -68,18 +69,17 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
-    """Pages for documents that share their whole hash. Rows of one hash and size are alike, so they
+    """Pages for documents that share their whole hash. Rows of one id and size are alike, so they
     are counted and dealt to pages by number: a page holds as many as fit the limit."""
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    groups = rows.groupBy("hash", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
+    groups = rows.groupBy("hash", "doc_id", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.withColumn("pages", F.ceil(F.col("n") / per_page).cast("long"))
-    first = F.sum("pages").over(Window.partitionBy("hash").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.sum("pages").over(Window.partitionBy("hash").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     groups = groups.withColumn("first", F.coalesce(first, F.lit(0)))
     # A repeated row goes to a random page of its group would not be bounded; number it within salted parts.
     pages = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     share = F.least(per_page, F.col("n") - F.col("p") * per_page)
     rows_of = pages.withColumn("i", F.explode(F.sequence(F.lit(1), share)))
-    back = rows.groupBy("hash").agg(F.first("doc_id").alias("doc_id"))
-    return rows_of.join(back, "hash").select(
+    return rows_of.select(
         "doc_id", "n_bytes", F.lit(HASH_BITS).alias("depth"), F.col("hash").alias("prefix"), (share * F.col("n_bytes")).alias("shard_bytes"), share.alias("shard_docs"), (F.col("first") + F.col("p")).alias("page")
     )

@@ -131,6 +131,13 @@ def test_shards(spark, awkward):
     assert sharding.shards(repeated.where("doc_id < 0")).count() == 0
 
 
+def test_ids_of_one_hash(spark):
+    """Documents that collide in all bits share overflow pages and keep their ids."""
+    rows = spark.createDataFrame([(1, 600, 5), (2, 600, 5), (2, 600, 5), (None, 600, 5)], "doc_id long, n_bytes long, hash long")
+    got = sharding._overflow(rows, 1000).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "2", "None"] and len({r.page for r in got}) == 4
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.Codec(bpe.read_vocabulary(None, VOCABULARY)).build()
