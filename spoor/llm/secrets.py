@@ -128,7 +128,7 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
     found = found.groupBy("doc_id", "tie").agg(count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), joined(base).alias("base"), joined(every).alias("spans"))
     found = found.withColumnRenamed("doc_id", "f_doc_id").withColumnRenamed("tie", "f_tie")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["f_doc_id"]) & rows["tie"].eqNullSafe(found["f_tie"]), "left")
+    rows = rows.join(found.hint("merge"), rows["doc_id"].eqNullSafe(found["f_doc_id"]) & rows["tie"].eqNullSafe(found["f_tie"]), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce(F.col("base"), F.lit("")), 256).alias("base_sha256"), F.coalesce(F.col("spans"), F.lit("")).alias("spans"))
 
