@@ -18,21 +18,63 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK = 1 << 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
+BEYOND = np.iinfo(np.int32).max
+
+
+class RangeMinimum:
+    """Smallest value of any range of an array: minima of strips of STRIP places, and of 2^k strips in a row."""
+
+    STRIP = 32
+
+    def __init__(self, values: np.ndarray):
+        n = -(-len(values) // self.STRIP)
+        padded = np.full(n * self.STRIP, BEYOND, np.int32)
+        padded[: len(values)] = values
+        self.values, self.strips = values, [padded.reshape(n, self.STRIP).min(1)]
+        while 2 * (step := 1 << len(self.strips) - 1) <= n:
+            last = self.strips[-1]
+            self.strips.append(np.minimum(last[:-step], last[step:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of low to high, both included."""
+        out = np.full(len(low), BEYOND, np.int32)
+        first, last = low // self.STRIP, high // self.STRIP
+        for t in range(self.STRIP):
+            for at, strip in ((low + t, first), (high - t, last)):
+                inside = (at >= low) & (at <= high) & (at // self.STRIP == strip)
+                out[inside] = np.minimum(out[inside], self.values[at[inside]])
+        whole = np.flatnonzero(last - first > 1)
+        if len(whole):
+            a, b = first[whole] + 1, last[whole]
+            level = np.frexp(b - a)[1] - 1
+            for k in np.unique(level):
+                on = level == k
+                strips, here = self.strips[k], whole[on]
+                out[here] = np.minimum(out[here], np.minimum(strips[a[on]], strips[b[on] - (1 << k)]))
+        return out
 
 
 def longest_repeats(word: np.ndarray) -> np.ndarray:
-    """Per position the length of the longest run of words from it that starts elsewhere too."""
+    """Per position the length of the longest run of words from it that starts elsewhere too.
+
+    Two neighbours of the suffix array part in the round in which their first 2 x step words differ: they have step
+    words in common and then as many as the suffixes behind those, which parted before. Kept are the suffix array, the ranks
+    and the common prefixes, 4 bytes a word each, and in a round what is not yet unique.
+    """
     n = len(word)
     if n == 0:
         return np.zeros(0, np.int64)
-    order = np.argsort(word, kind="stable")  # the suffix array so far
+    order = np.argsort(word, kind="stable").astype(np.int32)  # the suffix array so far
     ordered = word[order]
-    head = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    del ordered
+    common = np.where(new, 0, BEYOND).astype(np.int32)  # with the neighbour before; BEYOND: not parted yet
+    head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    rank = np.empty(n + 1, np.int32)
     rank[n], rank[order] = -1, head
-    levels, step = [rank.copy()], 1
-    size = np.bincount(head, minlength=n)
-    place = np.flatnonzero(size[head] > 1)  # places in the suffix array whose suffix is not unique
+    place = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in the suffix array whose suffix is not unique
+    del head, new
+    step = 1
     while len(place):
         at = order[place]
         first, then = rank[at], rank[np.minimum(at + step, n)]
@@ -41,18 +83,14 @@ def longest_repeats(word: np.ndarray) -> np.ndarray:
         new_first = np.r_[True, first[1:] != first[:-1]]
         new_pair = new_first | np.r_[True, then[1:] != then[:-1]]
         order[place] = at
+        parted = np.flatnonzero(new_pair & ~new_first)
+        if len(parted):
+            common[place[parted]] = step + np.where(then[parted - 1] < 0, 0, RangeMinimum(common).of(then[parted - 1].astype(np.int64) + 1, then[parted].astype(np.int64)))
         rank[at] = place[np.maximum.accumulate(np.where(new_pair, np.arange(len(at)), 0))]
         step *= 2
-        levels.append(rank.copy())
-        alone = new_pair & np.r_[new_pair[1:], True]
-        place = place[~alone]
-    left, right = order[:-1], order[1:]
-    common = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        same = levels[k][np.minimum(left + common, n)] == levels[k][np.minimum(right + common, n)]
-        common[same & (np.maximum(left, right) + common < n)] += 1 << k
+        place = place[~(new_pair & np.r_[new_pair[1:], True])]
     longest = np.zeros(n, np.int64)
-    longest[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
+    longest[order] = np.maximum(common, np.r_[common[1:], np.int32(0)])
     return longest
 
 
@@ -99,7 +137,8 @@ def rules(docs: DataFrame, least_words: int = 8, max_covered: float = 0.4, max_l
     base_failed: under 50 words, or over half of the words in 3-word windows found twice or more.
     kept: not base_failed, and the repeats of ``least_words`` words and more cover at most
     ``max_covered`` of the word bytes, the longest having at most ``max_longest`` words. A null text
-    counts as empty and is not kept. One row in, one row out; only doc_id and text are read.
+    counts as empty and is not kept. One row in, one row out; only doc_id and text are read. A text is taken as a
+    whole: a very long one needs about 150 bytes of memory a word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

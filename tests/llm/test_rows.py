@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -40,6 +42,19 @@ def test_measure(texts, least):
     assert repetition.measure(texts, least) == [plain_repetition(t, least) for t in texts]
 
 
+@pytest.mark.parametrize("period", [1, 7, 5000])
+def test_long_text(period):
+    """Half a million words that repeat: exact, and in bounded memory."""
+    n = 500_000
+    tracemalloc.start()
+    longest = repetition.longest_repeats(np.arange(n) % period)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = np.arange(n)
+    assert (longest == np.where(at >= period, n - at, n - period - at)).all()
+    assert peak < 150 * n
+
+
 def test_rules(spark, awkward):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(50, good), (51, "a b c " * 30), (52, good + " " + " ".join(f"x{i % 40}" for i in range(80))), (53, "few words"), *[r for r in awkward if r[0] != 5]]
