@@ -76,29 +76,31 @@ def as_text(sketch: Column) -> Column:
 
 
 def in_ranges(docs: DataFrame, n: int) -> DataFrame:
-    """Columns ``doc_id, text, range, ghost``: rows in about n ranges of doc_id of about equal size,
+    """Columns ``doc_id, text, range, ghost``: rows in about n ranges of (doc_id, hash of the text) of about equal size,
     and the first row of each range once more, as a ghost, in the range before it (the first range's in
-    the last). Bounds are percentiles of all ids: n numbers."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []))
+    the last). Null ids come first. Rows of one id spread over ranges by their texts; only rows alike in both stay
+    together. The bounds are percentiles, n numbers in a table of one row, looked up in two steps of about the square
+    root of n comparisons."""
+    spark, c = docs.sparkSession, F.col
+    rows = docs.select(c("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # One number in the order of both; where it rounds, neighbours get one place, never a wrong order.
+    tie = c("tie").cast("double")
+    place = F.when(c("doc_id").isNull(), tie * 2.0**900 - 2.0**1000).otherwise(c("doc_id").cast("double") * 2.0**64 + tie)
+    bounds = sorted(set(rows.agg(F.percentile_approx(place, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []))
     step = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if blocks:
-        # Two steps of about the square root of n comparisons each.
-        at_or_below = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
-        whole = at_or_below(F.array(*[F.lit(b[-1]).cast("long") for b in blocks]))
-        within = at_or_below(F.get(F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks]), F.col("_block")))
-        ranged = rows.withColumn("_block", F.coalesce(whole, F.lit(0))).withColumn("range", F.coalesce(F.col("_block") * step + F.greatest(within, F.lit(0)), F.lit(0)))
-    else:
-        ranged = rows.withColumn("range", F.lit(0))
-    firsts = sorted(ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("f")).select("range", "f.doc_id").collect())
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r, i, firsts[k - 1][0]) for k, (r, i) in enumerate(firsts)], "_range int, _first long, _before int")
-    rows = ranged.join(F.broadcast(table), F.col("range") == F.col("_range"))  # at most n rows
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("g")))).otherwise(
-        F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")))
-    )
-    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", F.col("p.r").alias("range"), F.col("p.g").alias("ghost"))
+    table = spark.createDataFrame([([b[-1] for b in blocks], blocks)], "_last array<double>, _blocks array<array<double>>")
+    below = lambda values: F.size(F.filter(values, lambda b: b <= c("_place")))
+    ranged = rows.withColumn("_place", place).crossJoin(F.broadcast(table)).withColumn("_block", below(c("_last")))  # one row
+    inside = F.get(c("_blocks"), c("_block"))
+    ranged = ranged.withColumn("range", c("_block") * step + F.when(inside.isNull(), 0).otherwise(below(inside))).drop("_last", "_blocks", "_block", "_place")
+    first = F.min(F.struct(c("doc_id").isNotNull().alias("known"), "doc_id", "tie"))
+    firsts = sorted((r["range"], r["doc_id"], r["tie"]) for r in ranged.groupBy("range").agg(first.alias("f")).select("range", "f.doc_id", "f.tie").collect())
+    ghosts = spark.createDataFrame([(*f, firsts[k - 1][0]) for k, f in enumerate(firsts)], "_range int, _first long, _tie long, _before int")
+    rows = ranged.join(F.broadcast(ghosts), c("range") == c("_range"))  # at most n rows
+    own, ghost = (F.struct(r.alias("r"), F.lit(g).alias("g")) for r, g in ((c("range"), False), (c("_before"), True)))
+    places = F.when(c("doc_id").eqNullSafe(c("_first")) & (c("tie") == c("_tie")), F.array(own, ghost)).otherwise(F.array(own))
+    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", c("p.r").alias("range"), c("p.g").alias("ghost"))
 
 
 def compare_edits(docs: DataFrame, k: int = K) -> DataFrame:
@@ -107,7 +109,7 @@ def compare_edits(docs: DataFrame, k: int = K) -> DataFrame:
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     contained_in_edited, n_shingles``. A null text counts as empty. Rows of one id follow each other
-    by the hash of their text, null ids come first; all rows of one id fall into one range. A lone
+    by the hash of their text, null ids come first; rows alike in id and text fall into one range. A lone
     document is its own next. An empty table gives an empty one. The texts are shuffled once, by ranges.
     """
     rows = in_ranges(docs, 4 * n_partitions(docs.sparkSession))

@@ -54,6 +54,21 @@ def test_awkward(spark, awkward):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1.0
 
 
+def test_rows_of_one_id(spark):
+    """Hundreds of texts of one id, and of none, follow each other across ranges."""
+    rows = [(i, f"text {k} " * 3 + "of one id") for i in (None, 7) for k in range(200)] + [(k, f"document {k}") for k in range(20)]
+    docs = make(spark, rows)
+    ranged = fp.in_ranges(docs, 32).where("not ghost").groupBy("range").count().collect()
+    assert len(ranged) > 16 and max(r["count"] for r in ranged) < len(rows) / 8
+    tied = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("h")).collect()
+    order = sorted(tied, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = []
+    for k, r in enumerate(order):
+        q = len(r.text) // 4
+        want.append((str(r.doc_id), hashlib.sha256((r.text[: len(r.text) - q] + order[(k + 1) % len(order)].text[:q]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in fp.compare_edits(docs).collect()) == sorted(want)
+
+
 def test_merge(spark):
     text = [f"w{i}" for i in range(3000)]
     parts = [" ".join(text[i : i + 304]) for i in range(0, 3000, 300)]
