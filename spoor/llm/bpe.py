@@ -18,13 +18,15 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Fixed value: the pre-tokenizer pattern of the byte-level vocabulary (also in public_tokenizers.PATTERN),
 #: with the classes for letters, numbers and white space left open.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{L1}{N1}]+|{S1}+(?!{NS})|{S1}+"
 #: Pieces that a task remembers.
 MEMO = 600_000
+#: Longer pieces are not remembered, so a memo's memory is bounded.
+LONG = 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -68,9 +70,11 @@ class Memo(dict):
         self.merge_piece = merge_piece
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[piece] = self.merge_piece(piece.encode())
+        ids = self.merge_piece(piece.encode())
+        if len(piece) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -115,7 +119,7 @@ class Codec:
             if kind in kinds:
                 kinds[kind].append(p)
         letters, numbers = _ranges(kinds["L"]), _ranges(kinds["N"])
-        space = r"\t-\r \x85\xa0  -     　"
+        space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.plain = re.compile(PIECE.format(L=f"[{letters}]", N=f"[{numbers}]", S=space, L1=letters, N1=numbers, S1=f"[{space}]", NS=f"[^{space}]")).findall
         self.full = regex.compile(PIECE.format(L=r"\p{L}", N=r"\p{N}", S=r"\p{White_Space}", L1=r"\p{L}", N1=r"\p{N}", S1=r"\p{White_Space}", NS=r"\P{White_Space}")).findall
         self.astral = re.compile("[\U00010000-\U0010ffff]").search
@@ -208,6 +212,4 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
-    from pyspark.sql import functions as F
-
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)

@@ -32,5 +32,10 @@ def same(a: Column, b: Column) -> Column:
 
 
 def tokenizer_path(name: str) -> str:
-    """Place of a public tokenizer file; the folder can be moved with ``SPOOR_TOKENIZERS``."""
-    return os.path.join(os.environ.get("SPOOR_TOKENIZERS", "/opt/tokenizers"), name)
+    """Place of a public tokenizer file: in the folder that ``SPOOR_TOKENIZERS`` names, or else that of the package
+    ``public_tokenizers``."""
+    if folder := os.environ.get("SPOOR_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

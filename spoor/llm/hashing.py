@@ -10,6 +10,8 @@ import xxhash
 
 BLOCK = 1 << 20
 MEMO = 300_000
+#: Longer words are not remembered, so a memo's memory is bounded.
+LONG = 64
 FAMILIES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC4CEB9FE1A85EC53))
 
 
@@ -17,9 +19,11 @@ class WordHashes(dict):
     """64-bit hash of a word; a memo that is emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -25,6 +25,8 @@ MASK = (1 << BITS) - 1
 CAPITALS, REPEATED, BIAS = (crc32(x) & MASK for x in (b"<capitals>", b"<repeated>", b"<bias>"))
 SPACED = {ord(c): f" {c} " for c in string.punctuation}
 MEMO = 300_000
+#: Longer words are not remembered, so a memo's memory is bounded.
+LONG = 64
 #: Labelled rows to learn from, at most; a sample by hash of doc_id.
 MAX_ROWS = 5000
 
@@ -33,9 +35,11 @@ class Words(dict):
     """Hash of a word, with a flag above the hash bits for capitals."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = crc32(word.lower().encode()) & MASK | (1 << BITS if len(word) > 1 and word.isupper() else 0)
+        h = crc32(word.lower().encode()) & MASK | (1 << BITS if len(word) > 1 and word.isupper() else 0)
+        if len(word) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -104,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
         .join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")), "doc_id")
         .select("doc_id", "quality", "text")
         .mapInArrow(sparse, "doc_id long, quality int, feature binary, value binary")
-        .limit(2 * max_rows)  # ids that repeat in documents cannot exceed the bound either
+        .orderBy("doc_id", F.xxhash64("feature", "value"))
+        .limit(2 * max_rows)  # ids that repeat in documents cannot exceed the bound either; which rows stay is fixed by the order
         .collect()
     )
     rows.sort(key=lambda r: (crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.feature)))

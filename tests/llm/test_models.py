@@ -1,3 +1,4 @@
+import math
 import random
 from zlib import crc32
 
@@ -30,6 +31,72 @@ def test_codewords():
     assert least >= 15
 
 
+def plain_languages(rows):
+    """Counts, codewords, log odds and loss-weighted decoding, one gram and one bit at a time."""
+    grams = lambda t: [tuple(f" {t.lower()} ".encode()[i : i + 3]) for i in range(len(f" {t.lower()} ".encode()) - 2)]
+    hashed = lambda g: ((g[0] * 0x9E3779B1 & M ^ g[1] * 0x85EBCA6B & M ^ g[2] * 0xC2B2AE35 & M) * 0x27D4EB2F & M) >> 19
+    M, size = 0xFFFFFFFF, 8192
+    count = {}
+    for i, text, lang, _ in rows:
+        if crc32(str(i).encode()) % 3 != 1:
+            for g in grams(text):
+                count.setdefault(lang, {}).setdefault(hashed(g), 0)
+                count[lang][hashed(g)] += 1
+    langs = sorted(count)
+    total = {x: sum(count[x].values()) + size / 2 for x in langs}
+    share = lambda x, f: (count[x].get(f, 0) + 0.5) / total[x]
+    splits = [[1 if i == 0 or not m >> i - 1 & 1 else -1 for i in range(len(langs))] for m in range(1, 1 << len(langs) - 1)]
+    side = lambda split, s, f: sum(share(x, f) for x, b in zip(langs, split, strict=True) if b == s) / split.count(s)
+    odds = [[math.log(side(split, 1, f)) - math.log(side(split, -1, f)) for f in range(size)] for split in splits]
+    apart = [sum((side(split, 1, f) - side(split, -1, f)) * w[f] for f in range(size)) for split, w in zip(splits, odds, strict=True)]
+    weight = [a * len(apart) / sum(apart) for a in apart]
+    out = {}
+    for i, text, _, _ in rows:
+        found = [hashed(g) for g in grams(text)]
+        margin = [sum(w[f] for f in found) / math.sqrt(len(found)) for w in odds]
+        loss = [sum(wt * math.log1p(math.exp(-m * split[k])) for wt, m, split in zip(weight, margin, splits, strict=True)) for k in range(len(langs))]
+        like = [math.exp(min(loss) - x) for x in loss]
+        out[i] = (langs[loss.index(min(loss))], max(like) / sum(like))
+    return out
+
+
+def test_languages_against_plain_version(spark):
+    rows = corpus(90, seed=9)
+    want = plain_languages(rows)
+    got = language.identify(make(spark, rows)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: w[0] for i, w in want.items()}
+    assert all(abs(r.score - want[r.doc_id][1]) < 1e-9 for r in got)
+
+
+def test_long_text_in_chunks(monkeypatch):
+    model = language.LanguageModel(["a", "b"], language.codewords(2), np.random.default_rng(1).normal(size=(language.N_FEATURES, 1)), np.ones(1))
+    text = "".join(random.Random(3).choice("abcdé ") for _ in range(3 * language.N_FEATURES))
+    whole = model.margins(text)
+    monkeypatch.setattr(language, "CHUNK", 1000)
+    assert np.allclose(model.margins(text), whole)
+
+
+def test_ftrl_against_formulas():
+    """Per coordinate: w = 0 if |z| <= l1, else -(z - sign(z) l1) / ((beta + sqrt n) / alpha + l2); g = (p - y) x;
+    z += g - (sqrt(n + g^2) - sqrt n) / alpha w; n += g^2."""
+    rng = random.Random(5)
+    model, z, n = quality.Ftrl(), {}, {}
+    for _ in range(300):
+        index = sorted(rng.sample(range(50), rng.randint(1, 8)))
+        value, label = [rng.uniform(0.1, 1) for _ in index], rng.randint(0, 1)
+        w = {}
+        for i in index:
+            zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+            w[i] = 0.0 if abs(zi) <= model.l1 else -(zi - math.copysign(model.l1, zi)) / ((model.beta + math.sqrt(ni)) / model.alpha + model.l2)
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(index, value, strict=True))))
+        for i, v in zip(index, value, strict=True):
+            g, ni = (p - label) * v, n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / model.alpha * w[i]
+            n[i] = ni + g * g
+        model.update(np.array(index), np.array(value), label)
+    assert all(abs(model.z[i] - z.get(i, 0)) < 1e-9 and abs(model.n[i] - n.get(i, 0)) < 1e-9 for i in range(50))
+
+
 def test_languages_held_out(spark):
     rows = corpus()
     want = {i: lang for i, _, lang, _ in rows}
