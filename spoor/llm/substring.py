@@ -89,13 +89,39 @@ class FingerprintIndex:
     merge-join without a shuffle.
 
     ``add`` writes the fingerprints of a batch as a run of level 0; two runs of a level are compacted into
-    one of the next. ``compact`` merges all. Runs that were merged are dropped.
+    one of the next. ``compact`` merges all. Runs that were merged are dropped. ``saved`` tells all that another session
+    needs to go on with the index, by ``reopen``; ``drop`` removes it.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or n_partitions(spark)
         self.levels: list[tuple[int, str]] = []
 
+    def saved(self) -> dict:
+        return {"buckets": self.buckets, "runs": [[level, f"{shared_dir(self.spark)}/{name}"] for level, name in self.levels]}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, saved: dict) -> FingerprintIndex:
+        """The index that ``saved`` described. Its runs are named in this session's catalog anew, where they lie."""
+        index = cls(spark, saved["buckets"])
+        for level, path in saved["runs"]:
+            name = path.rsplit("/", 1)[1]
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, content BIGINT, n BIGINT) USING parquet LOCATION '{path}' "
+                f"CLUSTERED BY (anchor, content) SORTED BY (anchor, content) INTO {index.buckets} BUCKETS"
+            )
+            index.levels.append((level, name))
+        return index
+
+    def drop(self) -> None:
+        for _, name in self.levels:
+            self._remove(name)
+        self.levels = []
+
+    def _remove(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, f"{shared_dir(self.spark)}/{name}")
+
     def add(self, fingerprints: DataFrame) -> None:
         """A batch of rows (anchor, content), counted before they are shuffled."""
         run = fingerprints.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -119,8 +145,7 @@ class FingerprintIndex:
         (_, newer), (level, older) = self.levels.pop(), self.levels.pop()
         self.levels.append((level + 1, self._write(_merged(self.spark.table(older), self.spark.table(newer)))))
         for name in (newer, older):
-            self.spark.sql(f"DROP TABLE {name}")
-            discard(self.spark, f"{shared_dir(self.spark)}/{name}")
+            self._remove(name)
 
     def _write(self, run: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
@@ -175,6 +200,7 @@ def repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor: int
     repeated = sieve.keep(counts, "anchor").join(anchors, "anchor").select("anchor", "content", "n", "contents")
     every, found = found, materialize(sieve.keep(found, "anchor").join(repeated, ["anchor", "content"]), "segments-repeated")
     discard(spark, every.scratch_path)
+    index.drop()
 
     # One segment stands for each content of an anchor that has several; if it is the only one, it is open.
     one = F.min(F.struct("doc_id", "tie", "start", "size", (F.col("n") == 1).alias("open")))

@@ -64,3 +64,20 @@ def test_index_is_incremental(spark):
     index.add(rows((1, 2)))
     assert len(index.levels) == 2
     assert {tuple(r) for r in index.compact().collect()} == {(1, 1, 1), (1, 2, 3), (2, 5, 1), (3, 3, 1)}
+
+
+def test_index_goes_on_in_another_session(spark):
+    """Batches of two sessions give what one session gives, once the first one's catalog is gone."""
+    index = substring.FingerprintIndex(spark, buckets=4)
+    rows = lambda s, *r: s.createDataFrame(r, "anchor long, content long")
+    for batch in (((1, 1), (1, 2)), ((1, 2), (3, 3)), ((4, 4),)):
+        index.add(rows(spark, *batch))
+    saved = index.saved()
+    for _, name in index.levels:
+        spark.sql(f"DROP TABLE {name}")
+    again = substring.FingerprintIndex.reopen(spark.newSession(), saved)
+    assert [tuple(r) for r in again.known(rows(again.spark, (1, 2), (9, 9))).collect()] == [(1, 2, 2)]
+    again.add(rows(again.spark, (4, 4), (5, 5)))
+    assert {tuple(r) for r in again.compact().collect()} == {(1, 1, 1), (1, 2, 2), (3, 3, 1), (4, 4, 2), (5, 5, 1)}
+    again.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprint_run_") and t.name in str(saved)]
