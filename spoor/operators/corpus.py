@@ -153,3 +153,25 @@ def snapshot_push(contents: DataFrame, known: DataFrame) -> DataFrame:
     taken = rows.where("accepted")
     new = taken.join(known.select("digest").distinct(), "digest", "left_anti").groupBy("digest").agg(F.min("recording_id").alias("recording_id")).select("recording_id", F.lit(True).alias("new"))
     return rows.join(new, "recording_id", "left").select("recording_id", *KEY, "accepted", F.coalesce("new", F.lit(False)).alias("stored"), F.when(c("accepted"), c("digest")).alias("digest"), F.coalesce("events", F.lit(0)).alias("events"), "bytes", "reasons")
+
+
+def snapshot_verify(index: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Every entry of the index (package, version, digest) read again from the store (digest, content): the number of
+    its observations, or the first reason why it fails: a malformed digest, a blob that is missing, one with another hash,
+    one that is no stream of events."""
+    c = F.col
+    lines = blobs.select("digest", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
+    parsed = parse_lines(lines.select(c("digest").alias("recording_id"), (c("pos") + 1).cast("long").alias("seq"), "line"))
+    read = parsed.groupBy(c("recording_id").alias("digest")).agg(
+        F.min_by(F.concat(F.lit("line "), c("seq").cast("string"), F.lit(": "), "reject"), F.when(c("reject").isNotNull(), c("seq"))).alias("bad"),
+        F.count(F.when(~c("op").isin("session_start", "session_end", "heartbeat"), 1)).alias("observations"),
+    )
+    held = blobs.select("digest", F.sha2("content", 256).alias("hash")).join(read, "digest", "left")
+    error = (
+        F.when(~F.coalesce(c("digest").rlike("^[0-9a-f]{64}$"), F.lit(False)), "malformed digest")
+        .when(c("hash").isNull(), "blob missing")
+        .when(c("hash") != c("digest"), "content does not match its digest")
+        .otherwise(c("bad"))
+    )
+    rows = index.join(held, "digest", "left").withColumn("error", error)
+    return rows.select(*KEY, "digest", F.when(c("error").isNull(), F.coalesce("observations", F.lit(0))).alias("observations"), "error")

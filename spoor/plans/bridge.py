@@ -42,7 +42,7 @@ SELECT rec AS recording_id, CAST(seq AS BIGINT) AS seq, ts_ns, 4000 + k % 7 AS p
   CASE WHEN op = 'fs_write' AND k % 10 <> 1 AND k % 4 = 1 THEN CAST(floor(value * 100) AS BIGINT) END AS bytes,
   CASE WHEN op = 'net_connect' THEN CASE k % 10 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN '10.0.0.7' WHEN 9 THEN NULL ELSE '203.0.113.' || CAST(k AS STRING) END END AS ip,
   CASE WHEN op = 'net_connect' AND k % 10 = 9 THEN '/run/s' || CAST(k AS STRING) || '.sock' END AS unix_path,
-  op = 'net_connect' AND k % 10 = 0 AS loopback, op = 'net_connect' AND (k % 10 = 1 OR k = 42) AS private,
+  op = 'net_connect' AND k % 10 IN (0, 9) AS loopback, op = 'net_connect' AND (k % 10 IN (1, 9) OR k = 42) AS private,
   CASE WHEN op = 'net_connect' AND k % 10 <> 9 THEN CASE k % 5 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 0 WHEN 3 THEN 8443 ELSE 4444 END END AS port,
   CASE WHEN op = 'dns_query' THEN CASE k % 6 WHEN 0 THEN 'registry.npmjs.org' WHEN 1 THEN 'Metrics.Vendor' || CAST(k AS STRING) || '.example' WHEN 2 THEN 'github.com'
        WHEN 3 THEN 'localhost' WHEN 4 THEN 'objects.githubusercontent.com' ELSE 'a.npmjs.org.' END END AS qname,

@@ -92,8 +92,8 @@ def lines_of(bridge: DataFrame) -> DataFrame:
         F.when(c("op") == "proc_spawn", c("argv_truncated")).alias("argv_truncated"),
     )
     zones = F.struct(c("zone_project").alias("project"), c("zone_cache").alias("cache"), c("zone_home").alias("home"), c("zone_tmp").alias("tmp"), c("extra").alias("extra"))
-    about = bridge.groupBy("recording_id").agg(F.min_by(zones, "seq").alias("zones"), F.min_by("backend", "seq").alias("backend"), F.max("complete").alias("complete"), F.max("has_end").alias("has_end"), F.max("seq").alias("n"), F.max("ts_ns").alias("end"))
-    start = about.select("recording_id", F.lit(0).cast("long").alias("seq"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(0).cast("long").alias("ts_ns"), "backend", F.lit("session_start").alias("op"), "zones")
+    about = bridge.groupBy("recording_id").agg(F.min_by(zones, "seq").alias("zones"), F.min_by("backend", "seq").alias("backend"), F.max("complete").alias("complete"), F.max("has_end").alias("has_end"), F.max("seq").alias("n"), F.max("ts_ns").alias("end"), F.max("agent_version").alias("agent_version"))
+    start = about.select("recording_id", F.lit(0).cast("long").alias("seq"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(0).cast("long").alias("ts_ns"), "backend", F.lit("session_start").alias("op"), "zones", "agent_version", F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + c("recording_id").cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("wall_clock_utc"))
     end = about.where("has_end").select("recording_id", (c("n") + 1).alias("seq"), F.lit(SCHEMA_VERSION).alias("schema_version"), c("end").alias("ts_ns"), "backend", F.lit("session_end").alias("op"), "complete", c("n").alias("events_emitted"))
     return body.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
 
@@ -145,3 +145,37 @@ def stream_summary(events: DataFrame) -> DataFrame:
         F.when(F.max(end).isNull(), "no session_end").alias("error"),
     )
     return rows
+
+
+def stream_facts(events: DataFrame) -> DataFrame:
+    """Per recording what its framing lines say for the index: start, agent and completeness by the last line that says
+    so, the backend of the first line, and how many observations there are."""
+    c = F.col
+    end, start = (F.when(c("op") == op, c("seq")) for op in ("session_end", "session_start"))
+    return events.groupBy("recording_id").agg(
+        F.coalesce(F.max_by("wall_clock_utc", start), F.lit("")).alias("recorded_at"),
+        F.coalesce(F.max_by("agent_version", start), F.lit("")).alias("agent_version"),
+        F.coalesce(F.min_by("backend", "seq"), F.lit("unknown")).alias("backend"),
+        F.count(F.when(~c("op").isin("session_start", "session_end", "heartbeat"), 1)).alias("events"),
+        F.coalesce(F.max_by("complete", end), F.lit(False)).alias("complete"),
+        F.coalesce(F.transform(F.max_by("incomplete_reasons", end), incomplete_reason), F.array().cast("array<string>")).alias("incomplete_reasons"),
+    )
+
+
+def union_streams(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Recordings of several sources together: every line says its version and backend itself, and a source
+    without some column has nulls there."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
+
+
+def read_run_results(spark: SparkSession, path: str, name: str = "recording.json") -> tuple[DataFrame, DataFrame]:
+    """The result files below ``path``, whatever their folders: results with their fields and file, and the files that cannot
+    be read or lack package or version, with the reason. None is left out."""
+    kind = "package STRING, version STRING, started_at STRING, complete BOOLEAN, recorded BOOLEAN, events BIGINT, pushed BOOLEAN, exit_code INT, _malformed STRING"
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    rows = files.select("path", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}).alias("r")).select("path", "r.*")
+    error = F.when(F.col("_malformed").isNotNull(), "not valid JSON").when(F.col("package").isNull() | F.col("version").isNull(), "missing package or version")
+    rows = rows.withColumn("error", error)
+    return rows.where("error is null").drop("error", "_malformed"), rows.where("error is not null").select("path", "error")

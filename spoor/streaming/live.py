@@ -97,6 +97,39 @@ def reorder_window(arrivals: DataFrame, window_us: int, pending: int = PENDING)
     return arrivals.groupBy("recording_id").applyInPandasWithState(step, RELEASED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+VOLUME = "recording_id long, pid long, fd long, path string, bytes long, writes long, last_us long"
+
+
+def stateful_write_volume(activity: DataFrame) -> DataFrame:
+    """A stream ``recording_id, pid, fd, seq, us, act, path, bytes`` to what was written through each descriptor from an open
+    to the next open or close, whatever its path: a row when it ends. Writes without an open file are emitted one by
+    one, without a path. An act ``end`` flushes what is open. The state of a descriptor is one open file."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        path, total, writes, last = state.get if state.exists else (None, 0, 0, 0)
+        out = []
+        rows = sorted((r for b in batches for r in b[["seq", "us", "act", "path", "bytes"]].itertuples(index=False)), key=lambda r: r.seq)
+        for r in rows:
+            if r.act == "write":
+                size = 0 if pd.isna(r.bytes) else int(r.bytes)
+                if path is None:
+                    out.append((*key, None, size, 1, int(r.us)))
+                else:
+                    total, writes, last = total + size, writes + 1, int(r.us)
+            else:
+                if path is not None and writes:
+                    out.append((*key, path, total, writes, last))
+                path, total, writes, last = (r.path if r.act == "open" else None), 0, 0, 0
+        if path is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((path, total, writes, last))
+        yield pd.DataFrame(out, columns=["recording_id", "pid", "fd", "path", "bytes", "writes", "last_us"])
+
+    return activity.where("act in ('open', 'write', 'close', 'end')").groupBy("recording_id", "pid", "fd").applyInPandasWithState(step, VOLUME, "path string, bytes long, writes long, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, mode: str, path: str) -> DataFrame:
     """Run a stream over everything that is there and read what its last state is (each batch replaces the one before)."""
     spark = stream.sparkSession
