@@ -75,7 +75,10 @@ def is_credential_path(path: Column, fragments: list[str], names: list[str]) ->
 
 
 #: Paths that a recorder keeps reads of.
-READ_OF_INTEREST = r"/\.ssh/|/\.aws/|/\.netrc|/\.docker/config\.json|/\.git-credentials|/\.kube/|/\.config/gcloud/|/etc/shadow|/\.npmrc$|/\.yarnrc$|(^|/)(id_rsa|id_dsa|id_ecdsa|id_ed25519|credentials)$|(^|/)\.env[^/]*$|^/proc/[^/]+/environ$"
+READ_OF_INTEREST = (
+    r"/\.ssh/|/\.aws/|/\.netrc|/\.npmrc|/\.yarnrc|/\.docker/config\.json|/\.git-credentials|/\.gitconfig|/\.kube/|/\.config/gcloud/|/etc/shadow|/etc/passwd"
+    r"|(^|/)(id_rsa|id_dsa|id_ecdsa|id_ed25519|credentials|\.npmrc|\.env[^/]*)$|^/proc/(.*/)?environ$"
+)
 
 
 def read_of_interest(path: Column) -> Column:
