@@ -82,9 +82,9 @@ def test_refusals(spark, tmp_path):
 def test_reversed_diff_swaps(spark, sf_dir):
     from spoor.plans import bridge
 
-    events = bridge.events(spark, sf_dir).where("version in ('1.0.0', '1.0.1')").cache()
+    events = bridge.events(spark, sf_dir).where("version in ('1.2.0', '1.6.0')").cache()
     there = {(r.package, r.change): r.n for r in behavior.version_diff(events).groupBy("package", "change").agg(F.count("*").alias("n")).collect()}
-    swapped = events.withColumn("version", F.when(F.col("version") == "1.0.0", "1.0.1").otherwise("1.0.0"))
+    swapped = events.withColumn("append_pos", -F.col("append_pos"))
     back = {(r.package, r.change): r.n for r in behavior.version_diff(swapped).groupBy("package", "change").agg(F.count("*").alias("n")).collect()}
     turn = {"added": "removed", "removed": "added", "unchanged": "unchanged"}
     assert there == {(p, turn[c]): n for (p, c), n in back.items()}
