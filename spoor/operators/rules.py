@@ -19,7 +19,13 @@ def placed(events: DataFrame) -> DataFrame:
     """Events with ``placement``, the zone of their path. Columns of OPTIONAL that they lack are null."""
     c = F.col
     events = events.withColumns({k: F.lit(None).cast(t) for k, t in OPTIONAL.items() if k not in events.columns})
-    return events.withColumn("placement", F.when(c("path").isNotNull(), paths.placement(c("path"), c("origin"), c("zone_project"), c("zone_cache"), c("zone_home"), c("zone_tmp"), c("extra"))))
+    return once(events, "placement", F.when(c("path").isNotNull(), paths.placement(c("path"), c("origin"), c("zone_project"), c("zone_cache"), c("zone_home"), c("zone_tmp"), c("extra"))))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is worked out once a row: an array of one is opened, which the optimizer does not copy
+    into everything that uses the column."""
+    return rows.select(*[c for c in rows.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def write_kind(failed: Column) -> Column:
@@ -89,7 +95,7 @@ def hits(events: DataFrame, catalog: Catalog) -> DataFrame:
         .when(F.col("hit") == "download_piped_to_shell", command)
         .otherwise(proc.truncate_subject(command))
     )
-    rows = placed(events).withColumn("hit", hit).where(F.col("hit").isNotNull())
+    rows = once(placed(events), "hit", hit).where(F.col("hit").isNotNull())
     return rows.select("recording_id", "seq", "ts_ns", "pid", "op", "backend", "hit", subject.alias("subject"), detail.alias("detail"))
 
 

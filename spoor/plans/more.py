@@ -223,7 +223,7 @@ def _(spark, d):
   bool_or(complete AND has_end) AS complete FROM p GROUP BY recording_id""",
 )
 def _(spark, d):
-    events, _ = recordings.read_recordings(spark, _dropped(spark, d), "quarantine")
+    events, _ = recordings.read_recordings(spark, _dropped(spark, d, packed=True), "quarantine", packed=True)
     return recordings.stream_facts(events).withColumn("recording_id", F.col("recording_id").cast("long")).drop("incomplete_reasons")
 
 

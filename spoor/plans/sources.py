@@ -16,25 +16,33 @@ from spoor.streaming import live
 Q, SQL = {}, {}
 
 
-def _dropped(spark, d) -> str:
+def _dropped(spark, d, packed: bool = False) -> str:
     path = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
-    recordings.write_recordings(recordings.lines_of(bridge.events(spark, d)), path)
+    recordings.write_recordings(recordings.lines_of(bridge.events(spark, d)), path, packed)
     return path
 
 
 def read_recordings(spark, d):
-    events, _ = recordings.read_recordings(spark, _dropped(spark, d))
-    return events.where(~F.col("op").isin(*rules.FRAMING)).select(F.col("recording_id").cast("long").alias("recording_id"), (F.col("seq") - 1).alias("seq"), "ts_ns", "op", "ok", F.col("target.path").alias("path"), "bytes", "port", "qname", "bin")
+    return _observed(recordings.read_recordings(spark, _dropped(spark, d, packed=True), packed=True)[0])  # numbers as written
+
+
+def read_recording_folders(spark, d):
+    events = recordings.read_recordings(spark, _dropped(spark, d))[0]
+    return _observed(events.withColumn("seq", F.col("seq") - 1))  # numbers of lines, from 1
+
+
+def _observed(events):
+    return events.where(~F.col("op").isin(*rules.FRAMING)).select(F.col("recording_id").cast("long").alias("recording_id"), "seq", "ts_ns", "op", "ok", F.col("target.path").alias("path"), "bytes", "port", "qname", "bin")
 
 
 def stream_summary(spark, d):
-    events, _ = recordings.read_recordings(spark, _dropped(spark, d), "quarantine")
+    events, _ = recordings.read_recordings(spark, _dropped(spark, d, packed=True), "quarantine", packed=True)
     rows = recordings.stream_summary(events)
     return rows.withColumn("recording_id", F.col("recording_id").cast("long"))
 
 
 def attach_session(spark, d):
-    events, _ = recordings.read_recordings(spark, _dropped(spark, d), "quarantine")
+    events, _ = recordings.read_recordings(spark, _dropped(spark, d, packed=True), "quarantine", packed=True)
     rows = recordings.attach_session(events).where(~F.col("op").isin(*rules.FRAMING))
     return rows.groupBy(F.col("recording_id").cast("long").alias("recording_id")).agg(F.max("zone_project").alias("zone_project"), F.max("backend").alias("backend"), F.max("complete").alias("complete"), F.max("has_end").alias("has_end"), F.count(F.lit(1)).alias("events"))
 
@@ -76,6 +84,8 @@ def snapshot_push_recordings(spark, d):
 
 Q["read_recordings"] = read_recordings
 SQL["read_recordings"] = BASE + "SELECT recording_id, seq, ts_ns, op, ok, path, bytes, port, qname, bin FROM p"
+Q["read_recording_folders"] = read_recording_folders
+SQL["read_recording_folders"] = SQL["read_recordings"]
 Q["stream_summary"] = stream_summary
 SQL["stream_summary"] = BASE + "SELECT recording_id, count(*) AS events, 0::BIGINT AS heartbeats, bool_or(complete AND has_end) AS complete, true AS has_session_start, CASE WHEN NOT bool_or(has_end) THEN 'no session_end' END AS error FROM p GROUP BY recording_id"
 Q["attach_session"] = attach_session

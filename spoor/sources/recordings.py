@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spoor.scratch import materialize
+
 SCHEMA_VERSION = 1
 #: The kinds of lines.
 OPS = ["session_start", "fs_write", "fs_read", "net_connect", "dns_query", "proc_spawn", "heartbeat", "session_end"]
@@ -39,16 +41,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.when(named != "", named).otherwise(F.col("file")).alias("recording_id"), F.col("value").alias("content"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``recording_id, seq, line``: the lines of all files with their number in the file, blank ones left out."""
+def read_lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """``recording_id, seq, line``: the lines of all files with their number in the file, blank ones left out. Packed files
+    (``write_recordings``) can be split anywhere; of others each is read as a whole."""
+    if packed:
+        parts = F.split("value", "\t", 3)
+        return spark.read.option("recursiveFileLookup", "true").text(path).select(parts[0].alias("recording_id"), parts[1].cast("long").alias("seq"), parts[2].alias("line"))
     rows = read_files(spark, path).select("recording_id", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line"))
     return rows.where(F.trim("line") != "").select("recording_id", (F.col("pos") + 1).cast("long").alias("seq"), "line")
 
 
-def read_recordings(spark: SparkSession, path: str, on_error: str = "fail") -> tuple[DataFrame, DataFrame]:
+def read_recordings(spark: SparkSession, path: str, on_error: str = "fail", packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Events and refused lines. One bad line refuses its whole recording: with ``fail`` an error is raised,
-    with ``quarantine`` the recording is left out and its bad lines are returned."""
-    rows = parse_lines(read_lines(spark, path))
+    with ``quarantine`` the recording is left out and its bad lines are returned. Lines are parsed once and written."""
+    rows = materialize(parse_lines(read_lines(spark, path, packed)), "recordings-parsed")
     bad = rows.where(F.col("reject").isNotNull()).select("recording_id", "seq", "reject")
     if on_error == "fail":
         if first := bad.head(1):
@@ -57,10 +63,14 @@ def read_recordings(spark: SparkSession, path: str, on_error: str = "fail") -> t
     return rows.join(bad.select("recording_id").distinct(), "recording_id", "left_anti").drop("reject"), bad
 
 
-def write_recordings(events: DataFrame, path: str) -> None:
-    """One folder per recording, its lines in order; null fields are left out."""
+def write_recordings(events: DataFrame, path: str, packed: bool = False) -> None:
+    """One folder per recording, its lines in order; null fields are left out. Packed: many recordings a file, each line
+    behind its recording and number, for corpora of more recordings than a file system likes folders."""
     fields = [c for c in events.columns if c not in ("recording_id", "seq")]
     lines = events.select("recording_id", "seq", F.to_json(F.struct(*fields)).alias("value"))
+    if packed:
+        lines.repartition("recording_id").sortWithinPartitions("recording_id", "seq").select(F.concat_ws("\t", F.col("recording_id").cast("string"), F.col("seq").cast("string"), "value")).write.text(path)
+        return
     lines.repartition("recording_id").sortWithinPartitions("recording_id", "seq").select("recording_id", "value").write.partitionBy("recording_id").text(path)
 
 
