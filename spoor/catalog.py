@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The lists of the default catalog.
 REGISTRY_HOSTS = ["registry.npmjs.org", "registry.npmjs.com", "registry.yarnpkg.com"]
@@ -15,12 +15,13 @@ BINARY_SUFFIXES = ["github.com", "githubusercontent.com", "nodejs.org", "storage
 CREDENTIAL_FRAGMENTS = ["/.ssh/", "/.aws/", "/.netrc", "/.docker/config.json", "/.git-credentials", "/.kube/", "/.config/gcloud/", "/etc/shadow"]
 CREDENTIAL_NAMES = ["id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", ".env"]
 NETWORK_TOOLS = ["curl", "wget", "nc", "ncat", "netcat", "ftp", "scp", "sftp", "ssh"]
-EXPECTED_SPAWNS = (
-    "node npm npx pnpm yarn sh bash dash env which uname getconf getent node-gyp node-pre-gyp prebuild-install python python3 make gmake cmake ninja "
-    "cc gcc c++ g++ ld ar ranlib as cpp collect2 cc1 cc1plus nm objdump strip install libtool m4 pkg-config ccache sccache sed grep egrep fgrep awk "
-    "cat cp mv rm mkdir rmdir ln chmod chown touch true false test expr basename dirname printf echo pwd ls find xargs sort uniq head tail tr wc date "
-    "hostname id sleep seq dd tar gzip gunzip unzip bzip2 xz zstd git rustc cargo go"
-).split()
+EXPECTED_SPAWNS = [
+    "node", "npm", "npx", "pnpm", "yarn", "sh", "bash", "dash", "env", "which", "uname", "getconf", "getent", "node-gyp", "node-pre-gyp", "prebuild-install", "python", "python3",
+    "make", "gmake", "cmake", "ninja", "cc", "gcc", "c++", "g++", "ld", "ar", "ranlib", "as", "cpp", "collect2", "cc1", "cc1plus", "nm", "objdump", "strip", "install", "libtool",
+    "m4", "pkg-config", "ccache", "sccache", "sed", "grep", "egrep", "fgrep", "awk", "cat", "cp", "mv", "rm", "mkdir", "rmdir", "ln", "chmod", "chown", "touch", "true", "false",
+    "test", "expr", "basename", "dirname", "printf", "echo", "pwd", "ls", "find", "xargs", "sort", "uniq", "head", "tail", "tr", "wc", "date", "hostname", "id", "sleep", "seq",
+    "dd", "tar", "gzip", "gunzip", "unzip", "bzip2", "xz", "zstd", "git", "rustc", "cargo", "go",
+]
 
 #: Severities from worst to least, and what each adds to the raw score.
 SEVERITIES = ["critical", "high", "medium", "low"]
@@ -111,7 +112,33 @@ def load_catalog(path: str | None = None) -> Catalog:
     return Catalog(**{**doc, "rules": rules})
 
 
+# What a recorder's view of a class leaves out.
+NOTES = {
+    ("strace", "filesystem writes"): "seen through the traced calls; a write submitted to io_uring is not",
+    ("strace", "credential reads"): "reads are kept for a list of credential paths only",
+    ("strace", "network connections"): "addresses only, no host names; sockets that listen are not traced",
+    ("strace", "DNS queries"): "questions sent to port 53; a cut payload gives none, and encrypted DNS is not told from other traffic",
+    ("strace", "process spawns"): "arguments up to the tracer's limit; longer command lines are marked as cut",
+    ("strace", "write volumes"): "bytes of write calls only, so totals are a floor",
+    ("aya", "filesystem writes"): "paths are arguments; a relative one stays unresolved",
+    ("aya", "credential reads"): "the probes cover writes, connections and spawns",
+    ("aya", "network connections"): "addresses only, no host names",
+    ("aya", "DNS queries"): "payloads are not decoded",
+    ("aya", "process spawns"): "arguments have slots of fixed width; longer ones are marked as cut",
+    ("aya", "write volumes"): "requested bytes, so a short write overstates the total",
+}
+
+
 def coverage(spark: SparkSession) -> DataFrame:
-    """``backend, class, observability, place``."""
-    rows = [(b, c, "unobserved" if (b, c) in UNOBSERVED else "partial", k) for b in ("strace", "aya") for k, c in enumerate(CLASSES)]
-    return spark.createDataFrame(rows, "backend string, class string, observability string, place int")
+    """``backend, class, observability, note, place``."""
+    rows = [(b, c, "unobserved" if (b, c) in UNOBSERVED else "partial", NOTES[b, c], k) for b in ("strace", "aya") for k, c in enumerate(CLASSES)]
+    return spark.createDataFrame(rows, "backend string, class string, observability string, note string, place int")
+
+
+def caveats(spark: SparkSession) -> DataFrame:
+    """``backend, blind_spots, qualifications, caveat``: the classes a recorder cannot see, those it sees with limits, and the
+    line a report carries about the former (null if there are none)."""
+    named = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("observability") == kind, F.struct("place", "class")))), lambda x: x["class"]), ", ")
+    rows = coverage(spark).groupBy("backend").agg(named("unobserved").alias("blind_spots"), named("partial").alias("qualifications"))
+    line = F.concat(F.lit("Not checked by the "), "backend", F.lit(" backend: "), "blind_spots", F.lit(". Absence of these findings is not evidence they did not happen."))
+    return rows.withColumn("caveat", F.when(F.col("blind_spots") != "", line))

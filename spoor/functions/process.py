@@ -11,6 +11,7 @@ DOWNLOADERS = ["curl", "wget", "fetch"]
 INTERPRETERS = ["sh", "bash", "dash", "zsh", "python", "python3", "perl", "ruby", "node"]
 SHELLS = ["sh", "bash", "dash", "zsh", "ksh"]
 PIPELINE_TOOLS = ["curl", "wget", "fetch", "aria2c"]
+RUNNERS = ["sh", "bash", "dash", "zsh", "ksh", "python", "python3", "perl", "ruby", "node"]
 
 
 def contains_word(text: Column, word: str) -> Column:
@@ -42,7 +43,7 @@ def shell_pipeline_tool(argv: Column) -> Column:
     before = F.split(F.substring_index(joined, "|", 1), "[^A-Za-z0-9_-]", -1)
     after = F.split(F.substring(joined, F.char_length(F.substring_index(joined, "|", 1)) + 2, F.char_length(joined)), "[^A-Za-z0-9_-]", -1)
     tool = F.get(F.filter(F.array(*map(F.lit, PIPELINE_TOOLS)), lambda t: F.array_contains(before, t)), F.lit(0))
-    shells = F.exists(after, lambda w: w.isin(SHELLS + [i for i in INTERPRETERS if i not in SHELLS]))
+    shells = F.exists(after, lambda w: w.isin(RUNNERS))
     return F.when(joined.contains("|") & shells, tool)
 
 

@@ -50,6 +50,20 @@ def results_vs_registry(results: DataFrame) -> DataFrame:
     return best_result(results).where("complete and not pushed").select(*KEY, "started_at")
 
 
+def registry_excess(results: DataFrame, readable: int) -> DataFrame:
+    """One row: complete results, those not pushed, and how many recordings the registry has beyond the complete ones."""
+    best = best_result(results)
+    n = F.count(F.when(F.col("complete"), 1))
+    return best.agg(n.alias("complete"), F.count(F.when(F.col("complete") & ~F.col("pushed"), 1)).alias("not_pushed"), F.greatest(F.lit(readable) - n, F.lit(0)).alias("excess"))
+
+
+def plan_counts(plan: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: versions planned, already done, and pending."""
+    done = results.where("complete").select(*KEY).distinct().withColumn("done", F.lit(True))
+    rows = plan.join(done, KEY, "left")
+    return rows.agg(F.count(F.lit(1)).alias("planned"), F.count("done").alias("skipped"), F.count(F.when(F.col("done").isNull(), 1)).alias("pending"))
+
+
 def pending_plan(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Planned versions that no complete result covers; partial ones count as not done."""
     return plan.join(results.where("complete").select(*KEY).distinct(), KEY, "left_anti")

@@ -66,3 +66,12 @@ def event_cap(events: DataFrame, cap: int) -> DataFrame:
     order = Window.partitionBy("recording_id").orderBy("us", "arrival")
     rows = events.withColumn("n", F.row_number().over(order))
     return rows.groupBy("recording_id").agg(F.count(F.when(F.col("n") <= cap, 1)).alias("kept"), F.max((F.col("n") > cap).cast("int")).cast("boolean").alias("capped"))
+
+
+def capped_events(events: DataFrame, cap: int) -> DataFrame:
+    """The events within the cap of their recording, in order of arrival, with ``is_partial`` where some were cut. The cut
+    is a rank limit, which Spark applies before it shuffles."""
+    order = Window.partitionBy("recording_id").orderBy("us", "arrival")
+    rows = events.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap + 1)
+    over = F.max("n").over(Window.partitionBy("recording_id")) > cap
+    return rows.withColumn("is_partial", over).where(F.col("n") <= cap).drop("n")

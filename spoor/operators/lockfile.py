@@ -81,3 +81,9 @@ def decision(found: DataFrame) -> DataFrame:
     """Per repository whether to record, and how many identities."""
     recordable = F.col("introduces_code")
     return found.groupBy("repo").agg(F.max("introduces_code").alias("should_record"), F.count(F.lit(1)).alias("changes"), F.countDistinct(F.when(recordable, F.concat("name", F.lit("@"), "version"))).alias("recordable"))
+
+
+def recordable(found: DataFrame) -> DataFrame:
+    """``repo, place, name, version``: the different identities to record, in order."""
+    rows = found.where("introduces_code").select("repo", "name", "version").distinct()
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy("name", "version")))

@@ -108,3 +108,12 @@ def counts(sides: DataFrame) -> DataFrame:
     """Per pair and class how many facts the first, the second and both saw."""
     count = lambda s: F.count(F.when(F.col("seen_by").isin(s, "both"), 1))
     return differences(sides).groupBy("pair_id", "class").agg(count("first").alias("first"), count("second").alias("second"), F.count(F.when(F.col("seen_by") == "both", 1)).alias("shared"))
+
+
+def passes(sides: DataFrame, partial: DataFrame) -> DataFrame:
+    """``pair_id, unexpected, passed``: whether a pair's differences are all expected and neither side is partial (``partial``:
+    pair_id of pairs with a partial side). A pair without a difference passes unless it is partial."""
+    unexpected = compare(sides).groupBy("pair_id").agg(F.count(F.when(~F.col("expected"), 1)).alias("n"))
+    rows = sides.select("pair_id").distinct().join(unexpected, "pair_id", "left").join(partial.select("pair_id", F.lit(True).alias("is_partial")).distinct(), "pair_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return rows.select("pair_id", n.alias("unexpected"), ((n == 0) & F.col("is_partial").isNull()).alias("passed"))

@@ -313,3 +313,15 @@ def report_markdown(analysis: DataFrame, found: DataFrame) -> DataFrame:
         F.when(F.col("unresolved") > 0, F.concat(F.col("unresolved").cast("string"), F.lit(" paths could not be placed"))),
     )
     return rows.select("recording_id", text.alias("markdown"))
+
+
+def host_classes(hosts: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """``host`` to ``host, host_class``: registry, binary_distribution or other. Each different host is taken apart into its
+    label suffixes once and joined with the catalog's few dozen entries; a registry's entry counts before the other kind."""
+    catalog, spark = catalog or Catalog(), hosts.sparkSession
+    bare = lambda s: s.lstrip(".").lower()
+    entries = [(bare(s), True, 0, "registry") for s in catalog.registry_suffixes] + [(h.lower(), False, 0, "registry") for h in catalog.registry_hosts] + [(bare(s), True, 1, "binary_distribution") for s in catalog.binary_distribution_suffixes]
+    table = spark.createDataFrame(entries, "suffix string, below boolean, rank int, host_class string")
+    rows = hosts.select("host").distinct().select("host", F.posexplode(net.label_suffixes(F.col("host"))).alias("pos", "suffix"))
+    met = rows.join(F.broadcast(table), "suffix").where("below or pos = 0").groupBy("host").agg(F.min(F.struct("rank", "host_class")).alias("best"))
+    return hosts.join(met, "host", "left").select(*hosts.columns, F.coalesce("best.host_class", F.lit("other")).alias("host_class"))

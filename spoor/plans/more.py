@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spoor.catalog import NETWORK_TOOLS
-from spoor.functions import times
-from spoor.operators import behavior, corpus, legacy, review, rules
+from spoor.catalog import CLASSES, NETWORK_TOOLS, caveats
+from spoor.functions import paths, process, times
+from spoor.operators import behavior, corpus, descriptors, legacy, lockfile, parity, review, rules
 from spoor.plans import bridge
-from spoor.plans.corpus import FD
-from spoor.plans.security import BASE, BEHAVIOR, words
+from spoor.plans.corpus import ARRIVALS, CAP, FD, HOUR, LOCK, RUNS, arrivals
+from spoor.plans.parity import FACTS, sides
+from spoor.plans.security import BASE, BEHAVIOR, CATALOG, SUFFIX, words
 from spoor.plans.sources import _dropped
 from spoor.scratch import materialize, shared_dir
 from spoor.sources import recordings
@@ -285,3 +286,83 @@ def _(spark, d):
     activity.unionByName(last, allowMissingColumns=True).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(activity.schema).parquet(f"{folder}/in")
     return live.run_once(live.stateful_write_volume(stream), "append", folder)
+
+
+@query(
+    "path_predicates",
+    BASE
+    + """SELECT recording_id, seq, coalesce(contains(path, '/.ssh/') OR contains(path, '/.npmrc') OR starts_with(split_part(path, '/', -1), '.env'), false) AS of_interest, coalesce(kind IN ('open', 'write'), false) AS write_intent,
+  coalesce(regexp_matches(command, '(^|[^A-Za-z0-9_-])curl($|[^A-Za-z0-9_-])'), false) AS says_curl FROM p""",
+)
+def _(spark, d):
+    e = bridge.events(spark, d)
+    flags = F.when(F.col("kind") == "open", "O_WRONLY|O_CLOEXEC").when(F.col("kind") == "write", "O_CREAT|O_TRUNC").when(F.col("op") == "fs_read", "O_RDONLY|O_CLOEXEC")
+    word = F.coalesce(process.contains_word(process.command_line(F.col("argv"), F.col("bin")), "curl"), F.lit(False))
+    return e.select("recording_id", "seq", paths.read_of_interest(F.col("path")).alias("of_interest"), paths.has_write_intent(flags).alias("write_intent"), word.alias("says_curl"))
+
+
+@query(
+    "coverage_table",
+    BASE
+    + f"""SELECT recording_id, backend, CASE WHEN backend = 'aya' THEN 'credential reads, DNS queries' ELSE '' END AS blind_spots, CASE WHEN backend = 'aya' THEN '{', '.join(c for c in CLASSES if c not in ('credential reads', 'DNS queries'))}' ELSE '{', '.join(CLASSES)}' END AS qualifications,
+  CASE WHEN backend = 'aya' THEN 'Not checked by the aya backend: credential reads, DNS queries. Absence of these findings is not evidence they did not happen.' END AS caveat FROM rc""",
+)
+def _(spark, d):
+    recordings_ = bridge.events(spark, d).groupBy("recording_id").agg(F.min_by("backend", "seq").alias("backend"))
+    return recordings_.join(F.broadcast(caveats(spark)), "backend")
+
+
+@query("catalog_host_classes", BASE + f"SELECT recording_id, seq, qname AS host, CASE WHEN host IN ({words(CATALOG.registry_hosts)}) OR {SUFFIX('host', CATALOG.registry_suffixes)} THEN 'registry' WHEN {SUFFIX('host', CATALOG.binary_distribution_suffixes)} THEN 'binary_distribution' ELSE 'other' END AS host_class FROM p WHERE qname IS NOT NULL")
+def _(spark, d):
+    return rules.host_classes(bridge.events(spark, d).where("qname is not null").select("recording_id", "seq", F.col("qname").alias("host")))
+
+
+@query(
+    "reorder_window",
+    ARRIVALS
+    + f""", n AS (SELECT *, max(us) OVER (PARTITION BY recording_id ORDER BY arrival) AS newest FROM a
+), r AS (SELECT x.recording_id, x.arrival, x.us, min(greatest(n.arrival, x.arrival)) AS released_at FROM a x JOIN n ON n.recording_id = x.recording_id AND n.newest >= x.us + {HOUR} GROUP BY ALL
+), l AS (SELECT a.recording_id, a.arrival, max(r.us) AS last_released FROM a JOIN r ON r.recording_id = a.recording_id AND r.released_at < a.arrival GROUP BY ALL)
+SELECT a.recording_id, a.us, a.arrival, coalesce(a.us < last_released, false) AS late FROM a LEFT JOIN l ON l.recording_id = a.recording_id AND l.arrival = a.arrival""",
+)
+def _(spark, d):
+    """The stream's twin of late_events; a row without a time ends each recording."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = arrivals(spark, d).select("recording_id", "us", "arrival")
+    ends = rows.groupBy("recording_id").agg((F.max("arrival") + 1).alias("arrival")).withColumn("us", F.lit(None).cast("long"))
+    rows.unionByName(ends).write.parquet(f"{folder}/in")
+    return live.run_once(live.reorder_window(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), HOUR), "append", folder)
+
+
+@query("capped_events", ARRIVALS + f", n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY us, arrival) AS n, count(*) OVER (PARTITION BY recording_id) > {CAP} AS is_partial FROM a) SELECT recording_id, arrival, us, is_partial FROM n WHERE n <= {CAP}")
+def _(spark, d):
+    return descriptors.capped_events(arrivals(spark, d), CAP)
+
+
+@query("lock_recordable", LOCK + "SELECT repo, name, version, CAST(row_number() OVER (PARTITION BY repo ORDER BY name, version) AS INTEGER) AS place FROM (SELECT DISTINCT repo, name, version FROM ch WHERE introduces_code)")
+def _(spark, d):
+    return lockfile.recordable(lockfile.changes(bridge.lock_packages(spark, d)))
+
+
+PASSES = "SELECT pair_id, count(*) FILTER (NOT expected) AS unexpected, count(*) FILTER (NOT expected) = 0 AND NOT bool_or(partial) AS passed FROM (SELECT x.pair_id, coalesce(reason IS NOT NULL, true) AS expected, partial FROM (SELECT pair_id, bool_or(partial) AS partial FROM qp GROUP BY pair_id) x LEFT JOIN cmp ON cmp.pair_id = x.pair_id) GROUP BY pair_id"
+
+
+@query("parity_passes", FACTS + ", qp AS (SELECT pair_id, NOT (complete AND has_end) AS partial FROM q) SELECT * FROM (" + PASSES + ")")
+def _(spark, d):
+    events = bridge.events(spark, d)
+    pairs = behavior.version_pairs(behavior.recordings_of(events)).withColumn("pair_id", F.concat("package", F.lit(":"), "before_version"))
+    partial = events.where("not (complete and has_end)").select("recording_id").distinct()
+    of = pairs.select("pair_id", F.explode(F.array("before_id", "after_id")).alias("recording_id")).join(partial, "recording_id").select("pair_id")
+    return parity.passes(sides(spark, d), of)
+
+
+@query("registry_excess", RUNS + "SELECT count(*) FILTER (complete) AS complete, count(*) FILTER (complete AND NOT pushed) AS not_pushed, greatest((SELECT count(*) FROM r WHERE pushed) - count(*) FILTER (complete), 0) AS excess FROM best")
+def _(spark, d):
+    results = bridge.run_results(spark, d)
+    return corpus.registry_excess(results, results.where("pushed").count())
+
+
+@query("plan_counts", RUNS + "SELECT count(*) AS planned, count(*) FILTER (done) AS skipped, count(*) FILTER (NOT done) AS pending FROM (SELECT EXISTS (SELECT 1 FROM r WHERE complete AND r.package = rv.package AND '1.' || r.version = rv.version) AS done FROM rv WHERE n <= 5)")
+def _(spark, d):
+    done = bridge.run_results(spark, d).withColumn("version", F.concat(F.lit("1."), "version"))
+    return corpus.plan_counts(corpus.recent_versions(bridge.published(spark, d)), done)
