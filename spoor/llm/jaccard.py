@@ -37,7 +37,7 @@ SURE = 24
 ROUNDS = 2
 #: Documents of a block's side.
 SIDE = 512
-SIDE_BYTES = 16 << 20
+SIDE_BYTES = 4 << 20
 
 
 class Known:
