@@ -111,6 +111,19 @@ def corpus_summary(events: DataFrame) -> DataFrame:
     return totals.crossJoin(seen)  # one row by one row
 
 
+def corpus_report(events: DataFrame, verified: DataFrame) -> DataFrame:
+    """One row about a corpus and its store: ``verified`` has package, version and error of every entry of the index; only entries
+    that could be read count as recordings. Says whether the corpus is intact and what may be claimed of it."""
+    c = F.col
+    readable = events.join(verified.where("error is null").select("package", "version"), ["package", "version"], "left_semi")
+    entries = verified.agg(F.count(F.lit(1)).alias("entries"), F.count("error").alias("unreadable"))
+    unresolved = unresolved_paths(readable).agg(F.coalesce(F.sum("unresolved_paths"), F.lit(0)).alias("unresolved_paths"))
+    rows = corpus_summary(readable).fillna(0).crossJoin(entries).crossJoin(unresolved)  # one row each
+    claim = F.format_string("%d recordings of %d packages, %d version pairs comparable, %d behavior observations of %d distinct behaviors", "snapshots", "packages", "diffable_pairs", "observations", "distinct_behaviors")
+    claim = F.when(c("snapshots") == 0, "no readable recordings: make no claim about this corpus").otherwise(claim)
+    return rows.select("entries", c("snapshots").alias("readable"), "unreadable", "packages", "packages_with_history", "diffable_pairs", "incomplete", "unresolved_paths", ((c("unreadable") == 0) & (c("incomplete") == 0)).alias("intact"), claim.alias("claim"))
+
+
 def recordings_of(events: DataFrame) -> DataFrame:
     """``package, version, recording_id, append_pos``: a row per recording with its place in the index."""
     return events.groupBy("package", "version", "recording_id").agg(F.min("append_pos").alias("append_pos"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spoor.catalog import SEVERITIES, UNOBSERVED, WEIGHTS, Catalog, coverage
+from spoor.catalog import SEVERITIES, UNOBSERVED, WEIGHTS, Catalog, caveats, coverage
 from spoor.functions import network as net, paths, process as proc
 from spoor.scratch import materialize
 
@@ -298,19 +298,22 @@ def sarif_rows(events: DataFrame, found: DataFrame, analysis: DataFrame, skipped
     return rows.select("recording_id", F.to_json(F.struct(empty("results", results), empty("rules", rules), told.alias("notifications"))).alias("sarif_json"))
 
 
-def report_markdown(analysis: DataFrame, found: DataFrame) -> DataFrame:
-    """A short text per recording: score, PARTIAL mark, at most three bullets and how many more."""
+def report_markdown(analysis: DataFrame, found: DataFrame, events: DataFrame) -> DataFrame:
+    """A short text per recording: score, PARTIAL mark with its reasons, at most three bullets and how many more, unresolved
+    paths, and what its recorder cannot see."""
     bullets = select_bullets(found).groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "bullet"))), lambda b: F.concat(F.lit("- "), b["bullet"])), "\n").alias("bullets"), F.count(F.lit(1)).alias("shown"))
     totals = found.groupBy("recording_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = analysis.join(totals, "recording_id", "left").join(bullets, "recording_id", "left")
+    rows = analysis.join(totals, "recording_id", "left").join(bullets, "recording_id", "left").join(partial_reasons(events), "recording_id", "left")
+    rows = rows.join(F.broadcast(caveats(analysis.sparkSession).select("backend", "caveat")), "backend", "left")
     more = F.col("total") - F.col("shown")
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("**"), "package", F.lit("@"), "version", F.lit("** "), "score_text"),
-        F.when(F.col("is_partial"), "PARTIAL: the recording is incomplete"),
+        F.when(F.col("is_partial"), F.concat(F.lit("PARTIAL: "), "reasons")),
         F.col("bullets"),
         F.when(more > 0, F.concat(F.lit("…and "), more.cast("string"), F.lit(" more"))),
         F.when(F.col("unresolved") > 0, F.concat(F.col("unresolved").cast("string"), F.lit(" paths could not be placed"))),
+        F.col("caveat"),
     )
     return rows.select("recording_id", text.alias("markdown"))
 

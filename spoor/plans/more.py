@@ -235,6 +235,10 @@ def _(spark, d):
   CASE recording_id % 7 WHEN 3 THEN 'malformed digest' WHEN 4 THEN 'blob missing' WHEN 5 THEN 'content does not match its digest' WHEN 6 THEN 'line 1: malformed line' END AS error FROM rc""",
 )
 def _(spark, d):
+    return _verified(spark, d).drop("digest")
+
+
+def _verified(spark, d):
     """The written recordings as a store; of seven entries one has a bad digest, one no blob, one another content, one no stream."""
     about = bridge.events(spark, d).groupBy("recording_id").agg(F.max("package").alias("package"), F.max("version").alias("version"))
     files = recordings.read_files(spark, _dropped(spark, d)).withColumn("recording_id", F.col("recording_id").cast("long"))
@@ -244,7 +248,23 @@ def _(spark, d):
     rows = materialize(rows, "store")
     index = rows.select("package", "version", F.when(part == 3, F.upper("digest")).otherwise(F.col("digest")).alias("digest"))
     blobs = rows.where(part != 4).select("digest", F.when(part == 5, F.concat("content", F.lit(" "))).otherwise(F.col("content")).alias("content"))
-    return corpus.snapshot_verify(index, blobs.dropDuplicates(["digest"])).drop("digest")
+    return corpus.snapshot_verify(index, blobs.dropDuplicates(["digest"]))
+
+
+@query(
+    "corpus_report",
+    BEHAVIOR
+    + """, e AS (SELECT * FROM rc WHERE recording_id % 7 NOT IN (3, 4, 5, 6)), k AS (SELECT package, count(*) AS n FROM e GROUP BY package), o AS (SELECT count(*) AS observations, count(DISTINCT summary) AS different FROM bs WHERE recording_id % 7 NOT IN (3, 4, 5, 6)
+), t AS (SELECT (SELECT count(*) FROM rc) AS entries, (SELECT count(*) FROM e) AS readable, (SELECT count(*) FROM k) AS packages, (SELECT count(*) FROM k WHERE n > 1) AS packages_with_history, (SELECT CAST(sum(n - 1) AS BIGINT) FROM k) AS diffable_pairs,
+  (SELECT count(*) FROM (SELECT recording_id, bool_or(complete) AS complete FROM b GROUP BY 1) WHERE NOT complete AND recording_id % 7 NOT IN (3, 4, 5, 6)) AS incomplete,
+  (SELECT count(*) FROM p WHERE placement = 'unresolvable' AND (op = 'fs_read' OR op = 'fs_write' AND NOT failed) AND recording_id % 7 NOT IN (3, 4, 5, 6)) AS unresolved_paths)
+SELECT entries, readable, entries - readable AS unreadable, packages, packages_with_history, diffable_pairs, incomplete, unresolved_paths, entries = readable AND incomplete = 0 AS intact,
+  readable || ' recordings of ' || packages || ' packages, ' || diffable_pairs || ' version pairs comparable, ' || observations || ' behavior observations of ' || different || ' distinct behaviors' AS claim FROM t, o""",
+)
+def _(spark, d):
+    return behavior.corpus_report(bridge.events(spark, d), materialize(_verified(spark, d), "verified"))
+
+
 
 
 RESULT = "SELECT package, version, observations AS events, NOT is_partial AS complete, recording_id % 13 = 12 AS broken, recording_id % 11 = 10 AS nameless FROM rc"

@@ -75,7 +75,7 @@ WITH b AS ({bridge.duckdb(bridge.EVENTS)}
   SELECT recording_id, any_value(package) AS package, any_value(version) AS version, arg_min(backend, seq) AS backend, count(*) AS observations,
     count(*) FILTER (op = 'fs_write' AND placement = 'unresolvable') AS unresolved,
     count(*) FILTER (op = 'fs_write') AS n_fs_write, count(*) FILTER (op = 'fs_read') AS n_fs_read, count(*) FILTER (op = 'net_connect') AS n_net_connect,
-    count(*) FILTER (op = 'dns_query') AS n_dns_query, count(*) FILTER (op = 'proc_spawn') AS n_proc_spawn, NOT bool_or(complete AND has_end) AS is_partial
+    count(*) FILTER (op = 'dns_query') AS n_dns_query, count(*) FILTER (op = 'proc_spawn') AS n_proc_spawn, NOT bool_or(complete AND has_end) AS is_partial, bool_or(has_end) AS has_end
   FROM p GROUP BY recording_id
 ), s AS (
   SELECT rc.recording_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
@@ -219,14 +219,15 @@ def _(spark, d):
 ), u AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY place) AS n FROM t WHERE scorable = 0 OR severity <> 'low'
 ), v AS (SELECT recording_id, string_agg('- ' || title || CASE WHEN severity = 'critical' THEN ' (critical)' ELSE '' END || CASE WHEN occurrences > 1 THEN ' — ' || occurrences || ' times' ELSE '' END, chr(10) ORDER BY n) AS bullets, count(*) AS shown FROM u WHERE n <= 3 GROUP BY recording_id
 ), w AS (SELECT recording_id, count(*) AS total FROM f GROUP BY recording_id)
-SELECT a.recording_id, concat_ws(chr(10), '**' || package || '@' || version || '** ' || score_text, CASE WHEN is_partial THEN 'PARTIAL: the recording is incomplete' END, bullets,
-  CASE WHEN total > shown THEN '…and ' || (total - shown) || ' more' END, CASE WHEN unresolved > 0 THEN unresolved || ' paths could not be placed' END) AS markdown
+SELECT a.recording_id, concat_ws(chr(10), '**' || package || '@' || version || '** ' || score_text, CASE WHEN is_partial THEN 'PARTIAL: ' || CASE WHEN has_end THEN 'no reason recorded' ELSE 'the recording has no session_end event; it may have been truncated' END END, bullets,
+  CASE WHEN total > shown THEN '…and ' || (total - shown) || ' more' END, CASE WHEN unresolved > 0 THEN unresolved || ' paths could not be placed' END,
+  CASE WHEN backend = 'aya' THEN 'Not checked by the aya backend: credential reads, DNS queries. Absence of these findings is not evidence they did not happen.' END) AS markdown
 FROM a LEFT JOIN v USING (recording_id) LEFT JOIN w USING (recording_id)""",
 )
 def _(spark, d):
     e = events(spark, d)
     found = materialize(rules.findings(e), "findings")
-    return rules.report_markdown(rules.evaluate(e, found=found), found)
+    return rules.report_markdown(rules.evaluate(e, found=found), found, e)
 
 
 #: Behaviours, distinct per recording.

@@ -87,7 +87,7 @@ SQL["read_recordings"] = BASE + "SELECT recording_id, seq, ts_ns, op, ok, path,
 Q["read_recording_folders"] = read_recording_folders
 SQL["read_recording_folders"] = SQL["read_recordings"]
 Q["stream_summary"] = stream_summary
-SQL["stream_summary"] = BASE + "SELECT recording_id, count(*) AS events, 0::BIGINT AS heartbeats, bool_or(complete AND has_end) AS complete, true AS has_session_start, CASE WHEN NOT bool_or(has_end) THEN 'no session_end' END AS error FROM p GROUP BY recording_id"
+SQL["stream_summary"] = BASE + "SELECT recording_id, count(*) AS events, 0::BIGINT AS heartbeats, bool_or(complete AND has_end) AS complete, true AS has_session_start, CASE WHEN NOT bool_or(has_end) THEN 'no session_end' END AS error, CASE WHEN bool_or(has_end) THEN CAST(max(seq) % 3 AS INTEGER) END AS exit_code, CASE WHEN bool_or(has_end) AND NOT bool_or(complete) THEN 'recording interrupted' END AS reasons FROM p GROUP BY recording_id"
 Q["attach_session"] = attach_session
 SQL["attach_session"] = BASE + "SELECT recording_id, any_value(zone_project) AS zone_project, arg_min(backend, seq) AS backend, bool_or(complete AND has_end) AS complete, bool_or(has_end) AS has_end, count(*) AS events FROM p GROUP BY recording_id"
 Q["stream_ingest"] = stream_ingest
@@ -116,3 +116,23 @@ def read_lockfiles(spark, d):
 Q["read_lockfiles"] = read_lockfiles
 SQL["read_lockfiles"] = f"""SELECT DISTINCT repo || ':' || side AS lockfile_id, 'node_modules/' || key || '/node_modules/' || name AS key, name, version, source_kind, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
 FROM ({bridge.duckdb(bridge.LOCK)}) WHERE source_kind <> 'directory'"""
+
+
+def read_pnpm_lockfiles(spark, d):
+    """The lock packages of each repository and side, written as pnpm writes them and read again."""
+    c = F.col
+    packages = bridge.lock_packages(spark, d).dropDuplicates(["repo", "side", "key"])
+    key = F.concat(F.lit("  /"), "name", F.lit("@"), "version", F.lit("("), F.regexp_replace("key", "/", "-"), F.lit("):\n"))
+    hashed = F.coalesce(F.concat(F.lit("integrity: "), "integrity", F.lit(", ")), F.lit(""))
+    resolution = F.when(c("source_kind") == "git", "repo: https://h.example/x.git, commit: abc").when(c("source_kind") == "directory", "directory: ../local, type: directory").otherwise(F.concat(hashed, F.lit("tarball: https://r.example/x.tgz")))
+    entry = F.concat(key, F.lit("    resolution: {"), resolution, F.lit("}\n    engines: {node: '>=10'}\n    dependencies:\n      other: 1.0.0\n    dev: "), c("dev").cast("string"), F.lit("\n"))
+    files = packages.groupBy("repo", "side").agg(F.array_join(F.collect_list(entry), "\n").alias("entries"))
+    content = F.concat(F.lit("lockfileVersion: '6.0'\n\nsettings:\n  autoInstallPeers: true\n\ndependencies:\n  p1:\n    specifier: ^1.0.0\n    version: 1.0.0\n\npackages:\n\n"), "entries")
+    rows = lockfiles.read_pnpm_lockfiles(files.select(F.concat_ws(":", c("repo").cast("string"), "side").alias("lockfile_id"), content.alias("content")))
+    return rows.select("lockfile_id", "key", "name", "version", "source_kind", "url", "integrity", "dev")
+
+
+Q["read_pnpm_lockfiles"] = read_pnpm_lockfiles
+SQL["read_pnpm_lockfiles"] = f"""SELECT DISTINCT repo || ':' || side AS lockfile_id, '/' || name || '@' || version || '(' || replace(key, '/', '-') || ')' AS key, name, version, source_kind,
+  CASE source_kind WHEN 'git' THEN 'https://h.example/x.git#abc' WHEN 'directory' THEN '../local' ELSE 'https://r.example/x.tgz' END AS url, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
+FROM ({bridge.duckdb(bridge.LOCK)})"""

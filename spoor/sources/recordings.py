@@ -104,7 +104,7 @@ def lines_of(bridge: DataFrame) -> DataFrame:
     zones = F.struct(c("zone_project").alias("project"), c("zone_cache").alias("cache"), c("zone_home").alias("home"), c("zone_tmp").alias("tmp"), c("extra").alias("extra"))
     about = bridge.groupBy("recording_id").agg(F.min_by(zones, "seq").alias("zones"), F.min_by("backend", "seq").alias("backend"), F.max("complete").alias("complete"), F.max("has_end").alias("has_end"), F.max("seq").alias("n"), F.max("ts_ns").alias("end"), F.max("agent_version").alias("agent_version"))
     start = about.select("recording_id", F.lit(0).cast("long").alias("seq"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(0).cast("long").alias("ts_ns"), "backend", F.lit("session_start").alias("op"), "zones", "agent_version", F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + c("recording_id").cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("wall_clock_utc"))
-    end = about.where("has_end").select("recording_id", (c("n") + 1).alias("seq"), F.lit(SCHEMA_VERSION).alias("schema_version"), c("end").alias("ts_ns"), "backend", F.lit("session_end").alias("op"), "complete", c("n").alias("events_emitted"))
+    end = about.where("has_end").select("recording_id", (c("n") + 1).alias("seq"), F.lit(SCHEMA_VERSION).alias("schema_version"), c("end").alias("ts_ns"), "backend", F.lit("session_end").alias("op"), "complete", c("n").alias("events_emitted"), (c("n") % 3).cast("int").alias("command_exit_code"), F.when(~c("complete"), F.array(F.lit("interrupted"))).alias("incomplete_reasons"))
     return body.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
 
 
@@ -144,7 +144,7 @@ def attach_session(events: DataFrame) -> DataFrame:
 
 
 def stream_summary(events: DataFrame) -> DataFrame:
-    """Per recording: events, heartbeats, completeness; one without an end has the error set."""
+    """Per recording: events, heartbeats, completeness with its reasons, the command's exit code; one without an end has the error set."""
     c = F.col
     end = F.when(c("op") == "session_end", c("seq"))
     rows = events.groupBy("recording_id").agg(
@@ -153,6 +153,8 @@ def stream_summary(events: DataFrame) -> DataFrame:
         F.coalesce(F.max_by("complete", end), F.lit(False)).alias("complete"),
         F.max((c("op") == "session_start").cast("int")).cast("boolean").alias("has_session_start"),
         F.when(F.max(end).isNull(), "no session_end").alias("error"),
+        F.max_by("command_exit_code", end).alias("exit_code"),
+        F.array_join(F.transform(F.max_by("incomplete_reasons", end), incomplete_reason), "; ").alias("reasons"),
     )
     return rows
 

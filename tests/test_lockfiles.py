@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from spoor.sources import lockfiles
 from spoor.sources.lockfiles import read_lockfiles
 
 V3 = {
@@ -57,3 +58,105 @@ def test_refused(spark):
     for bad in ("", "{", {"packages": {}}, {"lockfileVersion": 4}, {"lockfileVersion": 3, "packages": {"odd/path": {"version": "1"}}}):
         with pytest.raises(Exception):
             read(spark, bad)
+
+
+PNPM = {
+    "five": """lockfileVersion: 5.4
+
+specifiers:
+  a: ^1.0.0
+
+dependencies:
+  a: 1.0.0
+
+packages:
+
+  /a/1.0.0:
+    resolution: {integrity: sha512-a}
+    dev: false
+
+  /@s/b/2.0.0_peer@3.0.0:
+    resolution: {integrity: sha512-b}
+    dependencies:
+      a: 1.0.0
+    dev: true
+    optional: true
+
+  github.com/u/ms/0123:
+    resolution: {tarball: https://codeload.github.com/u/ms/tar.gz/0123}
+    name: ms
+    version: 2.1.3
+    dev: false
+
+  file:../local:
+    resolution: {directory: ../local, type: directory}
+    name: local
+    version: 0.0.1
+    dev: true
+""",
+    "nine": """lockfileVersion: '9.0'
+
+importers:
+
+  .:
+    dependencies:
+      a:
+        specifier: ^1.0.0
+        version: 1.0.0(p@3.0.0)
+      alias:
+        specifier: npm:real@2.0.0
+        version: real@2.0.0
+    devDependencies:
+      '@s/b':
+        specifier: ^2.0.0
+        version: 2.0.0
+      a:
+        specifier: ^1.0.0
+        version: 1.0.0
+
+packages:
+
+  a@1.0.0:
+    resolution: {integrity: sha512-a}
+
+  '@s/b@2.0.0':
+    resolution: {integrity: sha512-b}
+
+  real@2.0.0:
+    resolution: {}
+
+  ms@https://codeload.github.com/u/ms/tar.gz/0123:
+    resolution: {tarball: https://codeload.github.com/u/ms/tar.gz/0123}
+    version: 2.1.3
+
+  git@file:../g:
+    resolution:
+      repo: https://h/g.git
+      commit: abc
+      type: git
+
+snapshots:
+
+  a@1.0.0: {}
+""",
+}
+
+
+def test_pnpm(spark):
+    files = spark.createDataFrame(list(PNPM.items()), "lockfile_id string, content string")
+    got = {(r.lockfile_id, r.key): (r.name, r.version, r.source_kind, r.url, r.integrity, r.dev, r.optional) for r in lockfiles.read_pnpm_lockfiles(files).collect()}
+    tar = "https://codeload.github.com/u/ms/tar.gz/0123"
+    assert got == {
+        ("five", "/a/1.0.0"): ("a", "1.0.0", "remote", None, "sha512-a", False, False),
+        ("five", "/@s/b/2.0.0_peer@3.0.0"): ("@s/b", "2.0.0", "remote", None, "sha512-b", True, True),
+        ("five", "github.com/u/ms/0123"): ("ms", "2.1.3", "remote", tar, None, False, False),
+        ("five", "file:../local"): ("local", "0.0.1", "directory", "../local", None, True, False),
+        ("nine", "a@1.0.0"): ("a", "1.0.0", "remote", None, "sha512-a", False, False),
+        ("nine", "@s/b@2.0.0"): ("@s/b", "2.0.0", "remote", None, "sha512-b", True, False),
+        ("nine", "real@2.0.0"): ("real", "2.0.0", "unknown", None, None, False, False),
+        ("nine", f"ms@{tar}"): ("ms", "2.1.3", "remote", tar, None, False, False),
+        ("nine", "git@file:../g"): ("git", "", "git", "https://h/g.git#abc", None, False, False),
+    }
+    for bad in ("packages:\n\n  /a/1.0.0:\n    dev: true\n", "lockfileVersion: 7.0\n\npackages:\n\n  /a/1.0.0:\n    dev: true\n"):
+        with pytest.raises(Exception, match="missing or unsupported version"):
+            lockfiles.read_pnpm_lockfiles(spark.createDataFrame([("bad", bad)], "lockfile_id string, content string")).collect()
