@@ -47,6 +47,9 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         nodes = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         fits = nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1))
         # The first level at which a cell's bucket fits is where splitting stopped.
+        fits = materialize(fits, "shard-fits")
+        # No bucket fits above the shallowest that does, so the few prefixes there, each of very many cells, stay out of the join.
+        levels = levels.where(F.col("depth") >= (fits.agg(F.min("depth")).first()[0] or 0))
         # The directory grows with the data, so nothing of it is broadcast.
         of_cell = levels.join(fits.hint("merge"), ["depth", "prefix"]).groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes", "shard_docs"), "depth").alias("leaf"))
         of_cell = materialize(of_cell, "shard-directory")
