@@ -239,7 +239,8 @@ def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     repeated = profile.where("node is not null").groupBy("doc_id", "tie").count().where("count > 1")
     if not repeated.isEmpty():
         reps = reps.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-    reps = reps.select("node", "size", "matches", "prefix")
+    # Written once: two filters in one stage would keep twice as many Python workers in memory.
+    reps = materialize(reps.select("node", "size", "matches", "prefix"), "jaccard-prefixes")
 
     rows = reps.select("node", F.col("size").cast("int").alias("size"), "matches", F.posexplode("prefix").alias("pos", "gram"))
     shared = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
@@ -250,7 +251,7 @@ def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     met = met.where((F.size("met") >= sure) & in_place)
     center = F.aggregate("met", F.lit(0.0), lambda a, m: a + m["df"], lambda a: a / F.size("met"))
     out = materialize(met.select("node", "size", "matches", center.alias("center"), F.col("met.gram").alias("grams")), "jaccard-met")
-    for table in (copies, clash, shared):
+    for table in (copies, clash, reps, shared):
         discard(spark, table.scratch_path)
     return out
 
