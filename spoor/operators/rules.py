@@ -275,7 +275,7 @@ def sarif_rows(events: DataFrame, found: DataFrame, analysis: DataFrame, skipped
     row = F.struct("place", c("rule_id").alias("ruleId"), level.alias("level"), rank.alias("rank"), c("title").alias("message"), "occurrences")
     results = ordered.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.dropFields("place")).alias("results"))
 
-    notes = spark.createDataFrame([(r.id, r.note or "See the InstallScope rule catalog.") for r in (catalog or Catalog()).rules], "rule_id string, help string")
+    notes = spark.createDataFrame([(r.id, r.note or "See the rule catalog.") for r in (catalog or Catalog()).rules], "rule_id string, help string")
     first = ordered.groupBy("recording_id", "rule_id").agg(F.min_by(F.struct("title", "severity"), "place").alias("f")).join(F.broadcast(notes), "rule_id")
     rule = F.struct(c("rule_id").alias("id"), c("f.title").alias("shortDescription"), "help", "f.severity")
     rules = first.groupBy("recording_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))

@@ -205,7 +205,32 @@ def _(spark, d):
     return rules.signal_findings(e, rules.findings(e))
 
 
-@query("sarif_rows")
+NOTE = lambda level, message, name: f"CASE WHEN {{}} THEN struct_pack(level := '{level}', message := {message}, id := '{name}') END"
+TOLD = ", ".join(
+    [
+        NOTE("warning", "'The recording is incomplete, so these results are not the whole picture: ' || CASE WHEN has_end THEN 'no reason recorded' ELSE 'the recording has no session_end event; it may have been truncated' END", "partial_recording").format("is_partial"),
+        NOTE("warning", "'Not checked by the aya backend: credential reads, DNS queries. Absence of these findings is not evidence they did not happen.'", "backend_coverage").format("backend = 'aya'"),
+    ]
+)
+LEFT = NOTE("note", "unresolved || ' path(s) could not be resolved to an absolute location and were not checked against the expected directories'", "unresolved_paths").format("unresolved > 0")
+
+
+@query(
+    "sarif_rows",
+    BASE
+    + f""", res AS (
+  SELECT recording_id, list(struct_pack(ruleId := rule_id, level := CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END,
+    rank := CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 70 WHEN 'medium' THEN 40 ELSE 10 END, message := title, occurrences := occurrences) ORDER BY place) AS results FROM fo GROUP BY recording_id
+), ru AS (
+  SELECT recording_id, list(struct_pack(id := rule_id, shortDescription := title, help := 'See the rule catalog.', severity := severity) ORDER BY rule_id) AS rules
+  FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, rule_id ORDER BY place) AS k FROM fo) WHERE k = 1 GROUP BY recording_id
+), nr AS (
+  SELECT backend AS b, list(struct_pack(level := 'note', message := 'Rule `' || rule_id || '` did not run on this backend: the ' || backend || ' backend does not observe ' || class, id := 'rule_not_run') ORDER BY rule_id) AS not_run
+  FROM rule, (SELECT 'aya' AS backend) WHERE class IN ('credential reads', 'DNS queries') GROUP BY backend
+)
+SELECT recording_id, to_json(struct_pack(results := coalesce(results, []), rules := coalesce(rules, []), notifications := list_filter(list_concat([{TOLD}], coalesce(not_run, []), [{LEFT}]), lambda x: x IS NOT NULL))) AS sarif_json
+FROM rc LEFT JOIN res USING (recording_id) LEFT JOIN ru USING (recording_id) LEFT JOIN nr ON nr.b = rc.backend""",
+)
 def _(spark, d):
     e = events(spark, d)
     recordings = rules.recording_counts(e).withColumn("is_partial", rules.is_partial())  # as evaluate has them, without finding everything twice

@@ -28,7 +28,7 @@ def brute(analysis, found, skipped, reasons):
             notes.append(("note", f"{a.unresolved} path(s) could not be resolved to an absolute location and were not checked against the expected directories", "unresolved_paths"))
         yield a.recording_id, {
             "results": [{"ruleId": f.rule_id, "level": LEVEL[f.severity][0], "rank": LEVEL[f.severity][1], "message": f.title, "occurrences": f.occurrences} for f in fs],
-            "rules": [{"id": r, "shortDescription": f.title, "help": "See the InstallScope rule catalog.", "severity": f.severity} for r, f in sorted(first.items())],
+            "rules": [{"id": r, "shortDescription": f.title, "help": "See the rule catalog.", "severity": f.severity} for r, f in sorted(first.items())],
             "notifications": [{"level": x, "message": m, "id": i} for x, m, i in notes],
         }
 
