@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import bpe, fingerprint, jaccard, language, mixing, quality, repetition, secrets, sharding, substring
+from spoor.llm import bpe, fingerprint, jaccard, language, mixing, packing, quality, repetition, secrets, sharding, spelling, substring
 from spoor.llm.common import documents, tokenizer_path
 
 
@@ -48,7 +48,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_linked_secrets, op3_language_ecoc, op4_adaptive_prefixes, op5_fingerprint_index, op6_suffix_repetition, op7_bottom_k, op8_quality_ftrl, op9_mixing, op10_bpe)}
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_extendible_sharding,
+        op2_linked_secrets,
+        op3_language_ecoc,
+        op4_adaptive_prefixes,
+        op5_fingerprint_index,
+        op6_suffix_repetition,
+        op7_bottom_k,
+        op8_quality_ftrl,
+        op9_mixing,
+        op10_bpe,
+        op11_trie_pairs,
+        op13_deficit_packing,
+    )
+}
 
 OP1_SQL = f"""
 WITH d AS (
