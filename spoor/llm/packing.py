@@ -30,7 +30,7 @@ END = 0
 BLOCK = 1 << 14
 #: Chunks that a task remembers, and the longest of them.
 MEMO, LONG = 400_000, 64
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where the pre-tokenizer always cuts: before the one space ahead of a word, and around white space.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 

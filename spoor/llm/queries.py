@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import bpe, fingerprint, jaccard, language, mixing, packing, quality, repetition, secrets, sharding, spelling, substring
+from spoor.llm import bpe, fingerprint, jaccard, language, mixing, packing, quality, repetition, rtree, secrets, sharding, spelling, substring
 from spoor.llm.common import documents, tokenizer_path
 
 
@@ -52,6 +52,10 @@ def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_packed_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op9_mixing,
         op10_bpe,
         op11_trie_pairs,
+        op12_packed_rtree,
         op13_deficit_packing,
     )
 }
@@ -183,4 +188,55 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM p
 """
 
-ORACLE_SQL = {"op1_extendible_sharding": OP1_SQL, "op4_adaptive_prefixes": OP4_SQL, "op5_fingerprint_index": OP5_SQL, "op6_suffix_repetition": OP6_SQL, "op9_mixing": OP9_SQL}
+# The checksum of document and run is worked out byte by byte, with the usual table of 256 remainders. A pair of words one letter apart shares what is
+# left of both when a letter is left out at the same place (replaced), or one word is the other without a letter.
+OP11_SQL = r"""
+WITH RECURSIVE table_of(b, k, c) AS (
+  SELECT range, 0, range FROM range(0, 256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM table_of WHERE k < 8
+), t AS (SELECT list(c ORDER BY b) AS crc FROM table_of WHERE k = 8
+), r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL
+), x AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM r
+), h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(bytes), 2), lambda i: ('0x' || substr(bytes, i, 2))::BIGINT)),
+    lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM x, t
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+), v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), s AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v
+), d AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM s
+), p AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.a = y.a AND x.b = y.b AND x.i = y.i AND x.word <> y.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.a || d.b
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.a || d.b
+), f AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -near_n, near := near)) AS best FROM p GROUP BY word
+), o AS (
+  SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * v.n THEN best.near END AS form, CASE WHEN -best.m >= 2 * v.n THEN -best.m END AS form_n
+  FROM v LEFT JOIN f ON f.word = v.word
+), chain(word, root) AS (SELECT word, word FROM o UNION SELECT c.word, o.form FROM chain c JOIN o ON o.word = c.root WHERE o.form IS NOT NULL
+), e AS (SELECT c.word, c.root FROM chain c JOIN o ON o.word = c.root WHERE o.form IS NULL)
+SELECT o.word, o.form, e.root, o.n, CAST(o.n_near AS BIGINT) AS n_near, CAST(o.form_n AS BIGINT) AS form_n FROM o JOIN e ON e.word = o.word
+"""
+
+OP12_SQL = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op11_trie_pairs": OP11_SQL, "op12_packed_rtree": OP12_SQL, "op1_extendible_sharding": OP1_SQL, "op4_adaptive_prefixes": OP4_SQL, "op5_fingerprint_index": OP5_SQL, "op6_suffix_repetition": OP6_SQL, "op9_mixing": OP9_SQL}
