@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,21 +30,32 @@ WINDOW = 64 * LENGTH
 END = 0
 #: Windows whose totals are added up in one task.
 BLOCK = 1 << 14
-#: Chunks that a task remembers, and the longest of them.
-MEMO, LONG = 400_000, 64
+#: Chunks that a task remembers, about 200 bytes each, and the longest of them.
+MEMO, LONG = 1_000_000, 64
+#: Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where the pre-tokenizer always cuts: before the one space ahead of a word, and around white space.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
+def encoder(codec: Codec) -> Callable[[str], list[int]]:
+    """The ids of a text without special tokens. Where a vocabulary numbers its merges in their order, as the public ones do, the numbers alone
+    tell the order, and a library does it; else the codec."""
+    if any(a >= b for a, b in pairwise(codec.made)):
+        return codec.encode_ordinary
+    ranks = {codec.bytes_of[i]: i for i in codec.vocabulary["vocab"].values() if i not in codec.special.values()}
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Chunks(dict):
     """The ids of chunks of text met so far, as bytes of unsigned 32-bit numbers; emptied when full."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.encode_chunk = codec, encoder(codec)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.codec.encode_ordinary(chunk), "<u4").tobytes()
+        ids = np.array(self.encode_chunk(chunk), "<u4").tobytes()
         if len(chunk) <= LONG:
             if len(self) >= MEMO:
                 self.clear()
