@@ -6,12 +6,11 @@ size - least overlap + l, for any l. A document whose prefix would meet many oth
 words, gets a larger l: a longer prefix, of which more has to be shared. What is left of a document's
 prefix when n-grams that nobody shares are taken away decides whether it can have a partner at all.
 
-The others are verified in families. A family is grown from stars: a document joins the one that
-heads an n-gram if they share as many prefix n-grams as the multi-match rule asks for; so a family of m
-documents costs m edges and not m x m pairs. Its whole sets are then compared in square blocks of bounded size.
-Documents of different families that may still be linked share several n-grams that are open, held by more
+The others are verified in stars: in each round a document is compared with the head of its n-grams with which it shares as many as the
+multi-match rule asks for. Families are the components of the links so found; a family of m documents costs m comparisons a round and
+not m x m. Documents of different families that may still be linked share several n-grams that are open, held by more
 than one family. The rule of prefixes applies to these once more, the least shared ones first, and what holds one of
-the few that are left is compared in such blocks too. No pairs are listed anywhere.
+the few that are left is compared in square blocks of bounded size, across families only. No pairs are listed anywhere.
 """
 
 from __future__ import annotations
@@ -166,9 +165,9 @@ def profiles(docs: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, size long, node long, twin long, matches int, prefix array<long>")
 
 
-def forest(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a block: between side 0 and side 1, or, if all are of side 0,
-    among all."""
+def forest(sizes: np.ndarray, sides: np.ndarray, families: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between families in a block: between side 0 and side 1, or, if all are of side 0, among
+    all."""
     k = len(sets)
     _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = times[gram] > 1
@@ -181,6 +180,7 @@ def forest(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent
         common += m @ m.T
     common = common.astype(np.int64)
     linked = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
+    linked &= families[:, None] != families[None, :]
     if sides.any():
         linked &= sides[:, None] != sides[None, :]
     parent = list(range(k))
@@ -256,25 +256,28 @@ def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return out
 
 
-def families(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``node, family`` for the sets that a star reached, and ``head, node`` of the groups across families that are still to
-    be compared.
+def families(docs: DataFrame, sets: DataFrame, met: DataFrame, n: int, percent: int, known: Known) -> tuple[DataFrame | None, DataFrame]:
+    """Links ``a, b`` found by stars, and ``head, node, family`` of the groups across families that are still to be compared.
 
-    Two linked sets of different families share at least ``sure_matches`` open n-grams, so of each set's, the least
-    shared first, all but the last sure - 1 are enough to bring them together.
+    In each round every n-gram has a head, and a document is compared with the one head with which it shares most, if these are as
+    many n-grams as the smaller of the two numbers of matches they ask for. Families are the components of links, so a family of m
+    documents ships each set about once a round. Two linked sets of different families share at least ``sure_matches`` open
+    n-grams, so of each set's, the least shared first, all but the last sure - 1 are enough to bring them together.
     """
     spark = met.sparkSession
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     rows = materialize(met.select("node", "size", "matches", "center", F.explode("grams").alias("gram"), F.col("node").alias("family")), "jaccard-rows")
-    found, edges = None, None
+    edges = None
     for k in range(ROUNDS):
         # The set that shares most heads an n-gram first; later rounds draw another.
         rank = F.struct(-F.col("center"), "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
         heads = rows.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "matches", "family").alias("h"))).alias("m")).select("gram", "m.h")
         stars = rows.join(heads, "gram").where((F.col("family") != F.col("h.family")) & fits(F.col("size"), F.col("h.size")))
-        stars = stars.groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("matches", "h.matches")).alias("need"))
-        new = materialize(stars.where("n >= need").select("a", "b"), "jaccard-stars")
-        edges = new if edges is None else materialize(edges.unionByName(new), "jaccard-stars")
+        stars = stars.groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("matches", "h.matches")).alias("need")).where("n >= need")
+        stars = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), "jaccard-stars")
+        new = verified(docs, stars, sets, n, percent, known)
+        edges = new if edges is None else materialize(edges.unionByName(new), "jaccard-links")
+        discard(spark, stars.scratch_path)
         found = components(edges).select("node", F.col("label").alias("family"))
         named = rows.drop("family").join(found, "node", "left").withColumn("family", F.coalesce("family", "node"))
         named = materialize(named, "jaccard-rows")
@@ -290,74 +293,111 @@ def families(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # N-grams with the same holders are one group.
     groups = few.groupBy("gram").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x != y")
     heads = groups.groupBy("n", "who").agg(F.min("gram").alias("gram")).select("gram")
-    apart = materialize(few.join(heads, "gram").select(F.col("gram").alias("head"), "node"), "jaccard-apart")
+    apart = materialize(few.join(heads, "gram").select(F.col("gram").alias("head"), "node", "family"), "jaccard-apart")
     for table in (rows, few):
         discard(spark, table.scratch_path)
-    return found, apart
+    return edges, apart
+
+
+def verified(docs: DataFrame, stars: DataFrame, sets: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
+    """Those of ``stars`` (a, b) that are links. Each a's set is sent once, each b's once for every ``SIDE`` of its a."""
+    split = stars.join(stars.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("parts")), "b")
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    place = lambda i, second: F.struct(F.col("b").alias("head"), i.alias("i"), F.lit(0).alias("j"), F.lit(second).alias("second"), F.lit(0).cast("long").alias("family"))
+    members = split.select(F.col("a").alias("node"), place(part, 1).alias("place"))
+    heads = split.groupBy("b").agg(F.first("parts").alias("parts")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("b").alias("node"), place(F.col("i"), 0).alias("place"))
+    needed = members.unionByName(heads).groupBy("node").agg(F.collect_list("place").alias("places"))
+    placed = _placed_sets(docs, needed, sets, n, known).repartition("head", "i").sortWithinPartitions("head", "i", "second")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            head, i, second, node = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("head", "i", "second", "node"))
+            grams = batch.column(batch.schema.get_field_index("grams"))
+            a, b = [], []
+            for k in range(batch.num_rows):
+                mine = np.frombuffer(grams[k].as_buffer(), np.uint64)
+                if not second[k]:
+                    at, own = (head[k], i[k]), np.sort(mine)
+                    continue
+                assert at == (head[k], i[k])  # its head comes first
+                place = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+                common = int((own[place] == mine).sum())
+                if 100 * common >= percent * (len(own) + len(mine) - common):
+                    a.append(node[k])
+                    b.append(head[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return materialize(placed.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def links(docs: DataFrame, profile: DataFrame, sets: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     """Edges ``a, b`` between ids of sets: all of them are links, and every link's ends are connected."""
     spark = docs.sparkSession
     met = met_prefixes(profile, sets, percent)
-    family, apart = families(met, percent)
-    members = family.select(F.col("family").alias("head"), "node", F.lit(0).alias("kind")).unionByName(apart.select("head", "node", F.lit(1).alias("kind")))
-    members = materialize(members, "jaccard-groups")
-
-    # Groups of many or large sets are dealt to several sides; every two sides are one block.
-    sized = members.join(sets.select(F.col("id").alias("node"), "size", "doc_id", "tie"), "node")
-    totals = sized.groupBy("head", "kind").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams")).where("m > 1")
-    sides = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(F.col("grams") * 8 / SIDE_BYTES)).cast("int")
-    sized = sized.join(totals.select("head", "kind", sides.alias("sides")), ["head", "kind"])
-    side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
-    needed = sized.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"), F.collect_list(F.struct("head", "kind", side.alias("side"), "sides")).alias("groups"))
-    placed = _placed_sets(docs, materialize(needed, "jaccard-needed"), n, known)
+    edges, apart = families(docs, sets, met, n, percent, known)
+
+    # What is left is compared across families only: the largest family of a group is dealt to sides of its own, which never meet each
+    # other, so that a few strangers meet a large family once.
+    sized = apart.join(sets.select(F.col("id").alias("node"), "size"), "node")
+    of_family = sized.groupBy("head", "family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"))
+    parts = lambda m, grams: F.greatest(F.ceil(m / SIDE), F.ceil(grams * 8 / SIDE_BYTES)).cast("int")
+    totals = of_family.groupBy("head").agg(F.sum("m").alias("m"), F.sum("grams").alias("grams"), F.max(F.struct("m", "grams", "family")).alias("most"))
+    totals = totals.select("head", F.col("most.family").alias("largest"), parts(F.col("most.m"), F.col("most.grams")).alias("own_sides"), parts(F.col("m") - F.col("most.m"), F.col("grams") - F.col("most.grams")).alias("others"))
+    sized = sized.join(totals, "head")
+    own = F.col("family") == F.col("largest")
+    side = F.when(own, F.col("others") + F.pmod(F.xxhash64("node"), F.col("own_sides"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    sized = sized.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("own_sides")) - 1)))
+    place = F.struct("head", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), (F.col("side") > F.col("other")).cast("int").alias("second"), "family")
+    placed = _placed_sets(docs, sized.groupBy("node").agg(F.collect_list(place).alias("places")), sets, n, known)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
         grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
         second = rows["second"].to_numpy() if rows["i"].iloc[0] != rows["j"].iloc[0] else np.zeros(len(rows), np.int64)
-        edges = forest(rows["size"].to_numpy(np.int64), second, grams, percent)
-        return pd.DataFrame([(node[a], node[b]) for a, b in edges], columns=["a", "b"], dtype=np.int64)
+        found = forest(rows["size"].to_numpy(np.int64), second, rows["family"].to_numpy(np.int64), grams, percent)
+        return pd.DataFrame([(node[a], node[b]) for a, b in found], columns=["a", "b"], dtype=np.int64)
 
-    # Two sides of a block meet only if both have members; a lone document has nothing to meet.
-    out = materialize(placed.groupBy("head", "kind", "i", "j").applyInPandas(block, "a long, b long"), "jaccard-links")
-    for table in (met, apart, members):
+    rest = placed.groupBy("head", "i", "j").applyInPandas(block, "a long, b long")
+    out = materialize(edges.unionByName(rest) if edges is not None else rest, "jaccard-links")
+    for table in (met, apart):
         discard(spark, table.scratch_path)
     return out
 
 
-def _placed_sets(docs: DataFrame, needed: DataFrame, n: int, known: Known) -> DataFrame:
-    """Whole sets of one document per node, a row for each block that it belongs to:
-    ``head, kind, i, j, second, node, size, grams``."""
+def _placed_sets(docs: DataFrame, needed: DataFrame, sets: DataFrame, n: int, known: Known) -> DataFrame:
+    """Whole sets of the ``needed`` (node, places), a row for each place: ``head, i, j, second, family, node, size, grams``. The text is that of the
+    document that stands for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
         for part, texts in blocks(batches, 2):
-            rows = []
-            for node, groups, (grams, _) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), gram_sets(texts, n, hashes, known), strict=True):
+            rows, room = [], 0
+            for node, places, (grams, _) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), gram_sets(texts, n, hashes, known), strict=True):
                 if node in met:  # a row that repeats
                     continue
                 met.add(node)
                 whole = grams.tobytes()
-                for g in groups:
-                    for other in range(g["sides"]):
-                        rows.append((g["head"], g["kind"], min(g["side"], other), max(g["side"], other), int(g["side"] > other), node, len(grams), whole))
-                        if len(rows) >= 512:
-                            yield _batch(rows)
-                            rows = []
+                for p in places:
+                    rows.append((p["head"], p["i"], p["j"], p["second"], p["family"], node, len(grams), whole))
+                    room += len(whole)
+                    if room >= SIDE_BYTES:
+                        yield _batch(rows)
+                        rows, room = [], 0
             if rows:
                 yield _batch(rows)
 
-    w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", "groups")
+    spark = docs.sparkSession
+    needed = materialize(needed.join(sets.select(F.col("id").alias("node"), "doc_id", "tie"), "node"), "jaccard-needed")
+    w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", "places")
     docs = Sieve(needed.select(key_of().alias("k")), "k").keep(docs.withColumn("k", key_of()), "k")
     rows = docs.join(w.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(w["w_doc_id"]) & (docs["tie"] == w["w_tie"]))
-    return rows.select("node", "groups", "text").mapInArrow(run, "head long, kind int, i int, j int, second int, node long, size long, grams binary")
+    return rows.select("node", "places", "text").mapInArrow(run, "head long, i int, j int, second int, family long, node long, size long, grams binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 2, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "kind", "i", "j", "second", "node", "size", "grams"])
+    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 3, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "i", "j", "second", "family", "node", "size", "grams"])
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -377,8 +417,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nodes = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "first", F.coalesce("label", "id").alias("label"))
     heads = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
     nodes = nodes.join(heads, "label").select("node", "twin", "label", "component_id")
-    rows = profile.select("doc_id", "tie", F.col("size").alias("n_shingles"), "node", "twin").join(nodes, ["node", "twin"], "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tie", "label")
+    rows = profile.select("doc_id", "tie", F.col("size").alias("n_shingles"), "node", "twin")
+    alone = rows.where("node is null").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")})
+    out = rows.where("node is not null").join(nodes, ["node", "twin"]).unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", "tie", "label")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
