@@ -152,6 +152,12 @@ def version_diff(events: DataFrame) -> DataFrame:
     return both.select(*key, change.alias("change"), behavior_class().alias("class"), behavior_summary().alias("summary"))
 
 
+def class_counts(diff: DataFrame) -> DataFrame:
+    """Per pair of versions and class of behaviour how many came, went and stayed."""
+    count = lambda c: F.count(F.when(F.col("change") == c, 1)).alias(c)
+    return diff.groupBy("package", "before_version", "after_version", "class").agg(count("added"), count("removed"), count("unchanged"))
+
+
 def comparison_summary(events: DataFrame, diff: DataFrame | None = None) -> DataFrame:
     """Per pair of versions: counts, blockers, caveats, whether comparable and identical, and the headline. A pair in which
     neither side did anything is there too. ``diff``: that of ``version_diff``, where it is there already."""

@@ -18,9 +18,19 @@ EXPECTED = [
     "find", "xargs", "sort", "uniq", "head", "tail", "tr", "wc", "date", "hostname", "id", "tar", "gzip", "gunzip", "unzip", "bzip2", "xz", "zstd", "git", "pkg-config", "libtool", "m4", "gmake", "ccache", "sccache",
     "prebuild-install", "node-pre-gyp", "cmake", "ninja", "rustc", "cargo",
 ]
+SHELLS = ["sh", "bash", "dash", "zsh", "ksh", "csh", "tcsh", "fish"]
+DOWNLOADS = r"\b(curl|wget|fetch)\b"
+INTO_INTERPRETER = r"\|\s*(sudo\s+)?(sh|bash|dash|zsh|python[0-9.]*|perl|ruby|node)\b"
 NO_CANDIDATES = ["install_downloads_from_non_registry_host", "network_connect_external", "npmrc_access"]
 
 
+def pipes_download(argv: Column) -> Column:
+    """Whether a shell is given a script that pipes a download into an interpreter."""
+    script = F.get(argv, F.array_position(argv, F.lit("-c")).cast("int"))  # positions count from 1, so this is the one behind
+    given = (F.size(argv) >= 3) & F.array_contains(argv, "-c")
+    return F.coalesce(given & paths.basename(F.get(argv, F.lit(0))).isin(SHELLS) & script.rlike(DOWNLOADS) & script.rlike(INTO_INTERPRETER), F.lit(False))
+
+
 def legacy_zone() -> Column:
     c = F.col
     path = c("path")
@@ -52,7 +62,7 @@ def legacy_findings(events: DataFrame) -> DataFrame:
     binary = host.rlike(BINARY_HOSTS)
     usual = F.coalesce(c("port").isin(80, 443), lit(False))
     file_op, credential = op.isin("fs_read", "fs_write") & ~F.coalesce(chmod, lit(False)), F.coalesce(c("path").rlike(CREDENTIALS), lit(False))
-    spawned, piped = (op == "proc_spawn") & worked, proc.pipes_download_to_shell(c("argv"), lit(False))
+    spawned, piped = (op == "proc_spawn") & worked, pipes_download(c("argv"))
     all_found = F.array_compact(
         F.array(
             found((op == "fs_write") & ~F.coalesce(chmod, lit(False)) & worked & (c("zone") == "outside"), "write_outside_expected_dirs", "critical", c("path")),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 IDENTITY = ["repo", "name", "version"]
-#: Sources whose code comes from elsewhere.
-EXTERNAL = ["remote", "git"]
+#: Sources whose code comes from elsewhere. What is unknown counts, since it may.
+EXTERNAL = ["remote", "git", "unknown"]
 INTRODUCES = ["added", "version_changed", "integrity_changed", "source_changed"]
 
 

@@ -298,22 +298,31 @@ def sarif_rows(events: DataFrame, found: DataFrame, analysis: DataFrame, skipped
     return rows.select("recording_id", F.to_json(F.struct(empty("results", results), empty("rules", rules), told.alias("notifications"))).alias("sarif_json"))
 
 
+#: What a report says where it has no finding to show.
+HEADLINES = {"clean": "Nothing outside expected behavior", "findings": "Surprise index", "partial": "Recording incomplete", "clean_with_caveat": "Nothing outside expected behavior, with gaps"}
+
+
 def report_markdown(analysis: DataFrame, found: DataFrame, events: DataFrame) -> DataFrame:
-    """A short text per recording: score, PARTIAL mark with its reasons, at most three bullets and how many more, unresolved
-    paths, and what its recorder cannot see."""
+    """A short text per recording: score, PARTIAL mark with its reasons, at most three bullets of findings that count and how many more of
+    these, or a sentence where there are none, what its recorder cannot see, unresolved paths, and the checks that did not run."""
+    found = found.where("severity <> 'low'")
     bullets = select_bullets(found).groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "bullet"))), lambda b: F.concat(F.lit("- "), b["bullet"])), "\n").alias("bullets"), F.count(F.lit(1)).alias("shown"))
     totals = found.groupBy("recording_id").agg(F.count(F.lit(1)).alias("total"))
     rows = analysis.join(totals, "recording_id", "left").join(bullets, "recording_id", "left").join(partial_reasons(events), "recording_id", "left")
     rows = rows.join(F.broadcast(caveats(analysis.sparkSession).select("backend", "caveat")), "backend", "left")
+    skipped = skipped_rules(events).groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "reason"))), lambda s: F.concat(F.lit("- `"), s["rule_id"], F.lit("` — "), s["reason"])), "\n").alias("skipped"))
+    rows = rows.join(skipped, "recording_id", "left")
     more = F.col("total") - F.col("shown")
+    headline = F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in HEADLINES.items() for x in kv]), F.col("verdict")), F.lit("."))
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("**"), "package", F.lit("@"), "version", F.lit("** "), "score_text"),
         F.when(F.col("is_partial"), F.concat(F.lit("PARTIAL: "), "reasons")),
-        F.col("bullets"),
-        F.when(more > 0, F.concat(F.lit("…and "), more.cast("string"), F.lit(" more"))),
-        F.when(F.col("unresolved") > 0, F.concat(F.col("unresolved").cast("string"), F.lit(" paths could not be placed"))),
+        F.coalesce("bullets", headline),
+        F.when(more > 0, F.concat(F.lit("- …and "), more.cast("string"), F.lit(" more finding"), F.when(more == 1, "").otherwise("s"), F.lit(" in the full evidence"))),
         F.col("caveat"),
+        F.when(F.col("unresolved") > 0, F.concat(F.col("unresolved").cast("string"), F.when(F.col("unresolved") == 1, " path").otherwise(" paths"), F.lit(" could not be resolved to an absolute location"))),
+        F.when(F.col("skipped").isNotNull(), F.concat(F.lit("Checks that did not run on this backend:\n"), "skipped")),
     )
     return rows.select("recording_id", text.alias("markdown"))
 

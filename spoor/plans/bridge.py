@@ -56,7 +56,7 @@ LOCK = """
 SELECT l_suppkey AS repo, CASE WHEN l_linestatus = 'F' THEN 'before' ELSE 'after' END AS side,
   'p' || CAST(l_partkey % 40 AS STRING) AS name, CAST(l_linenumber AS STRING) AS version,
   CASE WHEN CAST(l_quantity AS INT) % 10 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS integrity,
-  CASE WHEN l_tax >= 0.08 THEN 'git' WHEN l_discount >= 0.10 THEN 'directory' ELSE 'remote' END AS source_kind,
+  CASE WHEN l_tax >= 0.08 THEN 'git' WHEN l_discount >= 0.10 THEN 'directory' WHEN l_tax >= 0.01 AND l_tax < 0.02 THEN 'unknown' ELSE 'remote' END AS source_kind,
   l_returnflag = 'R' AS dev, false AS optional,
   'p' || CAST(l_partkey % 40 AS STRING) || '/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING) || '/' || CAST(CAST(l_quantity AS INT) AS STRING)
     || '/' || CAST(CAST(round(l_tax * 100) AS INT) AS STRING) || '/' || CAST(CAST(round(l_discount * 100) AS INT) AS STRING) || '/' || l_returnflag AS key

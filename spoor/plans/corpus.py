@@ -22,7 +22,7 @@ def query(name, sql=None):
 
 LOCK = f"""
 WITH l AS ({bridge.duckdb(bridge.LOCK)}
-), e AS (SELECT side, repo, name, version, arg_min(struct_pack(i := integrity, s := source_kind, d := dev), key) AS p FROM l WHERE source_kind IN ('remote', 'git') GROUP BY ALL
+), e AS (SELECT side, repo, name, version, arg_min(struct_pack(i := integrity, s := source_kind, d := dev), key) AS p FROM l WHERE source_kind IN ('remote', 'git', 'unknown') GROUP BY ALL
 ), b AS (SELECT coalesce(x.repo, y.repo) AS repo, coalesce(x.name, y.name) AS name, coalesce(x.version, y.version) AS version, x.p AS o, y.p AS n
   FROM (SELECT * FROM e WHERE side = 'before') x FULL JOIN (SELECT * FROM e WHERE side = 'after') y ON x.repo = y.repo AND x.name = y.name AND x.version = y.version
 ), same AS (

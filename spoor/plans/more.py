@@ -170,6 +170,21 @@ def _(spark, d):
     return legacy.legacy_findings(bridge.events(spark, d))
 
 
+#: Command lines on both sides of the first rule set's pipe rule, and whether it finds them.
+PIPES = [
+    (["fish", "-c", "curl u | sh"], True), (["sh", "-c", "curl u | shasum -a 256"], False), (["sh", "-c", "my-curl u | sh"], True), (["/bin/zsh", "-e", "-c", "fetch u |sudo  python3.11 -"], True),
+    (["python", "-c", "curl u | sh"], False), (["sh", "-c", "scurl u | sh"], False), (["bash", "-c"], False), (["tcsh", "-c", "wget u | node app"], True),
+]
+PIPED = f"""SELECT recording_id, [{words(" ".join(a) for a, _ in PIPES)}][seq % 8 + 1] AS command, [{", ".join(str(p).lower() for _, p in PIPES)}][seq % 8 + 1] AS piped FROM p WHERE op = 'proc_spawn' AND coalesce(ok, true)"""
+
+
+@query("legacy_pipes", BASE + f"SELECT recording_id, CASE WHEN piped THEN 'download_piped_to_shell' ELSE 'spawned_unexpected_binary' END AS rule, CASE WHEN piped THEN 'critical' ELSE 'medium' END AS severity, CASE WHEN piped THEN command ELSE 'x' END AS subject, count(*) AS occurrences FROM ({PIPED}) GROUP BY ALL")
+def _(spark, d):
+    spawns = bridge.events(spark, d).where("op = 'proc_spawn'")
+    lines = F.array(*[F.array(*map(F.lit, a)) for a, _ in PIPES])
+    return legacy.legacy_findings(spawns.withColumns({"argv": F.get(lines, (F.col("seq") % 8).cast("int")), "bin": F.lit("/opt/x")}))
+
+
 @query("legacy_classify", LEGACY + "SELECT *, least(raw, 100) AS score FROM le")
 def _(spark, d):
     return legacy.legacy_classify(bridge.events(spark, d))

@@ -240,13 +240,16 @@ def _(spark, d):
 @query(
     "report_markdown",
     BASE
-    + """, t AS (SELECT *, max(CASE WHEN severity <> 'low' THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id) AS scorable FROM fo
-), u AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY place) AS n FROM t WHERE scorable = 0 OR severity <> 'low'
+    + """, u AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY place) AS n FROM fo WHERE severity <> 'low'
 ), v AS (SELECT recording_id, string_agg('- ' || title || CASE WHEN severity = 'critical' THEN ' (critical)' ELSE '' END || CASE WHEN occurrences > 1 THEN ' — ' || occurrences || ' times' ELSE '' END, chr(10) ORDER BY n) AS bullets, count(*) AS shown FROM u WHERE n <= 3 GROUP BY recording_id
-), w AS (SELECT recording_id, count(*) AS total FROM f GROUP BY recording_id)
-SELECT a.recording_id, concat_ws(chr(10), '**' || package || '@' || version || '** ' || score_text, CASE WHEN is_partial THEN 'PARTIAL: ' || CASE WHEN has_end THEN 'no reason recorded' ELSE 'the recording has no session_end event; it may have been truncated' END END, bullets,
-  CASE WHEN total > shown THEN '…and ' || (total - shown) || ' more' END, CASE WHEN unresolved > 0 THEN unresolved || ' paths could not be placed' END,
-  CASE WHEN backend = 'aya' THEN 'Not checked by the aya backend: credential reads, DNS queries. Absence of these findings is not evidence they did not happen.' END) AS markdown
+), w AS (SELECT recording_id, count(*) AS total FROM f WHERE severity <> 'low' GROUP BY recording_id
+), sk AS (SELECT string_agg('- `' || rule_id || '` — the aya backend does not observe ' || class, chr(10) ORDER BY rule_id) AS skipped FROM rule WHERE class IN ('credential reads', 'DNS queries'))
+SELECT a.recording_id, concat_ws(chr(10), '**' || package || '@' || version || '** ' || score_text, CASE WHEN is_partial THEN 'PARTIAL: ' || CASE WHEN has_end THEN 'no reason recorded' ELSE 'the recording has no session_end event; it may have been truncated' END END,
+  coalesce(bullets, CASE verdict WHEN 'clean' THEN 'Nothing outside expected behavior.' WHEN 'partial' THEN 'Recording incomplete.' WHEN 'findings' THEN 'Surprise index.' ELSE 'Nothing outside expected behavior, with gaps.' END),
+  CASE WHEN total > shown THEN '- …and ' || (total - shown) || ' more finding' || CASE WHEN total - shown = 1 THEN '' ELSE 's' END || ' in the full evidence' END,
+  CASE WHEN backend = 'aya' THEN 'Not checked by the aya backend: credential reads, DNS queries. Absence of these findings is not evidence they did not happen.' END,
+  CASE WHEN unresolved > 0 THEN unresolved || CASE WHEN unresolved = 1 THEN ' path' ELSE ' paths' END || ' could not be resolved to an absolute location' END,
+  CASE WHEN backend = 'aya' THEN 'Checks that did not run on this backend:' || chr(10) || (SELECT skipped FROM sk) END) AS markdown
 FROM a LEFT JOIN v USING (recording_id) LEFT JOIN w USING (recording_id)""",
 )
 def _(spark, d):
@@ -345,6 +348,15 @@ def _(spark, d):
     return behavior.version_diff(events(spark, d)).select("package", "before_version", "after_version", "class", "summary", "kind", "change")
 
 
+@query(
+    "comparison_classes",
+    BEHAVIOR
+    + """SELECT package, before_version, after_version, class, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'unchanged') AS unchanged FROM vd GROUP BY ALL""",
+)
+def _(spark, d):
+    return behavior.class_counts(behavior.version_diff(events(spark, d)))
+
+
 @query("comparison_summary", BEHAVIOR + "SELECT *, blockers = '' AS comparable, added = 0 AND removed = 0 AS identical FROM cs")
 def _(spark, d):
     return behavior.comparison_summary(events(spark, d))

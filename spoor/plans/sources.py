@@ -101,7 +101,7 @@ Q["snapshot_push_recordings"] = snapshot_push_recordings
 
 def read_lockfiles(spark, d):
     """The lock packages of each repository and side, written as a flat lockfile and read again."""
-    packages = bridge.lock_packages(spark, d).where("source_kind <> 'directory'")
+    packages = bridge.lock_packages(spark, d).where("source_kind not in ('directory', 'unknown')")  # npm's files tell no other kind
     url = F.when(F.col("source_kind") == "git", F.lit("git+https://h.example/x.git")).otherwise(F.lit("https://r.example/x.tgz"))
     entry = F.struct("version", url.alias("resolved"), "integrity", "dev")
     key = F.concat(F.lit("node_modules/"), "key", F.lit("/node_modules/"), "name")
@@ -115,7 +115,7 @@ def read_lockfiles(spark, d):
 
 Q["read_lockfiles"] = read_lockfiles
 SQL["read_lockfiles"] = f"""SELECT DISTINCT repo || ':' || side AS lockfile_id, 'node_modules/' || key || '/node_modules/' || name AS key, name, version, source_kind, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
-FROM ({bridge.duckdb(bridge.LOCK)}) WHERE source_kind <> 'directory'"""
+FROM ({bridge.duckdb(bridge.LOCK)}) WHERE source_kind NOT IN ('directory', 'unknown')"""
 
 
 def read_pnpm_lockfiles(spark, d):
@@ -124,7 +124,7 @@ def read_pnpm_lockfiles(spark, d):
     packages = bridge.lock_packages(spark, d).dropDuplicates(["repo", "side", "key"])
     key = F.concat(F.lit("  /"), "name", F.lit("@"), "version", F.lit("("), F.regexp_replace("key", "/", "-"), F.lit("):\n"))
     hashed = F.coalesce(F.concat(F.lit("integrity: "), "integrity", F.lit(", ")), F.lit(""))
-    resolution = F.when(c("source_kind") == "git", "repo: https://h.example/x.git, commit: abc").when(c("source_kind") == "directory", "directory: ../local, type: directory").otherwise(F.concat(hashed, F.lit("tarball: https://r.example/x.tgz")))
+    resolution = F.when(c("source_kind") == "git", "repo: https://h.example/x.git, commit: abc").when(c("source_kind") == "directory", "directory: ../local, type: directory").when(c("source_kind") == "unknown", "type: custom").otherwise(F.concat(hashed, F.lit("tarball: https://r.example/x.tgz")))
     entry = F.concat(key, F.lit("    resolution: {"), resolution, F.lit("}\n    engines: {node: '>=10'}\n    dependencies:\n      other: 1.0.0\n    dev: "), c("dev").cast("string"), F.lit("\n"))
     files = packages.groupBy("repo", "side").agg(F.array_join(F.collect_list(entry), "\n").alias("entries"))
     content = F.concat(F.lit("lockfileVersion: '6.0'\n\nsettings:\n  autoInstallPeers: true\n\ndependencies:\n  p1:\n    specifier: ^1.0.0\n    version: 1.0.0\n\npackages:\n\n"), "entries")
@@ -134,5 +134,5 @@ def read_pnpm_lockfiles(spark, d):
 
 Q["read_pnpm_lockfiles"] = read_pnpm_lockfiles
 SQL["read_pnpm_lockfiles"] = f"""SELECT DISTINCT repo || ':' || side AS lockfile_id, '/' || name || '@' || version || '(' || replace(key, '/', '-') || ')' AS key, name, version, source_kind,
-  CASE source_kind WHEN 'git' THEN 'https://h.example/x.git#abc' WHEN 'directory' THEN '../local' ELSE 'https://r.example/x.tgz' END AS url, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
+  CASE source_kind WHEN 'git' THEN 'https://h.example/x.git#abc' WHEN 'directory' THEN '../local' WHEN 'unknown' THEN NULL ELSE 'https://r.example/x.tgz' END AS url, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
 FROM ({bridge.duckdb(bridge.LOCK)})"""
