@@ -6,11 +6,12 @@ size - least overlap + l, for any l. A document whose prefix would meet many oth
 words, gets a larger l: a longer prefix, of which more has to be shared. What is left of a document's
 prefix when n-grams that nobody shares are taken away decides whether it can have a partner at all.
 
-The others are verified in stars: in each round a document is compared with the head of its n-grams with which it shares as many as the
-multi-match rule asks for. Families are the components of the links so found; a family of m documents costs m comparisons a round and
-not m x m. Documents of different families that may still be linked share several n-grams that are open, held by more
-than one family. The rule of prefixes applies to these once more, the least shared ones first, and what holds one of
-the few that are left is compared in square blocks of bounded size, across families only. No pairs are listed anywhere.
+The others are verified in stars: in each round a document is compared with the head of its n-grams with which it shares most, if these are as
+many as the multi-match rule asks for. Families are the components of the links so found; a family of m documents costs m
+comparisons a round and not m x m. Documents that a star brought together but that are not of one family are compared in square blocks of
+bounded size, across families only. Those that no star brought together and that may still be linked share several n-grams that
+are open. The rule of prefixes applies to these once more, the least shared ones first, and what holds one of the few that are
+left is compared in such blocks too. No pairs are listed anywhere.
 """
 
 from __future__ import annotations
@@ -256,54 +257,62 @@ def met_prefixes(profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return out
 
 
-def families(docs: DataFrame, sets: DataFrame, met: DataFrame, n: int, percent: int, known: Known) -> tuple[DataFrame | None, DataFrame]:
-    """Links ``a, b`` found by stars, and ``head, node, family`` of the groups across families that are still to be compared.
+def families(docs: DataFrame, sets: DataFrame, met: DataFrame, n: int, percent: int, known: Known) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` found by stars, and ``head, kind, node, family`` of the groups in which members of different families are still to
+    be compared.
 
-    In each round every n-gram has a head, and a document is compared with the one head with which it shares most, if these are as
-    many n-grams as the smaller of the two numbers of matches they ask for. Families are the components of links, so a family of m
-    documents ships each set about once a round. Two linked sets of different families share at least ``sure_matches`` open
-    n-grams, so of each set's, the least shared first, all but the last sure - 1 are enough to bring them together.
+    In each round every n-gram has a head, and a document belongs to the circles of the heads with which it shares as many n-grams as the
+    smaller of the two numbers of matches they ask for. It is compared with the one with which it shares most. Families are the components of
+    links: a circle that is one family is done, at the cost of two sets sent for each member. Of the others (kind 0) the families are
+    compared with each other. Two linked sets of different circles share at least ``sure_matches`` open n-grams, so of each set's, the least
+    shared first, all but the last sure - 1 are enough to bring them together (kind 1).
     """
     spark = met.sparkSession
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    rows = materialize(met.select("node", "size", "matches", "center", F.explode("grams").alias("gram"), F.col("node").alias("family")), "jaccard-rows")
-    edges = None
+    rows = materialize(met.select("node", "size", "matches", "center", F.explode("grams").alias("gram"), F.col("node").alias("circle")), "jaccard-rows")
+    tied = edges = None
     for k in range(ROUNDS):
         # The set that shares most heads an n-gram first; later rounds draw another.
         rank = F.struct(-F.col("center"), "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
-        heads = rows.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "matches", "family").alias("h"))).alias("m")).select("gram", "m.h")
-        stars = rows.join(heads, "gram").where((F.col("family") != F.col("h.family")) & fits(F.col("size"), F.col("h.size")))
+        heads = rows.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "matches", "circle").alias("h"))).alias("m")).select("gram", "m.h")
+        stars = rows.join(heads, "gram").where((F.col("circle") != F.col("h.circle")) & fits(F.col("size"), F.col("h.size")))
         stars = stars.groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("matches", "h.matches")).alias("need")).where("n >= need")
-        stars = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), "jaccard-stars")
-        new = verified(docs, stars, sets, n, percent, known)
-        edges = new if edges is None else materialize(edges.unionByName(new), "jaccard-links")
-        discard(spark, stars.scratch_path)
-        found = components(edges).select("node", F.col("label").alias("family"))
-        named = rows.drop("family").join(found, "node", "left").withColumn("family", F.coalesce("family", "node"))
+        stars = materialize(stars.select("a", "b", "n"), "jaccard-stars")
+        new = verified(docs, stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), sets, n, percent, known)
+        edges = new if edges is None else edges.unionByName(new)
+        tied = stars.select("a", "b") if tied is None else tied.unionByName(stars.select("a", "b"))
+        circles = components(tied).select("node", F.col("label").alias("circle"))
+        named = rows.drop("circle").join(circles, "node", "left").withColumn("circle", F.coalesce("circle", "node"))
         named = materialize(named, "jaccard-rows")
         discard(spark, rows.scratch_path)
-        # Only n-grams that several families share are left.
-        open_grams = named.groupBy("gram").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x != y").select("gram")
+        # Only n-grams that several circles share are left.
+        open_grams = named.groupBy("gram").agg(F.min("circle").alias("x"), F.max("circle").alias("y")).where("x != y").select("gram")
         rows = materialize(named.join(open_grams, "gram", "left_semi"), "jaccard-rows")
         discard(spark, named.scratch_path)
+    found = components(edges).select("node", F.col("label").alias("family"))
+    inside = circles.join(found, "node", "left").select(F.col("circle").alias("head"), F.lit(0).alias("kind"), "node", F.coalesce("family", "node").alias("family"))
+    mixed = inside.groupBy("head").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x != y").select("head")
+    inside = inside.join(mixed, "head")
+
     held = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
     sure = sure_matches(F.col("size"), percent)
-    held = held.groupBy("node", "family").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held")).where(F.size("held") >= sure)
-    few = materialize(held.select("node", "family", F.explode(F.slice("held", F.lit(1), F.size("held") - sure + 1)).alias("g")).select("node", "family", "g.gram"), "jaccard-open")
+    held = held.groupBy("node", "circle").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held")).where(F.size("held") >= sure)
+    few = materialize(held.select("node", "circle", F.explode(F.slice("held", F.lit(1), F.size("held") - sure + 1)).alias("g")).select("node", "circle", "g.gram"), "jaccard-open")
     # N-grams with the same holders are one group.
-    groups = few.groupBy("gram").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x != y")
+    groups = few.groupBy("gram").agg(F.min("circle").alias("x"), F.max("circle").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x != y")
     heads = groups.groupBy("n", "who").agg(F.min("gram").alias("gram")).select("gram")
-    apart = materialize(few.join(heads, "gram").select(F.col("gram").alias("head"), "node", "family"), "jaccard-apart")
+    apart = few.join(heads, "gram").select(F.col("gram").alias("head"), F.lit(1).alias("kind"), "node", F.col("circle").alias("family"))
+    groups = materialize(inside.unionByName(apart), "jaccard-groups")
     for table in (rows, few):
         discard(spark, table.scratch_path)
-    return edges, apart
+    return edges, groups
 
 
 def verified(docs: DataFrame, stars: DataFrame, sets: DataFrame, n: int, percent: int, known: Known) -> DataFrame:
     """Those of ``stars`` (a, b) that are links. Each a's set is sent once, each b's once for every ``SIDE`` of its a."""
     split = stars.join(stars.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("parts")), "b")
     part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
-    place = lambda i, second: F.struct(F.col("b").alias("head"), i.alias("i"), F.lit(0).alias("j"), F.lit(second).alias("second"), F.lit(0).cast("long").alias("family"))
+    place = lambda i, second: F.struct(F.col("b").alias("head"), F.lit(2).alias("kind"), i.alias("i"), F.lit(0).alias("j"), F.lit(second).alias("second"), F.lit(0).cast("long").alias("family"))
     members = split.select(F.col("a").alias("node"), place(part, 1).alias("place"))
     heads = split.groupBy("b").agg(F.first("parts").alias("parts")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("b").alias("node"), place(F.col("i"), 0).alias("place"))
     needed = members.unionByName(heads).groupBy("node").agg(F.collect_list("place").alias("places"))
@@ -335,20 +344,23 @@ def links(docs: DataFrame, profile: DataFrame, sets: DataFrame, n: int, percent:
     """Edges ``a, b`` between ids of sets: all of them are links, and every link's ends are connected."""
     spark = docs.sparkSession
     met = met_prefixes(profile, sets, percent)
-    edges, apart = families(docs, sets, met, n, percent, known)
+    edges, groups = families(docs, sets, met, n, percent, known)
 
-    # What is left is compared across families only: the largest family of a group is dealt to sides of its own, which never meet each
-    # other, so that a few strangers meet a large family once.
-    sized = apart.join(sets.select(F.col("id").alias("node"), "size"), "node")
-    of_family = sized.groupBy("head", "family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"))
+    # The largest family of a group is dealt to sides of its own, which never meet each other: a few strangers meet a large family once.
+    group = ["head", "kind"]
+    sized = groups.join(sets.select(F.col("id").alias("node"), "size"), "node")
+    of_family = sized.groupBy(*group, "family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"))
     parts = lambda m, grams: F.greatest(F.ceil(m / SIDE), F.ceil(grams * 8 / SIDE_BYTES)).cast("int")
-    totals = of_family.groupBy("head").agg(F.sum("m").alias("m"), F.sum("grams").alias("grams"), F.max(F.struct("m", "grams", "family")).alias("most"))
-    totals = totals.select("head", F.col("most.family").alias("largest"), parts(F.col("most.m"), F.col("most.grams")).alias("own_sides"), parts(F.col("m") - F.col("most.m"), F.col("grams") - F.col("most.grams")).alias("others"))
-    sized = sized.join(totals, "head")
-    own = F.col("family") == F.col("largest")
+    totals = of_family.groupBy(*group).agg(F.sum("m").alias("m"), F.sum("grams").alias("grams"), F.max(F.struct("m", "grams", "family")).alias("most"))
+    own_sides, others = parts(F.col("most.m"), F.col("most.grams")), parts(F.col("m") - F.col("most.m"), F.col("grams") - F.col("most.grams"))
+    # What fits one block is one.
+    small = parts(F.col("m"), F.col("grams")) <= 1
+    totals = totals.select(*group, F.when(~small, F.col("most.family")).alias("largest"), F.when(small, 0).otherwise(own_sides).alias("own_sides"), F.when(small, 1).otherwise(others).alias("others"))
+    sized = sized.join(totals, group)
+    own = F.coalesce(F.col("family") == F.col("largest"), F.lit(False))
     side = F.when(own, F.col("others") + F.pmod(F.xxhash64("node"), F.col("own_sides"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
     sized = sized.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("own_sides")) - 1)))
-    place = F.struct("head", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), (F.col("side") > F.col("other")).cast("int").alias("second"), "family")
+    place = F.struct("head", "kind", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), (F.col("side") > F.col("other")).cast("int").alias("second"), "family")
     placed = _placed_sets(docs, sized.groupBy("node").agg(F.collect_list(place).alias("places")), sets, n, known)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -358,15 +370,15 @@ def links(docs: DataFrame, profile: DataFrame, sets: DataFrame, n: int, percent:
         found = forest(rows["size"].to_numpy(np.int64), second, rows["family"].to_numpy(np.int64), grams, percent)
         return pd.DataFrame([(node[a], node[b]) for a, b in found], columns=["a", "b"], dtype=np.int64)
 
-    rest = placed.groupBy("head", "i", "j").applyInPandas(block, "a long, b long")
-    out = materialize(edges.unionByName(rest) if edges is not None else rest, "jaccard-links")
-    for table in (met, apart):
+    rest = placed.groupBy("head", "kind", "i", "j").applyInPandas(block, "a long, b long")
+    out = materialize(edges.unionByName(rest), "jaccard-links")
+    for table in (met, groups):
         discard(spark, table.scratch_path)
     return out
 
 
 def _placed_sets(docs: DataFrame, needed: DataFrame, sets: DataFrame, n: int, known: Known) -> DataFrame:
-    """Whole sets of the ``needed`` (node, places), a row for each place: ``head, i, j, second, family, node, size, grams``. The text is that of the
+    """Whole sets of the ``needed`` (node, places), a row for each place: ``head, kind, i, j, second, family, node, size, grams``. The text is that of the
     document that stands for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +391,7 @@ def _placed_sets(docs: DataFrame, needed: DataFrame, sets: DataFrame, n: int, kn
                 met.add(node)
                 whole = grams.tobytes()
                 for p in places:
-                    rows.append((p["head"], p["i"], p["j"], p["second"], p["family"], node, len(grams), whole))
+                    rows.append((p["head"], p["kind"], p["i"], p["j"], p["second"], p["family"], node, len(grams), whole))
                     room += len(whole)
                     if room >= SIDE_BYTES:
                         yield _batch(rows)
@@ -392,12 +404,12 @@ def _placed_sets(docs: DataFrame, needed: DataFrame, sets: DataFrame, n: int, kn
     w = needed.select(F.col("doc_id").alias("w_doc_id"), F.col("tie").alias("w_tie"), "node", "places")
     docs = Sieve(needed.select(key_of().alias("k")), "k").keep(docs.withColumn("k", key_of()), "k")
     rows = docs.join(w.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(w["w_doc_id"]) & (docs["tie"] == w["w_tie"]))
-    return rows.select("node", "places", "text").mapInArrow(run, "head long, i int, j int, second int, family long, node long, size long, grams binary")
+    return rows.select("node", "places", "text").mapInArrow(run, "head long, kind int, i int, j int, second int, family long, node long, size long, grams binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 3, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "i", "j", "second", "family", "node", "size", "grams"])
+    kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["head", "kind", "i", "j", "second", "family", "node", "size", "grams"])
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
