@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from spoor.scratch import materialize
+
 #: A descriptor is a process's own.
 BY_FD = ["recording_id", "pid", "fd"]
 
@@ -63,15 +65,51 @@ def liveness(beats: DataFrame, limit_us: int) -> DataFrame:
 
 def event_cap(events: DataFrame, cap: int) -> DataFrame:
     """Per recording how many events lie within the cap, and whether some lie beyond it."""
-    order = Window.partitionBy("recording_id").orderBy("us", "arrival")
-    rows = events.withColumn("n", F.row_number().over(order))
-    return rows.groupBy("recording_id").agg(F.count(F.when(F.col("n") <= cap, 1)).alias("kept"), F.max((F.col("n") > cap).cast("int")).cast("boolean").alias("capped"))
+    n = F.count(F.lit(1))
+    return events.groupBy("recording_id").agg(F.least(n, F.lit(cap)).alias("kept"), (n > cap).alias("capped"))
+
+
+#: Parts that an interval is cut into each round.
+BINS = 256
+
+
+def _narrowed(rows: DataFrame, open_: DataFrame, column: str) -> DataFrame:
+    """``recording_id, value, need, n``: of each recording of ``open_`` (recording_id, low, high, need) the ``need``-th smallest value of the
+    column between low and high, how many rows of that value still fit, and how many there are. Every round counts the rows in
+    ``BINS`` parts of the interval and goes on with one of them; a recording is never sorted."""
+    c, done = F.col, None
+    while True:
+        width = F.floor((c("high") - c("low")) / BINS).cast("long") + 1
+        held = rows.join(open_.withColumn("width", width), "recording_id").where(c(column).between(c("low"), c("high")))
+        counted = held.groupBy("recording_id", "low", "high", "width", "need", F.floor((c(column) - c("low")) / c("width")).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("recording_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        chosen = counted.withColumn("upto", upto).where((c("upto") >= c("need")) & (c("upto") - c("n") < c("need")))
+        low = c("low") + c("bin") * c("width")
+        chosen = materialize(chosen.select("recording_id", low.alias("low"), F.least("high", low + c("width") - 1).alias("high"), (c("need") - c("upto") + c("n")).alias("need"), "n"), "cap-intervals")
+        found = chosen.where("low = high").select("recording_id", c("low").alias("value"), "need", "n")
+        done = found if done is None else done.unionByName(found)
+        open_ = chosen.where("low < high").drop("n")
+        if open_.isEmpty():
+            return done
+
+
+def cap_places(events: DataFrame, cap: int) -> DataFrame:
+    """``recording_id, last_us, last_arrival`` of the recordings that exceed the cap: the last event within it, by time and then arrival."""
+    c = F.col
+    least = F.coalesce(F.min("us"), F.lit(0)) - 1  # where events without a time go, first as in any order
+    sizes = materialize(events.groupBy("recording_id").agg(F.count(F.lit(1)).alias("size"), least.alias("low"), F.coalesce(F.max("us"), F.lit(0)).alias("high"), F.min("arrival").alias("first"), F.max("arrival").alias("last")).where(c("size") > cap), "cap-sizes")
+    rows = events.join(sizes.select("recording_id", c("low").alias("none")), "recording_id").select("recording_id", F.coalesce("us", "none").alias("us"), "arrival")
+    rows = materialize(rows, "cap-events")
+    times = materialize(_narrowed(rows, sizes.select("recording_id", "low", "high", F.lit(cap).cast("long").alias("need")), "us"), "cap-times")
+    ties = rows.join(times.select("recording_id", c("value").alias("us")), ["recording_id", "us"])
+    arrivals = _narrowed(ties, times.join(sizes, "recording_id").select("recording_id", c("first").alias("low"), c("last").alias("high"), "need"), "arrival")
+    return times.join(arrivals.select("recording_id", c("value").alias("last_arrival")), "recording_id").join(sizes.select("recording_id", "low"), "recording_id").select("recording_id", c("value").alias("last_us"), "last_arrival", "low")
 
 
 def capped_events(events: DataFrame, cap: int) -> DataFrame:
-    """The events within the cap of their recording, in order of arrival, with ``is_partial`` where some were cut. The cut
-    is a rank limit, which Spark applies before it shuffles."""
-    order = Window.partitionBy("recording_id").orderBy("us", "arrival")
-    rows = events.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap + 1)
-    over = F.max("n").over(Window.partitionBy("recording_id")) > cap
-    return rows.withColumn("is_partial", over).where(F.col("n") <= cap).drop("n")
+    """The events within the cap of their recording, in order of time and arrival, with ``is_partial`` where some were cut. Only
+    recordings over the cap are looked at closely, and the cut is found by counting."""
+    c = F.col
+    rows = events.join(cap_places(events, cap), "recording_id", "left").withColumn("at", F.coalesce("us", "low"))
+    within = c("last_us").isNull() | (c("at") < c("last_us")) | ((c("at") == c("last_us")) & (c("arrival") <= c("last_arrival")))
+    return rows.where(within).select(*[c(x) for x in events.columns], c("last_us").isNotNull().alias("is_partial"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spoor.scratch import materialize
+from spoor.sources.lines import numbered_lines
 
 SCHEMA_VERSION = 1
 #: The kinds of lines.
@@ -43,12 +44,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """``recording_id, seq, line``: the lines of all files with their number in the file, blank ones left out. Packed files
-    (``write_recordings``) can be split anywhere; of others each is read as a whole."""
+    (``write_recordings``) carry the numbers; for others they are worked out."""
     if packed:
         parts = F.split("value", "\t", 3)
         return spark.read.option("recursiveFileLookup", "true").text(path).select(parts[0].alias("recording_id"), parts[1].cast("long").alias("seq"), parts[2].alias("line"))
-    rows = read_files(spark, path).select("recording_id", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line"))
-    return rows.where(F.trim("line") != "").select("recording_id", (F.col("pos") + 1).cast("long").alias("seq"), "line")
+    named = F.regexp_extract("file", "recording_id=([^/]+)/", 1)
+    rows = numbered_lines(spark, path).where(F.trim(F.regexp_replace("line", "\r$", "")) != "")
+    return rows.select(F.when(named != "", named).otherwise(F.col("file")).alias("recording_id"), F.col("line_no").alias("seq"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def read_recordings(spark: SparkSession, path: str, on_error: str = "fail", packed: bool = False) -> tuple[DataFrame, DataFrame]:
