@@ -2,10 +2,10 @@
 
 A window is a run of words. Its anchor is the smallest of the hashes of the shorter runs in it, so
 equal windows have equal anchors, and the windows of a document fall into segments of neighbours with one
-anchor. The index holds a row per anchor and content of a segment, with a count: sorted, immutable runs, one
-per batch of documents, each merge-joined with what is already there and compacted like the levels
-of a log-structured store. A segment whose content occurs twice repeats as a whole. Where an anchor
-occurs in different contents, its windows are verified one by one by a 128-bit hash.
+anchor. The index holds a row per anchor and content of a segment, with a count and the place of one: sorted, immutable runs, one
+per batch of documents. Each new batch is merge-joined with the runs that are there, decided, and then added; runs are compacted like the
+levels of a log-structured store. A segment whose content occurs twice repeats as a whole. Where an anchor
+occurs in different contents, its windows are verified one by one by a 128-bit hash of their words.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spoor.llm.common import n_partitions
 from spoor.llm.hashing import WordHashes, blocks, mix, runs
@@ -84,8 +85,23 @@ def segments(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, start int, size int, anchor long, content long")
 
 
+PLACE = ["doc_id", "tie", "start", "size"]
+
+
+@contextmanager
+def _by_anchor(spark: SparkSession) -> Iterator[None]:
+    """Tables that lie by anchor join on anchor and content where they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, content, n), kept as bucketed tables so that runs
+    """Sorted immutable runs of (anchor, content, n, place of one segment), kept as tables bucketed by anchor so that runs
     merge-join without a shuffle.
 
     ``add`` writes the fingerprints of a batch as a run of level 0; two runs of a level are compacted into
@@ -107,8 +123,8 @@ class FingerprintIndex:
         for level, path in saved["runs"]:
             name = path.rsplit("/", 1)[1]
             spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, content BIGINT, n BIGINT) USING parquet LOCATION '{path}' "
-                f"CLUSTERED BY (anchor, content) SORTED BY (anchor, content) INTO {index.buckets} BUCKETS"
+                f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, content BIGINT, n BIGINT, doc_id BIGINT, tie BIGINT, start INT, size INT) USING parquet LOCATION '{path}' "
+                f"CLUSTERED BY (anchor) SORTED BY (anchor, content) INTO {index.buckets} BUCKETS"
             )
             index.levels.append((level, name))
         return index
@@ -122,10 +138,13 @@ class FingerprintIndex:
         self.spark.sql(f"DROP TABLE {name}")
         discard(self.spark, f"{shared_dir(self.spark)}/{name}")
 
-    def add(self, fingerprints: DataFrame) -> None:
-        """A batch of rows (anchor, content), counted before they are shuffled."""
-        run = fingerprints.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
-        self.levels.append((0, self._write(run)))
+    def run_of(self, segments: DataFrame) -> str:
+        """A batch of segments as a run, not yet part of the index: counted before they are shuffled."""
+        place = F.min(F.struct(*PLACE))
+        return self._write(segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place.alias("p")).select("anchor", "content", "n", "p.*"))
+
+    def add(self, run: str) -> None:
+        self.levels.append((0, run))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             self._merge_last()
 
@@ -134,31 +153,37 @@ class FingerprintIndex:
             self._merge_last()
         return self.spark.table(self.levels[0][1])
 
-    def known(self, fingerprints: DataFrame) -> DataFrame:
-        """The rows of a new batch whose fingerprint some run holds, with the number of times."""
-        history = self.spark.table(self.levels[0][1])
-        for _, name in self.levels[1:]:
-            history = _merged(history, self.spark.table(name))
-        return fingerprints.join(history, ["anchor", "content"])
+    def meet(self, run: str) -> DataFrame:
+        """What a new run and the index have to do with each other: ``anchor, content, new, old`` (how often in the run and in the index),
+        ``contents`` (of the anchor) and the place of one segment, an old one if there is any; of every anchor of the run that
+        occurs twice, in the run, in the index or between them. Written, by one merge-join with each run."""
+        rows = self.spark.table(run).withColumnsRenamed({"n": "new"}).withColumn("old", F.lit(0).cast("long"))
+        with _by_anchor(self.spark):
+            for _, name in self.levels:
+                old = self.spark.table(name).select("anchor", "content", F.col("n").alias("more"), F.struct(*PLACE).alias("p"))
+                rows = rows.join(old.hint("merge"), ["anchor", "content"], "full")
+                rows = rows.select("anchor", "content", F.coalesce("new", F.lit(0)).alias("new"), (F.coalesce("old", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("old"), *[F.when(F.col("p").isNotNull(), F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in PLACE])
+            by = Window.partitionBy("anchor")
+            rows = rows.withColumns({"fresh": F.sum("new").over(by), "total": F.sum(F.col("new") + F.col("old")).over(by), "contents": F.count(F.lit(1)).over(by)})
+            return materialize(rows.where("fresh > 0 and total > 1").drop("fresh", "total"), "index-met")
 
     def _merge_last(self) -> None:
         (_, newer), (level, older) = self.levels.pop(), self.levels.pop()
-        self.levels.append((level + 1, self._write(_merged(self.spark.table(older), self.spark.table(newer)))))
+        b = self.spark.table(newer).select("anchor", "content", F.col("n").alias("more"), F.struct(*PLACE).alias("p"))
+        rows = self.spark.table(older).join(b.hint("merge"), ["anchor", "content"], "full")
+        rows = rows.select("anchor", "content", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"), *[F.when(F.col("n").isNull(), F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in PLACE])
+        with _by_anchor(self.spark):
+            self.levels.append((level + 1, self._write(rows)))
         for name in (newer, older):
             self._remove(name)
 
     def _write(self, run: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
-        writer = run.write.bucketBy(self.buckets, "anchor", "content").sortBy("anchor", "content").option("compression", "zstd")
+        writer = run.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "content").option("compression", "zstd")
         writer.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name, format="parquet")
         return name
 
 
-def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    b = b.withColumnRenamed("n", "more")
-    return a.join(b.hint("merge"), ["anchor", "content"], "full").select("anchor", "content", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
-
-
 def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """128-bit hashes of the wanted windows: ``wanted`` has per document a list of (start, size, open)."""
 
@@ -183,38 +208,49 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return rows.select("doc_id", "tie", "text", "spans").mapInArrow(run, "doc_id long, tie long, start int, open boolean, one long, two long")
 
 
+def repeats_with(index: FingerprintIndex, batch: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, tie, start, size`` of the windows that repeat because of a new batch, in it and in older documents, and the batch added to the
+    index. ``batch``: its ``segments``; ``docs`` (as from ``keyed``): the batch's texts and all older ones.
+
+    A content that the batch brings again, or twice, repeats as a whole; the one older segment of a content that was unique until now is
+    named by its run. Where an anchor occurs in different contents, of which some are new, one segment stands for each, and their windows
+    are verified one by one on the words. Windows that were found in earlier batches can come again.
+    """
+    spark = index.spark
+    run = index.run_of(batch)
+    met = index.meet(run)
+    index.add(run)
+    again = met.where("new > 0 and new + old > 1").select("anchor", "content", F.xxhash64("anchor", "content").alias("k"))
+    whole = Sieve(again, "k").keep(batch.withColumn("k", F.xxhash64("anchor", "content")), "k").drop("k").join(again.drop("k"), ["anchor", "content"]).select(*PLACE)
+    first = met.where("new > 0 and old = 1").select(*PLACE)  # where it lay until now
+
+    stand = met.where("contents > 1").select(*PLACE, (F.col("new") + F.col("old") == 1).alias("open"))
+    wanted = stand.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "size", "open")).alias("spans"))
+    wanted = materialize(wanted, "windows-wanted")
+    single = materialize(_windows(docs, wanted, window), "windows")
+    place = F.struct("doc_id", "tie", "start")
+    twice = single.groupBy("one", "two").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("one", "two")
+    open_hits = single.where("open").join(twice, ["one", "two"]).select("doc_id", "tie", "start", F.lit(1).alias("size"))
+    out = materialize(whole.unionByName(first).unionByName(open_hits).distinct(), "repeats-of-batch")
+    for table in (met, wanted, single):
+        discard(spark, table.scratch_path)
+    return out
+
+
 def repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, tie, spans``: of every document with repeated windows the list of (start, size) of
-    them. docs as from ``keyed``. The documents enter the index in ``batches`` batches by hash."""
+    them. docs as from ``keyed``. The documents enter the index in ``batches`` batches by hash; each is decided when it enters."""
     spark = docs.sparkSession
     found = materialize(segments(docs, window, anchor), "segments")
     index = FingerprintIndex(spark)
     batch = F.pmod(F.xxhash64("tie", "doc_id"), F.lit(batches))
+    spans = None
     for b in range(batches):
-        index.add(found.where(batch == b))
-    counts = index.compact()
-
-    anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
-    anchors = materialize(anchors.drop("total"), "anchors-repeated")
-    sieve = Sieve(anchors, "anchor")  # most anchors occur once; they need not be shuffled
-    repeated = sieve.keep(counts, "anchor").join(anchors, "anchor").select("anchor", "content", "n", "contents")
-    every, found = found, materialize(sieve.keep(found, "anchor").join(repeated, ["anchor", "content"]), "segments-repeated")
-    discard(spark, every.scratch_path)
+        own = repeats_with(index, found.where(batch == b), docs, window)
+        spans = own if spans is None else spans.unionByName(own)
     index.drop()
-
-    # One segment stands for each content of an anchor that has several; if it is the only one, it is open.
-    one = F.min(F.struct("doc_id", "tie", "start", "size", (F.col("n") == 1).alias("open")))
-    stand = found.where("contents > 1").groupBy("anchor", "content").agg(one.alias("s"))
-    wanted = stand.groupBy(F.col("s.doc_id").alias("doc_id"), F.col("s.tie").alias("tie")).agg(F.collect_list(F.struct("s.start", "s.size", "s.open")).alias("spans"))
-    wanted = materialize(wanted, "windows-wanted")
-    single = materialize(_windows(docs, wanted, window), "windows")
-    place = F.struct("doc_id", "tie", "start")
-    twice = single.groupBy("one", "two").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("one", "two")
-    open_hits = single.where("open").join(twice, ["one", "two"]).select("doc_id", "tie", "start", F.lit(1).alias("size"))
-
-    whole = found.where("n >= 2").select("doc_id", "tie", "start", "size")
-    spans = whole.unionByName(open_hits).distinct()
-    return spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    discard(spark, found.scratch_path)
+    return spans.distinct().groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:

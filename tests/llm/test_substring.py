@@ -55,29 +55,48 @@ def test_awkward(spark, awkward):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in kept)
 
 
-def test_index_is_incremental(spark):
+def test_runs_meet_and_merge(spark):
     index = substring.FingerprintIndex(spark, buckets=4)
-    rows = lambda *r: spark.createDataFrame(r, "anchor long, content long")
-    index.add(rows((1, 1), (1, 2), (2, 5)))
-    assert [tuple(r) for r in index.known(rows((1, 2), (9, 9))).collect()] == [(1, 2, 1)]
-    index.add(rows((1, 2), (3, 3)))
-    index.add(rows((1, 2)))
+    place = "doc_id long, tie long, start int, size int"
+    rows = lambda *r: spark.createDataFrame([(*x, k, 0, 1, 1) for k, x in enumerate(r)], f"anchor long, content long, {place}")
+    met = lambda *r: {(x.anchor, x.content, x.new, x.old, x.contents) for x in index.meet(index.run_of(rows(*r))).collect()}
+    index.add(index.run_of(rows((1, 1), (1, 2), (2, 5))))
+    assert met((1, 2), (9, 9), (7, 7), (7, 7), (2, 6)) == {(1, 1, 0, 1, 2), (1, 2, 1, 1, 2), (7, 7, 2, 0, 1), (2, 5, 0, 1, 2), (2, 6, 1, 0, 2)}
+    index.add(index.run_of(rows((1, 2), (3, 3))))
+    index.add(index.run_of(rows((1, 2))))
     assert len(index.levels) == 2
-    assert {tuple(r) for r in index.compact().collect()} == {(1, 1, 1), (1, 2, 3), (2, 5, 1), (3, 3, 1)}
+    assert {tuple(r)[:3] for r in index.compact().collect()} == {(1, 1, 1), (1, 2, 3), (2, 5, 1), (3, 3, 1)}
 
 
-def test_index_goes_on_in_another_session(spark):
-    """Batches of two sessions give what one session gives, once the first one's catalog is gone."""
+def test_batches_of_two_sessions(spark):
+    """Each batch is decided when it enters, the second one in a session that opens the index anew: a passage that an older document quotes
+    inside other text, one that only meets its like in the second batch, and one that the first batch held twice."""
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    quoted, common, twice = text(35), text(60), text(50)
+    first = [(0, text(90) + quoted + text(80)), (1, text(20) + common), (2, twice + text(40)), (3, text(10) + twice), (None, text(70) + common[:40])]
+    second = [(10, text(33) + quoted + text(47)), (11, common + text(5)), (12, text(200)), (13, twice[3:48])]
+    old, new = ([(i, " ".join(w)) for i, w in rows] for rows in (first, second))
+
+    def spans(frame):
+        return [(r.doc_id, r.tie, r.start, r.size) for r in frame.collect()]
+
     index = substring.FingerprintIndex(spark, buckets=4)
-    rows = lambda s, *r: s.createDataFrame(r, "anchor long, content long")
-    for batch in (((1, 1), (1, 2)), ((1, 2), (3, 3)), ((4, 4),)):
-        index.add(rows(spark, *batch))
+    docs = substring.keyed(make(spark, old))
+    found = spans(substring.repeats_with(index, substring.segments(docs), docs))
     saved = index.saved()
     for _, name in index.levels:
         spark.sql(f"DROP TABLE {name}")
-    again = substring.FingerprintIndex.reopen(spark.newSession(), saved)
-    assert [tuple(r) for r in again.known(rows(again.spark, (1, 2), (9, 9))).collect()] == [(1, 2, 2)]
-    again.add(rows(again.spark, (4, 4), (5, 5)))
-    assert {tuple(r) for r in again.compact().collect()} == {(1, 1, 1), (1, 2, 2), (3, 3, 1), (4, 4, 2), (5, 5, 1)}
+    session = spark.newSession()
+    again = substring.FingerprintIndex.reopen(session, saved)
+    every, batch = substring.keyed(make(session, old + new)), substring.keyed(make(session, new))
+    found += spans(substring.repeats_with(again, substring.segments(batch), every))
     again.drop()
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprint_run_") and t.name in str(saved)]
+
+    covered = Counter()
+    for doc_id, _, start, size in set(found):
+        for k in range(start, start + size + 34):
+            covered[doc_id, k] = 1
+    removed = Counter(i for i, _ in covered)
+    assert {i: n for i, _, n, _ in brute(old + new, 35) if n} == {str(i): n for i, n in removed.items()}
+    assert removed[0] == removed[10] == 35
