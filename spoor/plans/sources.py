@@ -11,7 +11,8 @@ from spoor.plans import bridge
 from spoor.plans.security import BASE
 from spoor.scratch import materialize, shared_dir
 from spoor.sources import lockfiles, recordings
-from spoor.streaming import live
+from spoor.sources.store import SnapshotStore
+from spoor.streaming import live, sessions
 
 Q, SQL = {}, {}
 
@@ -136,3 +137,90 @@ Q["read_pnpm_lockfiles"] = read_pnpm_lockfiles
 SQL["read_pnpm_lockfiles"] = f"""SELECT DISTINCT repo || ':' || side AS lockfile_id, '/' || name || '@' || version || '(' || replace(key, '/', '-') || ')' AS key, name, version, source_kind,
   CASE source_kind WHEN 'git' THEN 'https://h.example/x.git#abc' WHEN 'directory' THEN '../local' WHEN 'unknown' THEN NULL ELSE 'https://r.example/x.tgz' END AS url, CASE WHEN source_kind = 'remote' THEN integrity END AS integrity, dev
 FROM ({bridge.duckdb(bridge.LOCK)})"""
+
+
+def snapshot_store(spark, d):
+    """The recordings of the versions 1.2.0 pushed to an empty store, then all; the index read again and verified."""
+    about = bridge.events(spark, d).groupBy("recording_id").agg(F.max("package").alias("package"), F.max("version").alias("version"))
+    files = recordings.read_files(spark, _dropped(spark, d)).withColumn("recording_id", F.col("recording_id").cast("long"))
+    contents = materialize(files.join(about, "recording_id").select("recording_id", "package", "version", "content"), "contents")
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.push(contents.where("version = '1.2.0'"), "2026-01-01T00:00:00Z")
+    store.push(contents, "2026-01-02T00:00:00Z")
+    key = ["package", "version", "digest"]
+    rows = store.index().join(store.verify().distinct(), key)
+    return rows.select("append_pos", "package", "version", F.col("recording_id").cast("long").alias("recording_id"), "recorded_at", "observations", "error")
+
+
+Q["snapshot_store"] = snapshot_store
+SQL["snapshot_store"] = BASE + """SELECT row_number() OVER (ORDER BY recorded_at, recording_id) AS append_pos, package, version, recording_id, recorded_at, observations, CAST(NULL AS VARCHAR) AS error FROM (
+  SELECT *, '2026-01-01T00:00:00Z' AS recorded_at FROM a WHERE version = '1.2.0' AND NOT is_partial UNION ALL SELECT *, '2026-01-02T00:00:00Z' FROM a WHERE NOT is_partial)"""
+
+DAY = 86_400_000_000
+PULSES = dict(limit_us=4 * DAY, every=10, every_us=3 * DAY)
+PULSE_SQL = f"""WITH RECURSIVE a AS (SELECT user_id AS recording_id, event_id AS arrival, epoch_us(ts) AS us FROM events
+), x AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY us, arrival) AS n, lead(us) OVER (PARTITION BY recording_id ORDER BY us, arrival) AS next_us FROM a
+), b(recording_id, beats, n, us) AS (
+  SELECT recording_id, 0::BIGINT, 0::BIGINT, min(us) FROM x GROUP BY recording_id
+  UNION ALL SELECT b.recording_id, b.beats + 1, min(x.n), min(x.us) FROM b JOIN x ON x.recording_id = b.recording_id AND x.n > b.n AND (x.n - b.n >= 10 OR x.us - b.us >= {3 * DAY}) GROUP BY b.recording_id, b.beats
+), t AS (SELECT recording_id, count(*) AS n, max(us) AS last_us, recording_id % 3 = 0 AS ended FROM x GROUP BY recording_id
+), now AS (SELECT max(last_us + CASE WHEN ended THEN 1 ELSE 0 END) AS us FROM t
+), silent AS (
+  SELECT recording_id, min(n) AS n FROM x WHERE next_us - us > {4 * DAY} GROUP BY recording_id
+  UNION ALL SELECT recording_id, n FROM t, now WHERE NOT ended AND (last_us + {4 * DAY}) // 1000 + 1 < now.us // 1000
+), dead AS (SELECT recording_id, min(n) AS n FROM silent GROUP BY recording_id)
+SELECT recording_id, 'heartbeat' AS kind, beats, n AS events, us FROM b WHERE beats > 0
+UNION ALL SELECT recording_id, 'ended', (SELECT max(beats) FROM b WHERE b.recording_id = t.recording_id), n, last_us + 1 FROM t WHERE ended
+UNION ALL SELECT recording_id, 'dead', (SELECT max(beats) FROM b WHERE b.recording_id = dead.recording_id AND b.n <= dead.n), n, (SELECT us FROM x WHERE x.recording_id = dead.recording_id AND x.n = dead.n) FROM dead"""
+
+
+def _beating(spark, d):
+    """Arrivals, and an end a microsecond after the last of every third recording."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("user_id").alias("recording_id"), F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us"), F.col("event_id").alias("arrival"), F.lit(False).alias("is_end"))
+    last = rows.where("recording_id % 3 = 0").groupBy("recording_id").agg((F.max("us") + 1).alias("us"), F.max("arrival").alias("arrival"))
+    return rows.unionByName(last.withColumn("is_end", F.lit(True)))
+
+
+def heartbeats(spark, d):
+    return sessions.pulses_of(_beating(spark, d), **PULSES)
+
+
+def heartbeats_live(spark, d):
+    """As they arrive, in files that follow each other in time."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = materialize(_beating(spark, d).withColumn("time", F.timestamp_micros("us")), "beating")
+    cuts = rows.select(F.percentile_approx("us", [0.25, 0.5, 0.75], 1000).alias("c")).first()["c"]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((F.col("us") > low) if low is not None else F.lit(True)).where((F.col("us") <= high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("time", "0 seconds")
+    return live.run_once(sessions.pulses(stream, **PULSES), "append", folder)
+
+
+Q["heartbeats"] = heartbeats
+SQL["heartbeats"] = PULSE_SQL
+Q["heartbeats_live"] = heartbeats_live
+SQL["heartbeats_live"] = PULSE_SQL
+
+
+def live_reports(spark, d):
+    """Scores, verdicts and evidence as of the last batch of a stream."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = bridge.events(spark, d)
+    last = events.where("has_end").groupBy("recording_id").agg(F.max("seq").alias("last"), F.max("complete").alias("complete"), F.min_by("backend", "seq").alias("backend"))
+    ends = last.select("recording_id", (F.col("last") + 1).alias("seq"), F.lit("session_end").alias("op"), "complete", "backend")
+    rows = materialize(events.drop("complete", "has_end").unionByName(ends, allowMissingColumns=True), "live-events")
+    for k in range(3):
+        rows.where(f"least(floor(seq / 20), 2) = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = sessions.live_reports(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sessions.upserts(f"{folder}/out")).start()
+    query.awaitTermination()
+    state = materialize(sessions.latest(spark, f"{folder}/out"), "live-latest")
+    shown = state.where("rule_id is not null").groupBy("recording_id").agg(F.count(F.lit(1)).alias("findings"), F.sum(F.size("evidence")).alias("evidence"))
+    return sessions.reports(state).join(shown, "recording_id", "left").fillna(0, ["findings", "evidence"])
+
+
+Q["live_reports"] = live_reports
+SQL["live_reports"] = BASE + """SELECT recording_id, observations, unresolved, backend, critical, high, medium, low, raw, value, is_partial, verdict, coalesce(findings, 0) AS findings, CAST(coalesce(evidence, 0) AS BIGINT) AS evidence
+FROM a LEFT JOIN (SELECT recording_id, count(*) AS findings, sum(least(occurrences, 5)) AS evidence FROM f GROUP BY recording_id) USING (recording_id)"""
