@@ -99,6 +99,18 @@ def unresolved_paths(events: DataFrame) -> DataFrame:
     return placed(events).groupBy("recording_id").agg(F.count(F.when(counted, 1)).alias("unresolved_paths"))
 
 
+def sketches(events: DataFrame) -> DataFrame:
+    """Per recording a sketch of its different behaviours, to be kept with it: 4096 registers, about 1.6 percent of error."""
+    rows = profile(events).select("recording_id", "package", behavior_summary().alias("summary"))
+    return rows.groupBy("recording_id", "package").agg(F.hll_sketch_agg("summary", 12).alias("sketch"))
+
+
+def distinct_of(held: DataFrame, *by: str) -> DataFrame:
+    """About how many different behaviours the recordings of ``sketches`` have together: a new recording adds its own sketch, and no other
+    is read again but for its sketch."""
+    return held.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_behaviors"))
+
+
 def corpus_summary(events: DataFrame) -> DataFrame:
     """One row over all recordings; distinct behaviours are counted by their summary text, exactly."""
     rows = profile(events).withColumn("summary", behavior_summary()).withColumn("class", behavior_class())

@@ -74,6 +74,30 @@ def published_versions(published: DataFrame) -> DataFrame:
     return published.where(~F.col("version").contains("-") & ~F.col("unpublished") & F.col("published_at").isNotNull())
 
 
+# Keys of a registry's times that are no versions, and the scripts that an install runs.
+NOT_VERSIONS = ["created", "modified"]
+HOOKS = ["preinstall", "install", "postinstall", "prepare"]
+
+
+def package_versions(documents: DataFrame) -> DataFrame:
+    """Registry documents (package, document as JSON) to a row per version with a time: ``package, version, published_at, excluded`` (prerelease,
+    unpublished, no_timestamp; null for one that can be planned), ``install_scripts, deprecated, unpacked_bytes, integrity``.
+
+    A document's two maps are taken apart as variants, whatever else it holds, and joined by version: one that is only in the times
+    is unpublished, one only among the versions has no place in time and no row. A document that is no JSON fails the job.
+    """
+    spark, c = documents.sparkSession, F.col
+    parsed = materialize(documents.select("package", F.parse_json("document").alias("d")), "registry-documents")
+    entries = lambda part: spark.sql(f"SELECT package, e.key AS version, e.value AS value FROM {{docs}}, LATERAL variant_explode(variant_get(d, '$.{part}')) AS e", docs=parsed)
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("value", path, "variant")) == "STRING", F.try_variant_get("value", path, "string"))
+    scripts = F.array_compact(F.array(*[F.when(F.trim(text(f"$.scripts.{h}")) != "", F.lit(h)) for h in HOOKS]))
+    manifests = entries("versions").select("package", "version", F.lit(True).alias("held"), scripts.alias("install_scripts"), text("$.deprecated").alias("deprecated"), F.try_variant_get("value", "$.dist.unpackedSize", "long").alias("unpacked_bytes"), text("$.dist.integrity").alias("integrity"))
+    times = entries("time").where(~c("version").isin(NOT_VERSIONS)).select("package", "version", F.try_variant_get("value", "$", "string").alias("published_at"))
+    rows = times.join(manifests, ["package", "version"], "left")
+    excluded = F.when(c("version").contains("-"), "prerelease").when(c("held").isNull(), "unpublished").when(F.try_to_timestamp("published_at").isNull(), "no_timestamp")
+    return rows.select("package", "version", "published_at", excluded.alias("excluded"), "install_scripts", "deprecated", "unpacked_bytes", "integrity")
+
+
 def exclusions(published: DataFrame) -> DataFrame:
     """Per package how many versions are left out, and why (the first reason counts)."""
     pre, gone = F.col("version").contains("-"), F.col("unpublished")

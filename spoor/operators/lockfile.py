@@ -83,6 +83,18 @@ def decision(found: DataFrame) -> DataFrame:
     return found.groupBy("repo").agg(F.max("introduces_code").alias("should_record"), F.count(F.lit(1)).alias("changes"), F.countDistinct(F.when(recordable, F.concat("name", F.lit("@"), "version"))).alias("recordable"))
 
 
+def ecosystem_of(content: Column) -> Column:
+    """The package manager that a lockfile's text belongs to; null for what is none."""
+    return F.when(content.rlike("(?m)^lockfileVersion:"), "pnpm").when(F.get_json_object(content, "$.lockfileVersion").isNotNull(), "npm")
+
+
+def ecosystem_changes(files: DataFrame) -> DataFrame:
+    """``repo, before, after, ecosystem_changed`` of files (repo, side, content). A repository that had no lockfile before has not changed it."""
+    at = lambda side: F.max(F.when(F.col("side") == side, ecosystem_of(F.col("content"))))
+    rows = files.groupBy("repo").agg(at("before").alias("before"), at("after").alias("after"))
+    return rows.withColumn("ecosystem_changed", F.coalesce(F.col("before") != F.col("after"), F.lit(False)))
+
+
 def recordable(found: DataFrame) -> DataFrame:
     """``repo, place, name, version``: the different identities to record, in order."""
     rows = found.where("introduces_code").select("repo", "name", "version").distinct()

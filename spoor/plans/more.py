@@ -170,6 +170,51 @@ def _(spark, d):
     return legacy.legacy_findings(bridge.events(spark, d))
 
 
+#: What a registry says of each version, made from its number.
+TOLD = "package, version, CAST(regexp_extract(version, '^1[.]([0-9]+)', 1) AS INT) AS k, published_at, unpublished"
+
+
+@query(
+    "package_versions",
+    f"""WITH p AS (SELECT {TOLD} FROM ({bridge.duckdb(bridge.PUBLISHED)})), v AS (SELECT *, CASE WHEN k % 13 = 5 THEN 'never' ELSE published_at || 'T00:00:00.000Z' END AS stamp FROM p)
+SELECT package, version, stamp AS published_at, CASE WHEN contains(version, '-') THEN 'prerelease' WHEN unpublished THEN 'unpublished' WHEN stamp = 'never' THEN 'no_timestamp' END AS excluded,
+  CASE WHEN NOT unpublished THEN CASE WHEN k % 4 = 0 THEN 'install,postinstall' ELSE '' END END AS install_scripts, CASE WHEN NOT unpublished AND k % 6 = 0 THEN 'old' END AS deprecated,
+  CASE WHEN NOT unpublished THEN k * 10::BIGINT END AS unpacked_bytes, CASE WHEN NOT unpublished AND k % 3 > 0 THEN 'sha512-' || k END AS integrity FROM v""",
+)
+def _(spark, d):
+    """Documents as a registry gives them, written from the published versions and taken apart again."""
+    c = F.col
+    rows = bridge.published(spark, d).selectExpr(*[x.strip() for x in ("package", "version", "CAST(regexp_extract(version, '^1[.]([0-9]+)', 1) AS INT) AS k", "published_at", "unpublished")])
+    stamp = F.when(c("k") % 13 == 5, "never").otherwise(F.concat("published_at", F.lit("T00:00:00.000Z")))
+    scripts = F.when(c("k") % 4 == 0, F.struct(F.lit("node x").alias("install"), F.lit("y").alias("postinstall"), F.lit("t").alias("test"))).when(c("k") % 4 == 1, F.struct(F.lit(" ").alias("install"), F.lit(None).cast("string").alias("postinstall"), F.lit("t").alias("test")))
+    dist = F.struct((c("k") * 10).alias("unpackedSize"), F.when(c("k") % 3 > 0, F.concat(F.lit("sha512-"), c("k").cast("string"))).alias("integrity"))
+    manifest = F.struct(scripts.alias("scripts"), F.when(c("k") % 6 == 0, "old").alias("deprecated"), dist.alias("dist"))
+    held = rows.select("package", F.struct("version", stamp.alias("stamp")).alias("t"), F.when(~c("unpublished"), F.struct("version", manifest.alias("m"))).alias("v"))
+    times = F.concat(F.collect_list("t"), F.array(F.struct(F.lit("created").alias("version"), F.lit("2000-01-01").alias("stamp"))))
+    only_held = F.array(F.struct(F.lit("9.9.9").alias("version"), F.first("v.m", ignorenulls=True).alias("m")))
+    documents = held.groupBy("package").agg(F.to_json(F.struct(F.map_from_entries(times).alias("time"), F.map_from_entries(F.concat(F.collect_list("v"), only_held)).alias("versions"))).alias("document"))
+    return corpus.package_versions(documents).withColumn("install_scripts", F.array_join("install_scripts", ","))
+
+
+@query("behavior_sketches", BEHAVIOR + "SELECT package, count(DISTINCT summary) AS distinct_behaviors, true AS near FROM bs GROUP BY package")
+def _(spark, d):
+    """Exact numbers of different behaviours by package, and whether those of the united sketches are within five percent, or one."""
+    e = bridge.events(spark, d)
+    exact = behavior.profile(e).groupBy("package").agg(F.countDistinct(behavior.behavior_summary()).alias("distinct_behaviors"))
+    about = behavior.distinct_of(behavior.sketches(e), "package").withColumnRenamed("distinct_behaviors", "about")
+    near = F.abs(F.col("about") - F.col("distinct_behaviors")) <= F.greatest(F.lit(1), 0.05 * F.col("distinct_behaviors"))
+    return exact.join(about, "package").select("package", "distinct_behaviors", near.alias("near"))
+
+
+@query("ecosystem_changes", "SELECT repo, CASE WHEN repo % 5 = 0 THEN NULL WHEN repo % 3 = 0 THEN 'pnpm' ELSE 'npm' END AS before, 'npm' AS after, repo % 5 <> 0 AND repo % 3 = 0 AS ecosystem_changed FROM (SELECT DISTINCT l_suppkey AS repo FROM lineitem)")
+def _(spark, d):
+    """Repositories of which some come from another package manager and some had no lockfile."""
+    repos = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("repo")).distinct()
+    after = repos.select("repo", F.lit("after").alias("side"), F.lit('{"lockfileVersion": 3, "packages": {}}').alias("content"))
+    before = repos.where("repo % 5 <> 0").select("repo", F.lit("before").alias("side"), F.when(F.col("repo") % 3 == 0, "lockfileVersion: '6.0'\n\npackages:\n").otherwise('{"lockfileVersion": 2}').alias("content"))
+    return lockfile.ecosystem_changes(after.unionByName(before))
+
+
 #: Command lines on both sides of the first rule set's pipe rule, and whether it finds them.
 PIPES = [
     (["fish", "-c", "curl u | sh"], True), (["sh", "-c", "curl u | shasum -a 256"], False), (["sh", "-c", "my-curl u | sh"], True), (["/bin/zsh", "-e", "-c", "fetch u |sudo  python3.11 -"], True),
