@@ -1,5 +1,8 @@
 import math
 import random
+import string
+from collections import Counter
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -180,3 +183,54 @@ def test_ftrl_separates():
     assert dot("good clean text") > 1 > -1 > dot("bad ### noise")
     assert np.count_nonzero(w) < 30
     assert quality.sigmoid(1000) == pytest.approx(1.0)
+
+
+def plain_features(text):
+    """Numbers and values of a text's features, one by one."""
+    for c in string.punctuation:
+        text = text.replace(c, f" {c} ")
+    words = text.split()
+    h = [crc32(w.lower().encode()) & quality.MASK for w in words]
+    n = Counter(h)
+    for a, b in pairwise(h):
+        n[(a * 0x2545F491 + b * 0x9E3779B1 >> 7) & quality.MASK] += 1
+        n[quality.REPEATED] += a == b
+    n[quality.CAPITALS] += sum(len(w) > 1 and w.isupper() for w in words)
+    n = {i: k for i, k in n.items() if k and i != quality.BIAS}
+    unit = max(math.sqrt(sum(n.values())), 1)
+    return {i: math.sqrt(k) / unit for i, k in sorted(n.items())} | {quality.BIAS: 0.3}
+
+
+def test_classify_against_a_plain_version(spark, sf_dir):
+    """Features, rows learnt from, their order, updates, epochs and scores."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    label = {}
+    for r in labels.collect():
+        if r.quality is not None and crc32(str(r.doc_id).encode()) % 4 != 2:
+            label[r.doc_id] = min(r.quality, label.get(r.doc_id, 1))
+    made = {i: plain_features(t or "") for i, t in rows}
+    learnt = sorted((i for i, t in rows if i in label and t is not None), key=lambda i: (crc32(str(i).encode()), i))
+    assert learnt and len(learnt) <= quality.MAX_ROWS
+    at, z, n = quality.Ftrl(), Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= at.l1 else -(z[i] - math.copysign(at.l1, z[i])) / ((at.beta + math.sqrt(n[i])) / at.alpha + at.l2)
+
+    def dot(x):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+
+    for _ in range(2):
+        for k in learnt:
+            x = {i: float(np.float32(v)) for i, v in made[k].items()}
+            w, p = {i: weight(i) for i in x}, dot(x)
+            for i, v in x.items():
+                g = (p - label[k]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / at.alpha * w[i]
+                n[i] += g * g
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i, _ in rows:
+        want = dot(made[i])
+        assert abs(got[i].score - want) < 1e-4 and got[i].held_out == (crc32(str(i).encode()) % 4 == 2)
+        assert got[i].predicted == int(got[i].score >= 0.7)
