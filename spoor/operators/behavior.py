@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spoor.catalog import CLASSES, UNOBSERVED
 from spoor.functions import network as net, paths, process as proc
-from spoor.operators.rules import placed
+from spoor.operators.rules import placed, placed_once
 from spoor.scratch import materialize
 
 #: The columns that together are a behaviour.
@@ -113,6 +113,7 @@ def distinct_of(held: DataFrame, *by: str) -> DataFrame:
 
 def corpus_summary(events: DataFrame) -> DataFrame:
     """One row over all recordings; distinct behaviours are counted by their summary text, exactly."""
+    events = placed_once(events)
     rows = profile(events).withColumn("summary", behavior_summary()).withColumn("class", behavior_class())
     count = lambda c: F.count(F.when(F.col("class") == c, 1))
     names = ["outside", "credential_reads", "network", "processes", "filesystem"]
@@ -173,6 +174,7 @@ def class_counts(diff: DataFrame) -> DataFrame:
 def comparison_summary(events: DataFrame, diff: DataFrame | None = None) -> DataFrame:
     """Per pair of versions: counts, blockers, caveats, whether comparable and identical, and the headline. A pair in which
     neither side did anything is there too. ``diff``: that of ``version_diff``, where it is there already."""
+    events = placed_once(events)
     diff = version_diff(events) if diff is None else diff
     pair = ["package", "before_version", "after_version"]
     diff = version_pairs(recordings_of(events)).select(*pair).join(diff, pair, "left")

@@ -18,10 +18,22 @@ BULLETS = 3
 def placed(events: DataFrame) -> DataFrame:
     """Events with ``placement``, the zone of their path. Columns of OPTIONAL that they lack are null."""
     c = F.col
+    if getattr(events, "is_placed", False):
+        return events
     events = events.withColumns({k: F.lit(None).cast(t) for k, t in OPTIONAL.items() if k not in events.columns})
     return once(events, "placement", F.when(c("path").isNotNull(), paths.placement(c("path"), c("origin"), c("zone_project"), c("zone_cache"), c("zone_home"), c("zone_tmp"), c("extra"))))
 
 
+def placed_once(events: DataFrame) -> DataFrame:
+    """``placed`` events, written, for what reads them several times. Only the very table is known to be placed; what is derived from
+    it is placed anew."""
+    if getattr(events, "is_placed", False):
+        return events
+    out = materialize(placed(events), "placed")
+    out.is_placed = True
+    return out
+
+
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with a column that is worked out once a row: an array of one is opened, which the optimizer does not copy
     into everything that uses the column."""
@@ -192,6 +204,7 @@ def findings(events: DataFrame, catalog: Catalog | None = None) -> DataFrame:
 
 def evaluate(events: DataFrame, catalog: Catalog | None = None, found: DataFrame | None = None) -> DataFrame:
     """The whole analysis, a row per recording: score, verdict, counts. ``found``: the findings, where they are there already."""
+    events = placed_once(events) if found is None else events
     recordings = recording_counts(events)
     scored = scores(recordings.select("recording_id"), findings(events, catalog) if found is None else found)
     rows = recordings.join(scored, "recording_id")
