@@ -18,6 +18,14 @@ def _places(key: Column, bits: int) -> list[Column]:
     return [F.pmod(key, F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits))]
 
 
+def held(table: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Which rows may be among the keys, by their places in a filter's table."""
+    hit = np.ones(len(places[0]), bool)
+    for p in places:
+        hit &= (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
+    return hit
+
+
 class Sieve:
     """``Sieve(keys, "k").keep(rows, "k")``: rows whose k may be among the keys (long, not null)."""
 
@@ -35,13 +43,13 @@ class Sieve:
 
         @F.pandas_udf("boolean")
         def test(a: pd.Series, b: pd.Series) -> pd.Series:
-            table = shared.value
-            hit = np.ones(len(a), bool)
-            for p in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
-                hit &= (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
-            return pd.Series(hit)
+            return pd.Series(held(shared.value, a.to_numpy(np.int64), b.to_numpy(np.int64)))
+
+        return test(*self.places(column))
 
-        return test(*_places(F.col(column), self.bits))
+    def places(self, column: str) -> list[Column]:
+        """The places of a key, for tasks that look them up in ``shared`` on their own."""
+        return _places(F.col(column), self.bits)
 
     def keep(self, rows: DataFrame, column: str) -> DataFrame:
         return rows.where(self.may_hold(column))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spoor.llm.common import n_partitions
 from spoor.llm.hashing import WordHashes, blocks, mix, runs
-from spoor.llm.sieve import Sieve, key_of
+from spoor.llm.sieve import Sieve, held, key_of
 from spoor.scratch import discard, materialize, shared_dir
 
 WINDOW = 35
@@ -140,8 +140,8 @@ class FingerprintIndex:
 
     def run_of(self, segments: DataFrame) -> str:
         """A batch of segments as a run, not yet part of the index: counted before they are shuffled."""
-        place = F.min(F.struct(*PLACE))
-        return self._write(segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place.alias("p")).select("anchor", "content", "n", "p.*"))
+        # Any place will do; the first ones all come from one row and need no sorting.
+        return self._write(segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE]))
 
     def add(self, run: str) -> None:
         self.levels.append((0, run))
@@ -286,10 +286,18 @@ def remove_repeats(docs: DataFrame, batches: int = 3, window: int = WINDOW, anch
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(left, pa.string())] if keep_text else arrays, [*names, "kept"] if keep_text else names)
 
     # Only texts that may have something to remove are shuffled.
-    touched = Sieve(spans.select(key_of().alias("k")), "k").may_hold("k")
-    marked = docs.withColumn("k", key_of()).withColumn("touched", touched)
-    hit, rest = marked.where("touched"), marked.where("not touched")
+    sieve = Sieve(spans.select(key_of().alias("k")), "k")
+    shared, marked = sieve.shared, docs.withColumn("k", key_of())
+    hit = sieve.keep(marked, "k")
     rows = hit.join(s.hint("shuffle_hash"), hit["doc_id"].eqNullSafe(s["s_doc_id"]) & (hit["tie"] == s["s_tie"]), "left").select("doc_id", "text", "spans")
-    rows = rows.unionByName(rest.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other texts, told and taken apart by one worker: a filter of its own would take another's memory."""
+        for batch in batches:
+            keep = ~held(shared.value, batch.column(3).to_numpy(), batch.column(4).to_numpy())
+            yield from run(iter([batch.filter(pa.array(keep)).select([0, 1, 2])]))
+
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    rest = marked.select("doc_id", "text", none, *[p.alias(f"p{i}") for i, p in enumerate(sieve.places("k"))])
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).unionByName(rest.mapInArrow(untouched, schema))
