@@ -119,6 +119,7 @@ def live_reports(events: DataFrame, catalog: Catalog | None = None) -> DataFrame
     matched = rules.match_rules(rules.hits(events, catalog), catalog).select("recording_id", "seq", "ts_ns", "pid", "op", "detail", "rule_id", "subject", "severity", "sev_rank", "title", "backend")
     lost = (c("op") == "fs_write") & (c("placement") == "unresolvable")
     seen = rules.placed(events).select("recording_id", "seq", "op", "backend", (~c("op").isin(*rules.FRAMING)).alias("observed"), lost.alias("unresolved"), F.when(c("op") == "session_end", F.coalesce("complete", F.lit(False))).alias("ended"))
+    whole = lambda x: None if pd.isna(x) else int(x)
     fields = [x.split()[0] for x in REPORT.split("array<")[0].split(", ")[:7]]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -138,7 +139,7 @@ def live_reports(events: DataFrame, catalog: Catalog | None = None) -> DataFrame
             one["n"] += 1
             worst = [int(row.sev_rank), row.severity, row.title]
             one["worst"] = worst if one["worst"] is None else min(one["worst"], worst)
-            piece = [int(row.seq), int(row.ts_ns), int(row.pid), row.op, row.detail]
+            piece = [int(row.seq), whole(row.ts_ns), whole(row.pid), row.op, row.detail if isinstance(row.detail, str) else None]
             one["evidence"] = sorted([*one["evidence"], piece], key=lambda p: p[0])[: rules.EVIDENCE]
             changed.add(name)
         out = [(*key, None, None, None, None, None, None, None, held["observations"], held["unresolved"], held["backend"], not ended)]

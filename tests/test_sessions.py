@@ -25,8 +25,8 @@ def test_reports_equal_evaluate_and_repeat_safely(spark, tmp_path):
     found = rules.findings(events)
     want = {r.recording_id: (r.value, r.raw, r.verdict, r.is_partial, r.observations) for r in rules.evaluate(events, found=found).collect()}
     folder = f"{tmp_path}/s"
-    for k in range(0, 12, 4):
-        events.drop("has_end").where(f"seq >= {k} and seq < {k + 4}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for k in range(0, 32, 8):
+        events.drop("has_end").where(f"seq >= {k} and seq < {k + 8}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.drop("has_end").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     keep, batches = sessions.upserts(f"{folder}/out"), []
 
