@@ -124,3 +124,24 @@ def test_components(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert found == {x: root(x) for x in parent if x not in alone}
+
+
+def test_a_family_is_sent_in_proportion(spark, monkeypatch):
+    """Twice as many near copies of one text send twice as many sets, however small the blocks."""
+    monkeypatch.setattr(jaccard, "SIDE", 8)
+    place, sent = jaccard._placed_sets, []
+
+    def counted(*args):
+        out = place(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_placed_sets", counted)
+    rng, totals = random.Random(1), []
+    base = [f"w{k}" for k in range(220)]
+    for m in (40, 80):
+        sent.clear()
+        rows = [(k, " ".join(edited(rng, base, 1))) for k in range(m)]
+        assert {r.component_id for r in jaccard.join(make(spark, rows), 3, 90).collect()} == {0}
+        totals.append(sum(sent))
+    assert 0 < totals[1] <= 2.3 * totals[0] and totals[1] <= 3 * 80
