@@ -141,7 +141,9 @@ class FingerprintIndex:
     def run_of(self, segments: DataFrame) -> str:
         """A batch of segments as a run, not yet part of the index: counted before they are shuffled."""
         # Any place will do; the first ones all come from one row and need no sorting.
-        return self._write(segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE]))
+        counted = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE])
+        # Counted rows lie by anchor and content: a task would write a file for every bucket, the square of the partitions in all.
+        return self._write(counted.repartition(self.buckets, "anchor"))
 
     def add(self, run: str) -> None:
         self.levels.append((0, run))

@@ -68,6 +68,20 @@ def test_runs_meet_and_merge(spark):
     assert {tuple(r)[:3] for r in index.compact().collect()} == {(1, 1, 1), (1, 2, 3), (2, 5, 1), (3, 3, 1)}
 
 
+def test_a_bucket_is_one_file(spark):
+    """Runs, new and merged, have a file for each bucket, however many tasks counted them."""
+    index = substring.FingerprintIndex(spark, buckets=5)
+    files = lambda name: spark.table(name).inputFiles()
+    for k in range(2):
+        rows = spark.range(3000).selectExpr(f"(id + {k}) % 700 AS anchor", f"id + {k} AS content", "id AS doc_id", "id AS tie", "0 AS start", "1 AS size")
+        run = index.run_of(rows.repartition(7))
+        assert len(files(run)) == 5
+        index.add(run)
+    assert [len(files(name)) for _, name in index.levels] == [5]
+    assert spark.table(index.levels[0][1]).count() == 3001
+    index.drop()
+
+
 def test_batches_of_two_sessions(spark):
     """Each batch is decided when it enters, the second one in a session that opens the index anew: a passage that an older document quotes
     inside other text, one that only meets its like in the second batch, and one that the first batch held twice."""
