@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from spoor.plans import bridge, registry
 from spoor.sources import lockfiles
 from spoor.sources.lockfiles import read_lockfiles
 
@@ -45,6 +46,39 @@ def test_flat(spark):
     assert got["node_modules/a"].integrity == "sha512-x" and got["node_modules/w"].url is None
 
 
+def test_query_reads_every_package(spark, sf_dir):
+    packages = bridge.lock_packages(spark, sf_dir).collect()
+    assert {"directory", "unknown"} <= {p.source_kind for p in packages}
+    want = {(f"{p.repo}:{p.side}", f"node_modules/{p.key}/node_modules/{p.name}"): (p.version, "remote" if p.source_kind == "unknown" else p.source_kind, p.dev) for p in packages}
+    got = registry.QUERIES["read_lockfiles"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(r.lockfile_id, r.key): (r.version, r.source_kind, r.dev) for r in got} == want
+
+
+def test_links(spark):
+    entries = {
+        "": {"name": "root", "version": "9.0.0"},
+        "node_modules/x": {"resolved": "vendor/x", "link": True},
+        "node_modules/also-x": {"name": "x", "resolved": "vendor/x", "link": True},
+        "vendor/x": {"name": "x", "version": "1.0.0"},
+        "node_modules/gone": {"resolved": "vendor/gone", "link": True},
+        "node_modules/to-link": {"resolved": "node_modules/link", "link": True},
+        "node_modules/link": {"resolved": "vendor/x", "link": True, "version": "2.0.0"},
+        "node_modules/nowhere": {"link": True},
+        "node_modules/plain": {"version": "3.0.0", "integrity": "sha512-p"},
+        "vendor/own": {"name": "own", "version": "4.0.0"},
+    }
+    got = read(spark, {"lockfileVersion": 3, "packages": entries})
+    assert {k: (r.name, r.version, r.alias, r.source_kind, r.url, r.integrity) for k, r in got.items()} == {
+        "node_modules/x": ("x", "1.0.0", None, "directory", None, None),
+        "node_modules/also-x": ("x", "1.0.0", "also-x", "directory", None, None),
+        "node_modules/gone": ("gone", "", None, "directory", None, None),
+        "node_modules/to-link": ("to-link", "2.0.0", None, "directory", None, None),
+        "node_modules/nowhere": ("nowhere", "9.0.0", None, "directory", None, None),
+        "node_modules/plain": ("plain", "3.0.0", None, "remote", None, "sha512-p"),
+        "vendor/own": ("own", "4.0.0", None, "directory", None, None),
+    }
+
+
 def test_nested(spark):
     got = read(spark, V1)
     assert {k: (r.name, r.version, r.alias, r.source_kind, r.dev) for k, r in got.items()} == {
