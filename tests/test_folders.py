@@ -32,4 +32,4 @@ def test_plain_calls_read_what_spark_reads(spark, tmp_path, monkeypatch):
     whole = lambda: sorted((r.file, bytes(r.content)) for r in folders.whole_files(spark, str(tmp_path), "*.txt").withColumn("content", F.col("content").cast("binary")).collect())
     plain = lines(), whole()
     monkeypatch.setattr(folders, "mounted", lambda *_: None)
-    assert plain == (lines(), whole()) and len(plain[0]) == 60
+    assert plain == (lines(), whole()) and len(plain[0]) == 59
