@@ -33,3 +33,35 @@ def test_plain_calls_read_what_spark_reads(spark, tmp_path, monkeypatch):
     plain = lines(), whole()
     monkeypatch.setattr(folders, "mounted", lambda *_: None)
     assert plain == (lines(), whole()) and len(plain[0]) == 59
+
+
+def test_result_tree_is_written_by_plain_calls(spark, sf_dir):
+    from spoor.plans import more
+
+    root = folders.mounted(spark, more._result_tree(spark, sf_dir))
+    held = {tuple(names) for _, below, names in folders.os.walk(root) if not below}
+    assert held == {("part-00000.txt",)}  # no sums beside it, for each of which Hadoop starts a process
+
+
+def test_traces_keep_only_what_lines_need(spark, sf_dir, monkeypatch):
+    from spoor.plans import trace
+
+    kept = []
+    monkeypatch.setattr(trace, "materialize", lambda df, label: kept.append(df.columns) or df)
+    trace._written(spark, sf_dir)
+    assert kept == [["recording_id", "pid", "seq", "epoch", "is_last", "call", "ret"]]
+
+
+def test_dropped_recordings_begin_with_their_start(spark, sf_dir):
+    from spoor.plans import sources
+
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        files = recordings.read_files(spark, sources._dropped(spark, sf_dir)).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len({r.recording_id for r in files}) == len(files)
+    assert all('"op":"session_start"' in r.content.split("\n")[0] for r in files)
