@@ -9,6 +9,8 @@ from spoor.scratch import materialize
 
 #: Kinds of writes that count as the same when a relative path meets an absolute one.
 ALIKE = ["open", "write", "create", "truncate"]
+#: All tables here grow with the recordings; their files are so dense that Spark would take them for small and broadcast them.
+SHUFFLED = "merge"
 IDENTITY = ["class", "path", "kind", "ip", "port", "qname", "program"]
 
 
@@ -58,7 +60,7 @@ def relative_counterpart(sides: DataFrame) -> DataFrame:
     absolute = rows.where(F.col("path").startswith("/")).select("pair_id", "side", "path", "kind_group", F.explode(path_suffixes(F.col("path"))).alias("suffix"))
     bare = F.rtrim(F.regexp_replace("path", "^(\\./)+", ""), F.lit("/"))
     relative = rows.where(~F.col("path").startswith("/")).select("pair_id", F.col("side").alias("o_side"), F.col("path").alias("o_path"), "kind_group", bare.alias("suffix")).where("suffix <> ''")
-    met = absolute.join(relative, ["pair_id", "suffix", "kind_group"]).where("side <> o_side")
+    met = absolute.join(relative.hint(SHUFFLED), ["pair_id", "suffix", "kind_group"]).where("side <> o_side")
     return met.select("pair_id", "side", "path", "kind_group").unionByName(met.select("pair_id", F.col("o_side").alias("side"), F.col("o_path").alias("path"), "kind_group")).distinct()
 
 
@@ -73,13 +75,13 @@ def mkdir_ancestor(sides: DataFrame) -> DataFrame:
     c = F.col
     absolute = c("dir").startswith("/")
     sizes = made.groupBy("pair_id").agg(F.collect_set(F.when(absolute, F.char_length("dir"))).alias("lengths"), F.collect_set(F.when(~absolute, F.size(F.split("dir", "/")))).alias("counts"))
-    rows = writes.join(sizes, "pair_id").withColumn("parts", F.split("path", "/"))
+    rows = writes.join(sizes.hint(SHUFFLED), "pair_id").withColumn("parts", F.split("path", "/"))
     starts = F.transform(F.filter("lengths", lambda n: n < F.char_length("path")), lambda n: F.substring(c("path"), F.lit(1), n))
     # The first component has no slash before it (an absolute path's is empty), so runs begin at the second.
     places = F.sequence(F.lit(2), F.greatest(F.size("parts"), F.lit(2)))
     inner = F.flatten(F.transform("counts", lambda n: F.transform(F.filter(places, lambda i: i + n - 1 <= F.size("parts")), lambda i: F.array_join(F.slice("parts", i, n), "/"))))
     below = rows.select("pair_id", "path", F.explode(F.array_union(starts, inner)).alias("dir"))
-    return below.join(made, ["pair_id", "dir"]).where("path <> dir").select("pair_id", F.col("dir").alias("path")).distinct()
+    return below.join(made.hint(SHUFFLED), ["pair_id", "dir"]).where("path <> dir").select("pair_id", F.col("dir").alias("path")).distinct()
 
 
 def compare(sides: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def compare(sides: DataFrame) -> DataFrame:
     seen = differences(sides).where("seen_by <> 'both'").withColumn("kind_group", group_of(F.col("kind"))).withColumn("at", F.when(F.col("seen_by") == "first", 1).otherwise(2))
     partner = relative_counterpart(sides).select("pair_id", F.col("side").alias("at"), "path", "kind_group", F.lit(True).alias("has_partner"))
     parent = mkdir_ancestor(sides).select("pair_id", "path", F.lit(2).alias("at"), F.lit("mkdir").alias("kind"), F.lit(True).alias("is_parent"))
-    rows = seen.join(partner, ["pair_id", "at", "path", "kind_group"], "left").join(parent, ["pair_id", "path", "at", "kind"], "left")
+    rows = seen.join(partner.hint(SHUFFLED), ["pair_id", "at", "path", "kind_group"], "left").join(parent.hint(SHUFFLED), ["pair_id", "path", "at", "kind"], "left")
     first, partner, cls = F.col("at") == 1, F.coalesce("has_partner", F.lit(False)), F.col("class")
     log = F.col("path").contains("command-stderr.log") | F.col("path").contains("command-stdout.log")
     reason = (
@@ -114,6 +116,6 @@ def passes(sides: DataFrame, partial: DataFrame) -> DataFrame:
     """``pair_id, unexpected, passed``: whether a pair's differences are all expected and neither side is partial (``partial``:
     pair_id of pairs with a partial side). A pair without a difference passes unless it is partial."""
     unexpected = compare(sides).groupBy("pair_id").agg(F.count(F.when(~F.col("expected"), 1)).alias("n"))
-    rows = sides.select("pair_id").distinct().join(unexpected, "pair_id", "left").join(partial.select("pair_id", F.lit(True).alias("is_partial")).distinct(), "pair_id", "left")
+    rows = sides.select("pair_id").distinct().join(unexpected.hint(SHUFFLED), "pair_id", "left").join(partial.select("pair_id", F.lit(True).alias("is_partial")).distinct().hint(SHUFFLED), "pair_id", "left")
     n = F.coalesce("n", F.lit(0))
     return rows.select("pair_id", n.alias("unexpected"), ((n == 0) & F.col("is_partial").isNull()).alias("passed"))

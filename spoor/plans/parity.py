@@ -19,7 +19,7 @@ def sides(spark, d) -> DataFrame:
     side = lambda of, n: F.struct(F.col(of).alias("recording_id"), F.lit(n).alias("side"))
     sides = pairs.select("pair_id", F.explode(F.array(side("before_id", 1), side("after_id", 2))).alias("s")).select("pair_id", "s.*")
     # A recording is the second side of one pair and the first of the next.
-    return _facts(events.join(sides, "recording_id").withColumn("recording_id", F.concat("pair_id", F.lit("/"), F.col("side").cast("string"))))
+    return _facts(events.join(sides.hint(parity.SHUFFLED), "recording_id").withColumn("recording_id", F.concat("pair_id", F.lit("/"), F.col("side").cast("string"))))
 
 
 def recorder_sides(spark, d) -> DataFrame:
@@ -30,7 +30,7 @@ def recorder_sides(spark, d) -> DataFrame:
 def _facts(rows: DataFrame) -> DataFrame:
     path = F.when((F.col("side") == 1) & (F.col("origin") == "unresolved"), F.concat(F.lit("/work/x/"), "path")).otherwise(F.col("path"))
     pairs = rows.select("recording_id", "pair_id", "side").distinct()
-    return parity.facts(rows.withColumn("path", path)).join(pairs, "recording_id").drop("recording_id")
+    return parity.facts(rows.withColumn("path", path)).join(pairs.hint(parity.SHUFFLED), "recording_id").drop("recording_id")
 
 
 FACTS = (

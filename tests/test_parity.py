@@ -15,3 +15,11 @@ def test_every_recording_has_facts(spark, sf_dir):
 def test_versions_are_no_filter():
     for name in ("facts", "set_difference", "set_intersection", "relative_counterpart", "mkdir_ancestor", "parity_compare", "parity_counts"):
         assert "version IN" not in registry.ORACLE_SQL[f"recorder_{name}"]
+
+
+def test_no_table_that_grows_is_broadcast(spark, sf_dir):
+    from spoor.operators import parity
+    from spoor.plans import parity as plans
+
+    for rows in (plans.recorder_sides(spark, sf_dir), parity.compare(plans.recorder_sides(spark, sf_dir))):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
