@@ -194,3 +194,15 @@ def test_pnpm(spark):
     for bad in ("packages:\n\n  /a/1.0.0:\n    dev: true\n", "lockfileVersion: 7.0\n\npackages:\n\n  /a/1.0.0:\n    dev: true\n"):
         with pytest.raises(Exception, match="missing or unsupported version"):
             lockfiles.read_pnpm_lockfiles(spark.createDataFrame([("bad", bad)], "lockfile_id string, content string")).collect()
+
+
+def test_lines_of_written_lockfiles_take_one_exchange(spark, sf_dir, monkeypatch):
+    from spoor.plans import sources
+    from spoor.sources import lockfiles
+
+    kept = []
+    read = lockfiles.read_pnpm_lockfiles
+    monkeypatch.setattr(lockfiles, "read_pnpm_lockfiles", lambda files: kept.append(files) or read(files))
+    sources.read_pnpm_lockfiles(spark, sf_dir)
+    plan = lockfiles.pnpm_lines(kept[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
